@@ -34,8 +34,9 @@ def words(text: Column | str) -> Column:
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Adds ``target`` to (source, source_size): the total shared by weight, none above ``most`` times its size.
 
-    A source is capped if its cap by weight is at most the level at which the rest
-    would share what the smaller caps leave.
+    Sources stand by cap over weight; each place gives the level at which that source
+    and the later ones would share what the earlier caps leave.  Levels rise up to the
+    first source that isn't capped and fall after it, so the highest is the one.
     """
     cycle = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = sources.withColumn("rank", F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1).withColumn("weight", cycle)
@@ -44,8 +45,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(ahead), F.lit(0))
     level = left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(ahead), F.lit(0)))
     ranked = ranked.withColumn("level", level)
-    ranked = ranked.withColumn("level", F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(every))
-    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
+    ranked = ranked.withColumn("level", F.max("level").over(every))
+    target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
     return ranked.select("source", "source_size", target.alias("target"))
 
 
@@ -128,7 +129,7 @@ WITH units AS (
   FROM weighed WINDOW w AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), shares AS (
   SELECT source, source_size,
-    least(CAST(cap AS DOUBLE), coalesce((SELECT min(level) FROM levels WHERE ratio > level) * weight, CAST(cap AS DOUBLE))) AS target
+    least(CAST(cap AS DOUBLE), (SELECT max(level) FROM levels) * weight) AS target
   FROM levels
 ), queue AS (
   SELECT u.*, s.source_size, s.target, copy,

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, licenses, mixing, quality, simhash, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": quality.op3_quality,
+        "op6_licenses": licenses.op6_licenses,
         "op7_simhash": simhash.op7_simhash,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_syncmers": syncmers.op9_syncmers,
         "op10_bpe": bpe.op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licenses": licenses.SQL, "op8_mixing": mixing.SQL}
