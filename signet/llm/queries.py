@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, quality, simhash, syncmers
+from . import bpe, html, licenses, mixing, quality, simhash, syncmers, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality": quality.op3_quality,
+        "op4_warc": warc.op4_warc,
+        "op5_html": html.op5_html,
         "op6_licenses": licenses.op6_licenses,
         "op7_simhash": simhash.op7_simhash,
         "op8_mixing": mixing.op8_mixing,
