@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import table
 
 #: Notices that stand for a licence, by SPDX name.
 NOTICES = [
@@ -53,46 +53,52 @@ TEXTS = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."),
 ]
-#: A pattern and what it counts as, tried in this order on lower-case text.
+#: Spellings that count as the one after them, in lower-case text without punctuation.
 SPELLINGS = [
     ("licence", "license"),
-    ("sub[- ]license", "sublicense"),
-    ("non[- ]commercial", "noncommercial"),
-    ("non[- ]infringement", "noninfringement"),
+    ("sub license", "sublicense"),
+    ("non commercial", "noncommercial"),
+    ("non infringement", "noninfringement"),
     ("acknowledgement", "acknowledgment"),
     ("authoris", "authoriz"),
-    ("copyright (owner|holder)s?", "copyright holder"),
-    ("and/or", "and or"),
-    ("&", " and "),
-    ("http://", "https://"),
+    ("copyright owner", "copyright holder"),
+    ("copyright holders", "copyright holder"),
+    ("https", "http"),
 ]
 #: A line that says who holds the rights: copyright or (c), with a mark, a year or a placeholder.
 COPYRIGHT = r"(^|\n)[ \t*#/]*(copyright[ \t:]*(\(c\)|©|[0-9]|<|\[)|\(c\)[ \t]*[0-9]|©)[^\n]*"
 TITLE = r"^\s*(the )?(mit|isc|bsd|zlib|zero-clause bsd|bsd [23]-clause|[23]-clause bsd) license[ \t]*(\([a-z0-9 -]+\))?[ \t]*\n"
 
 
-def canonical(text: Column) -> Column:
-    """The form in which two texts count as the same licence text."""
-    t = F.translate(text, UPPER, LOWER)
-    t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT, "$1"), TITLE, "")
-    for pattern, to in SPELLINGS:
-        t = F.regexp_replace(t, pattern, to)
-    return F.trim(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def canonical_lines(text: Column) -> Column:
+    """A text's lines in the form in which two count as the same, array<string>; each step passes over the whole text once."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, "$1"), TITLE, "")
+    t = F.regexp_replace(t, PUNCTUATION, " ")
+    for known, to in SPELLINGS:
+        t = F.replace(t, F.lit(known), F.lit(to))
+    return F.transform(F.split(t, "\n"), lambda line: F.trim(line))
+
+
+def whole(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
 
 
 def known(spark: SparkSession) -> DataFrame:
     """digest, license, whole: of the fixed texts (whole) and notices."""
     rows = [(name, text, True) for name, text in TEXTS] + [(name, text, False) for name, text in NOTICES]
     fixed = spark.createDataFrame(rows, "license string, text string, whole boolean")
-    return fixed.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license", "whole").distinct()
+    return fixed.select(F.sha2(whole(canonical_lines(F.col("text"))), 256).alias("digest"), "license", "whole").distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 1; 0: the text as a whole), license: every match of ``docs`` (doc_id, text)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("part")))
-    units = rows.select("doc_id", F.inline(F.concat(F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("part"))), lines)))
-    units = units.select("doc_id", "line", canonical(F.col("part")).alias("form")).filter("form != ''").select("doc_id", "line", F.sha2("form", 256).alias("digest"))
+    rows = docs.select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    parts = F.transform("lines", lambda form, i: F.struct((i + 1).alias("line"), form.alias("form")))
+    units = rows.select("doc_id", F.inline(F.concat(F.array(F.struct(F.lit(0).alias("line"), whole(F.col("lines")).alias("form"))), parts)))
+    units = units.filter("form != ''").select("doc_id", "line", F.sha2("form", 256).alias("digest"))
     return units.join(F.broadcast(known(docs.sparkSession)), "digest").select("doc_id", "line", "license")
 
 
@@ -113,19 +119,23 @@ def _quoted(text: str) -> str:
 
 
 def _sql() -> str:
-    form = f"translate(text, '{UPPER}', '{LOWER}')"
-    for pattern, to in [(COPYRIGHT, r"\1"), (TITLE, ""), *SPELLINGS, (r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")]:
+    form = "lower(text)"
+    for pattern, to in [(COPYRIGHT, r"\1"), (TITLE, ""), (PUNCTUATION, " ")]:
         form = f"regexp_replace({form}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
-    digest = f"sha256(trim({form}))"
+    for spelling, to in SPELLINGS:
+        form = f"replace({form}, {_quoted(spelling)}, {_quoted(to)})"
+    lines = f"[trim(x) for x in string_split({form}, chr(10))]"
+    joined = "array_to_string([x for x in lines if x <> ''], ' ')"
     fixed = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in TEXTS + NOTICES)
     return f"""
-WITH known AS (SELECT DISTINCT license, {digest} AS digest FROM (VALUES {fixed}) v(license, text)),
+WITH known AS (SELECT DISTINCT license, sha256({joined}) AS digest FROM (SELECT license, {lines} AS lines FROM (VALUES {fixed}) v(license, text))),
 docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+forms AS (SELECT doc_id, {lines} AS lines FROM docs),
 units AS (
-  SELECT doc_id, 0 AS line, text FROM docs
-  UNION ALL SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)), unnest(string_split(text, chr(10))) FROM docs
+  SELECT doc_id, 0 AS line, {joined} AS form FROM forms
+  UNION ALL SELECT doc_id, unnest(range(1, len(lines) + 1)), unnest(lines) FROM forms
 ), found AS (
-  SELECT doc_id, line, license FROM (SELECT doc_id, line, {digest} AS digest FROM units) JOIN known USING (digest)
+  SELECT doc_id, line, license FROM (SELECT doc_id, line, sha256(form) AS digest FROM units WHERE form <> '') JOIN known USING (digest)
 ), grouped AS (
   SELECT doc_id, min(license) FILTER (line = 0) AS license,
     coalesce(array_to_string(list_sort(list_distinct(list(license) FILTER (line > 0))), ','), '') AS notices,
