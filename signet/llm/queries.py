@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, licenses, mixing, quality, simhash, suffix_tree, syncmers, warc
+from . import bpe, forest, html, licenses, mixing, quality, simhash, suffix_tree, syncmers, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_forest": forest.op1_forest,
         "op2_suffix_tree": suffix_tree.op2_suffix_tree,
         "op3_quality": quality.op3_quality,
         "op4_warc": warc.op4_warc,
