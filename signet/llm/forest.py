@@ -11,9 +11,10 @@ has the largest inner product, and trees that split by direction serve.
    size, are broadcast; every vector is put into its leaf of each tree.
 3. A query walks all trees through one priority queue, nearest margin first, until
    the leaves it met hold as many vectors as SHARE of the index (CANDIDATES at least).
-4. Leaves with many vectors are dealt out in parts; in each part all its queries meet
-   all its vectors in one matrix product, scores of the best are computed exactly in
-   double precision, and only the best go on.
+4. Neighbouring leaves of a tree make parts of about PART_ROWS vectors, and a larger
+   leaf is dealt out to several; queries come in blocks of QUERY_ROWS.  In each part a
+   leaf's queries meet its vectors in one matrix product, the best of all leaves are
+   kept for each query, scored exactly in double precision, and only these go on.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those of a length that isn't the most frequent (ties: the longest) and rows without
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SHOWN, EVERY = 20, 20
-TREES, LEAF, SAMPLE, PART_ROWS = 8, 256, 65_536, 4096
+TREES, LEAF, SAMPLE, PART_ROWS, QUERY_ROWS = 8, 256, 65_536, 65_536, 65_536
 #: A query's leaves hold this share of the index (an id counts in each tree), and at least so many: what recall
 #: above 0.9 takes for vectors with hardly any structure.  Clustered vectors do with far less.
 SHARE, CANDIDATES = 1.0, 12_000
@@ -144,7 +145,7 @@ def fit(distinct: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int =
     return Forest.of(matrix(some.column("embedding")), float(np.sqrt(longest)), n, trees, leaf)
 
 
-def search(vectors: DataFrame, asked: DataFrame, shown: int = SHOWN, candidates: int = CANDIDATES, share: float = SHARE, trees: int = TREES, leaf: int = LEAF, part_rows: int = PART_ROWS) -> DataFrame:
+def search(vectors: DataFrame, asked: DataFrame, shown: int = SHOWN, candidates: int = CANDIDATES, share: float = SHARE, trees: int = TREES, leaf: int = LEAF, part_rows: int = PART_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each id of ``asked`` (vec_id) its nearest of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     rows = stored(usable(vectors))
@@ -172,49 +173,80 @@ def search(vectors: DataFrame, asked: DataFrame, shown: int = SHOWN, candidates:
     forest.counts = np.zeros((trees, 1 << forest.depth), np.int64)
     forest.counts[t, k] = n
     candidates = max(candidates, int(share * n.sum() / trees))
-    known = spark.sparkContext.broadcast(forest)
-
-    def parts(t: int, leaf: int) -> int:
-        return -(-int(known.value.counts[t, leaf]) // part_rows)
+    # leaf -> its first part and how many parts it has; a row of each table for each leaf of the forest
+    many = np.maximum(-(-forest.counts // part_rows), 1)
+    ends = np.cumsum(np.where(many > 1, 0, forest.counts), axis=1)
+    first = np.where(many > 1, 0, np.maximum(ends - 1, 0) // part_rows)
+    for t, leaf in np.argwhere(many > 1):
+        first[t, leaf] = first[t].max() + 1 + (many[t, :leaf][many[t, :leaf] > 1] - 1).sum()
+    known = spark.sparkContext.broadcast((forest, first, many))
+    asks = queries.select(F.col("asker").alias("rep")).distinct()
+    blocks = -(-max(1, asks.count()) // query_rows)
+
+    def mixed(rep: np.ndarray, n) -> np.ndarray:
+        return (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector once for each tree, with its leaf and part."""
+        """Each vector once for each tree and block, with its part and leaf."""
+        _, first, many = known.value
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 some = batch.slice(low, 2048)
                 rep, found = some.column("rep").to_numpy(), np.stack(some.column("leaves").to_numpy(zero_copy_only=False))
                 for t in range(found.shape[1]):
-                    many = -(-known.value.counts[t, found[:, t]] // part_rows)
-                    mixed = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rep), t, np.int32)), pa.array(found[:, t].astype(np.int32)), pa.array((mixed % many).astype(np.int32)), some.column("rep"), some.column("embedding")], names=["tree", "leaf", "part", "rep", "embedding"])
+                    leaf = found[:, t]
+                    part = first[t, leaf] + mixed(rep, many[t, leaf])
+                    for block in range(blocks):
+                        yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(rep), x, np.int32)) for x in (block, t)), pa.array(part.astype(np.int32)), some.column("rep"), some.column("embedding"), pa.array([[x] for x in leaf.tolist()], pa.list_(pa.int32()))], names=names)
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for each part that holds leaves it met."""
+        forest, first, many = known.value
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                met = known.value.walk(matrix(some.column("embedding")), candidates)
-                flat = [(i, t, leaf, p) for i, own in enumerate(met) for t, leaf in own for p in range(parts(t, leaf))]
-                i, t, leaf, p = (np.array(x, np.int32) for x in zip(*flat, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(leaf), pa.array(p), some.column("rep").take(pa.array(i)), some.column("embedding").take(pa.array(i))], names=["tree", "leaf", "part", "rep", "embedding"])
+                block = mixed(some.column("rep").to_numpy(), blocks)
+                rows: dict[tuple[int, int, int], list[int]] = {}
+                for i, met in enumerate(forest.walk(matrix(some.column("embedding")), candidates)):
+                    for t, leaf in met:
+                        for p in range(first[t, leaf], first[t, leaf] + many[t, leaf]):
+                            rows.setdefault((i, t, int(p)), []).append(leaf)
+                i, t, p = np.array(list(rows), np.int32).T
+                yield pa.RecordBatch.from_arrays([pa.array(block[i].astype(np.int32)), pa.array(t), pa.array(p), some.column("rep").take(pa.array(i)), some.column("embedding").take(pa.array(i)), pa.array(list(rows.values()), pa.list_(pa.int32()))], names=names)
 
     def compared(key: tuple, index: pa.Table, asking: pa.Table) -> pa.Table:
-        out = {"asker": [np.empty(0, np.int64)], "rep": [np.empty(0, np.int64)], "score": [np.empty(0)]}
-        if index.num_rows and asking.num_rows:
-            x, q = matrix(index.column("embedding")), matrix(asking.column("embedding"))
-            rep, asker = index.column("rep").to_numpy(), asking.column("rep").to_numpy()
-            keep = min(len(x), shown + 4)
-            for low in range(0, len(q), 1024):
-                some = q[low : low + 1024]
-                near = some @ x.T
-                best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-                out["asker"].append(np.repeat(asker[low : low + 1024], keep))
-                out["rep"].append(rep[best].ravel())
-                out["score"].append((x[best] * some[:, None, :]).sum(2).ravel())
-        return pa.table({c: np.concatenate(v) for c, v in out.items()})
-
-    groups = f"tree int, leaf int, part int, rep long, embedding {distinct.schema['embedding'].dataType.simpleString()}"
-    index = distinct.select("rep", "embedding").join(leaves, "rep").mapInArrow(indexed, groups).groupBy("tree", "leaf", "part")
-    asking = distinct.select("rep", "embedding").join(queries.select(F.col("asker").alias("rep")).distinct(), "rep").mapInArrow(walked, groups).groupBy("tree", "leaf", "part")
+        if not index.num_rows or not asking.num_rows:
+            return pa.table({"asker": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        x, q = matrix(index.column("embedding")), matrix(asking.column("embedding"))
+        rep, asker = index.column("rep").to_numpy(), asking.column("rep").to_numpy()
+        leaf = index.column("leaves").combine_chunks().flatten().to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        lists = asking.column("leaves").combine_chunks()
+        wanted, by = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+        turn = np.argsort(wanted, kind="stable")
+        wanted, by = wanted[turn], by[turn]
+        keep = shown + 4
+        best, at = np.full((len(q), keep), -np.inf), np.full((len(q), keep), -1)
+        for one in np.unique(wanted):
+            rows = order[slice(*np.searchsorted(leaf[order], [one, one + 1]))]
+            asks_it = by[slice(*np.searchsorted(wanted, [one, one + 1]))]
+            for low in range(0, len(asks_it) if len(rows) else 0, 512):
+                some = asks_it[low : low + 512]
+                for cut_at in range(0, len(rows), 8192):
+                    own = rows[cut_at : cut_at + 8192]
+                    near = np.concatenate([best[some], q[some] @ x[own].T], axis=1)
+                    place = np.concatenate([at[some], np.broadcast_to(own, (len(some), len(own)))], axis=1)
+                    top = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
+                    best[some], at[some] = np.take_along_axis(near, top, 1), np.take_along_axis(place, top, 1)
+        i, k = np.nonzero(at >= 0)
+        j = at[i, k]
+        score = np.concatenate([(x[j[low : low + 65536]] * q[i[low : low + 65536]]).sum(1) for low in range(0, len(j), 65536)] or [np.empty(0)])
+        return pa.table({"asker": asker[i], "rep": rep[j], "score": score})
+
+    names = ["block", "tree", "part", "rep", "embedding", "leaves"]
+    groups = f"block int, tree int, part int, rep long, embedding {distinct.schema['embedding'].dataType.simpleString()}, leaves array<int>"
+    index = distinct.select("rep", "embedding").join(leaves, "rep").mapInArrow(indexed, groups).groupBy(*names[:3])
+    asking = distinct.select("rep", "embedding").join(asks, "rep").mapInArrow(walked, groups).groupBy(*names[:3])
     met = index.cogroup(asking).applyInArrow(compared, "asker long, rep long, score double").groupBy("asker", "rep").agg(F.max("score").alias("score"))
     top = met.withColumn("place", F.row_number().over(W.partitionBy("asker").orderBy(F.desc("score"), "rep"))).filter(F.col("place") <= shown + 1)
     near = top.join(distinct.select("rep", "ids"), "rep").select("asker", "score", F.explode("ids").alias("vec_id"))

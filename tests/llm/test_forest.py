@@ -26,12 +26,13 @@ def ask(spark, rows, **how):
     return A.search(df.select("vec_id", "embedding"), df.filter(F.col("vec_id") % 5 == 0), 20, **how).collect()
 
 
-def test_all_leaves_give_the_exact_result(spark):
+@pytest.mark.parametrize(("part_rows", "query_rows"), [(5, 1000), (60, 20), (10_000, 1000)])
+def test_all_leaves_give_the_exact_result(spark, part_rows, query_rows):
     rows = rows_of(np.random.default_rng(1), 300, 8)
     same = [0.5] * 8
     rows += [(1000 + i, same, 0) for i in range(90)] + [(5000, None, 0), (5005, [0.0] * 8, 0), (5010, [1.0] * 7 + [float("nan")], 0), (5015, [float("inf")] + [1.0] * 7, 0), (5020, [None] + [1.0] * 7, 0), (None, same, 0), (5025, [], 0)]
     rows += rows[:7]
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ask(spark, rows, leaf=8, part_rows=16)}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ask(spark, rows, leaf=8, part_rows=part_rows, query_rows=query_rows)}
     want = {(q, rank): (i, s) for q, rank, i, s in brute(rows, 20, 5)}
     assert got.keys() == want.keys()
     for k, (i, s) in want.items():
