@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, by a Parquet table in the shared folder: smaller for many rows, and with known size."""
+    place = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def held_out(doc_id: Column | str, mod: int) -> Column:
     """True where crc32(doc_id as text) mod ``mod`` is 2; a null id counts as the text ''."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
