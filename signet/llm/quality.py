@@ -102,12 +102,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from ``labelled`` (doc_id, text, label): ``fit_rows`` rows of each label reach the driver."""
-    known = labelled.filter("label is not null")
+def fit(docs: DataFrame, marks: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Learns from the rows of ``docs`` (doc_id, text) that ``marks`` (doc_id, label) names.
+
+    ``fit_rows`` ids of each label are chosen without their texts; then only these
+    texts are read and reach the driver.
+    """
+    known = docs.select("doc_id", (F.length(F.coalesce("text", F.lit(""))) <= FIT_CHARS).alias("short")).join(marks, "doc_id")
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    short = known.filter(F.length(F.coalesce("text", F.lit(""))) <= FIT_CHARS).withColumn("__order", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
-    texts = {label: [r.text or "" for r in short.filter(F.col("label") == label).orderBy("__order").limit(fit_rows).select("text").collect()] for label in (1, 0)}
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    ids = {label: [r.doc_id for r in known.filter(F.col("short") & (F.col("label") == label)).select("doc_id").distinct().orderBy(*order).limit(fit_rows).collect()] for label in (1, 0)}
+    chosen = docs.sparkSession.createDataFrame([(i, place, label) for label, own in ids.items() for place, i in enumerate(own)], "doc_id long, place int, label int")
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("label", "place").agg(F.min("text").alias("text")).orderBy("label", "place").collect()
+    texts = {label: [r.text or "" for r in rows if r.label == label] for label in (1, 0)}
     n = len(_expand(0, 0, 0))
     model = Model(_dictionary(texts[1][::2]), _dictionary(texts[0][::2]), np.zeros(n + 1), np.zeros(n), np.ones(n))
     good, bad = counts.get(1, 0), counts.get(0, 0)
@@ -143,7 +150,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """The model that ``labels`` (doc_id, quality) of the training ids of ``docs`` give."""
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     marks = marks.filter(~held_out("doc_id", 4))
-    return fit(docs.select("doc_id", "text").join(marks, "doc_id"))
+    return fit(docs.select("doc_id", "text"), marks)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
