@@ -21,7 +21,7 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on word shingles: five words, similarity 0.8 or more."""
+    """One document of each group that operator 7 links: fingerprints of three-word shingles within two bits."""
     return simhash.keep_one(docs)
 
 
