@@ -75,14 +75,15 @@ def _children(low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> np.ndarray
     return high - (ones[high] - ones[low])
 
 
-def trie_links(keys: np.ndarray, pairs: np.ndarray, selfs: np.ndarray, depth: int, budget: int, link) -> None:
+def trie_links(keys: np.ndarray, pairs: np.ndarray, selfs: np.ndarray, depth: int, budget: int, link, width: int = 64) -> None:
     """Traverses the trie over ``keys`` (uint64, each range sorted) and calls ``link(i, j)`` with arrays of linked places.
 
     ``pairs``: rows (low, high, low, high, differing bits so far) of node pairs;
     ``selfs``: rows (low, high) of nodes to join with themselves; all have read
-    ``depth`` bits from the top.
+    ``depth`` bits from the top, of which ``width`` count.  Leaves of several equal
+    keys go to ``link.leaves(low, high, low, high)``.
     """
-    for bit in range(63 - depth, -1, -1):
+    for bit in range(63 - depth, 63 - width, -1):
         lone = (pairs[:, 1] - pairs[:, 0] == 1) & (pairs[:, 3] - pairs[:, 2] == 1)
         if lone.any():  # two leaves: the rest of the bits at once
             i, j = pairs[lone, 0], pairs[lone, 2]
@@ -93,7 +94,7 @@ def trie_links(keys: np.ndarray, pairs: np.ndarray, selfs: np.ndarray, depth: in
             return
         if len(pairs) > 1 << 20:  # one half after the other, so that memory stays bounded
             half = len(pairs) // 2
-            trie_links(keys, pairs[:half], selfs[:0], 63 - bit, budget, link)
+            trie_links(keys, pairs[:half], selfs[:0], 63 - bit, budget, link, width)
             pairs = pairs[half:]
         ones = np.concatenate([[0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)])
         al, ah, bl, bh, d = pairs.T
@@ -106,14 +107,26 @@ def trie_links(keys: np.ndarray, pairs: np.ndarray, selfs: np.ndarray, depth: in
         selfs = np.concatenate([np.stack((sl, sm), 1), np.stack((sm, sh), 1)])
         selfs = selfs[selfs[:, 1] - selfs[:, 0] > 1]
     for al, ah, bl, bh, _ in pairs:  # all bits read: equal keys on either side
-        link(np.repeat(np.arange(al, ah), bh - bl), np.tile(np.arange(bl, bh), ah - al))
+        link.leaves(al, ah, bl, bh)
+    for low, high in selfs:
+        link.leaves(low, high, low, high)
 
 
-class _Forest:
+class Forest:
     """Links fold into roots at once, so that only a forest, never all links, is kept."""
 
-    def __init__(self, n: int):
-        self.root = np.arange(n)
+    def __init__(self, rows: dict[str, np.ndarray]):
+        self.fp, self.root = rows["fp"], np.arange(len(rows["fp"]))
+
+    def leaves(self, al: int, ah: int, bl: int, bh: int) -> None:
+        """All of both leaves are linked: each with the first of the other."""
+        self(np.arange(al, ah), np.full(ah - al, bl))
+        self(np.arange(bl, bh), np.full(bh - bl, al))
+
+    def edges(self) -> list[np.ndarray]:
+        at = np.arange(len(self.root))
+        root = self.find(at)
+        return [self.fp[root != at], self.fp[root[root != at]]]
 
     def __call__(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
@@ -130,8 +143,8 @@ class _Forest:
         return at
 
 
-def _edges(rows: dict[str, np.ndarray], depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole groups, as (fp, fp of its root); rows are sorted by group and key."""
+def _edges(rows: dict[str, np.ndarray], depth: int, budget: int, width: int, kind: type) -> list[np.ndarray]:
+    """Links of whole groups, folded into a forest of ``kind``; rows are sorted by group and key."""
     keys, groups = rows["key"].view(np.uint64), np.stack([rows[c] for c in ("trie", "block", "low", "high")])
     starts = np.flatnonzero(np.concatenate([[True], (groups[:, 1:] != groups[:, :-1]).any(0)]))
     ends = np.append(starts[1:], len(keys))
@@ -143,24 +156,20 @@ def _edges(rows: dict[str, np.ndarray], depth: int, budget: int) -> tuple[np.nda
     middle = ends - (sides[ends] - sides[starts])
     pairs = np.stack((starts, middle, middle, ends, np.bitwise_count(low ^ high).astype(np.int64)), 1)[two]
     pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3])]
-    forest = _Forest(len(keys))
-    trie_links(keys, pairs[:, :], selfs, depth, budget, forest)
-    at = np.arange(len(keys))
-    root = forest.find(at)
-    moved = root != at
-    return rows["fp"][moved], rows["fp"][root[moved]]
+    forest = kind(rows)
+    trie_links(keys, pairs, selfs, depth, budget, forest, width)
+    return forest.edges()
 
 
-def _join(batches: Iterator[pa.RecordBatch], depths: list[int], budget: int) -> Iterator[pa.RecordBatch]:
+def _join(batches: Iterator[pa.RecordBatch], names: list[str], depths: list[int], budget: int, width: int, kind: type, out: list[str]) -> Iterator[pa.RecordBatch]:
     """Joins a sorted partition group by group, many whole groups at a time."""
-    names = ["trie", "block", "low", "high", "side", "key", "fp"]
     held: dict[str, np.ndarray] = {c: np.empty(0, np.int64) for c in names}
 
     def flush(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for trie in np.unique(rows["trie"]):  # the trie's number, and in hundreds the bits it was dealt out by
             own = rows["trie"] == trie
-            a, b = _edges({c: x[own] for c, x in rows.items()}, depths[trie % 100] + trie // 100, budget)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            found = _edges({c: x[own] for c, x in rows.items()}, depths[trie % 100] + trie // 100, budget, width, kind)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found)], names=out)
 
     for batch in batches:
         now = {c: np.concatenate([held[c], batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for c in names}
@@ -181,34 +190,41 @@ def _masks(bits: int, budget: int) -> list[int]:
     return [sum(1 << b for b in chosen) for k in range(budget + 1) for chosen in combinations(range(bits), k)]
 
 
-def links(marks: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
+def links(marks: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS, keys: tuple[str, ...] = ("fp",), width: int = 64, kind: type = Forest, out: str = "a long, b long") -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` of ``marks`` that connect all that differ in ``budget`` bits or fewer.
 
     The edges are a forest for each trie node, not all pairs: the components are
-    those of all links.
+    those of all links.  With ``keys``, each of these columns is a fingerprint of
+    its own, of its ``width`` top bits, and ``fp`` but a row's name; a forest of
+    another ``kind`` sees the keys too, decides on each pair, and returns ``out``.
     """
-    n = budget + 1
-    sizes = [64 // n + (i < 64 % n) for i in range(n)]
+    n, gap = budget + 1, 64 - width
+    sizes = [width // n + (i < width % n) for i in range(n)]
     offsets = [sum(sizes[:i]) for i in range(n)]
+    whole = F.lit(-1 << gap)
+    carried = [c for c in keys if c != "fp"]
 
-    def turned(offset: int) -> Column:
-        return F.shiftleft("fp", offset).bitwiseOR(F.shiftrightunsigned("fp", 64 - offset)) if offset else F.col("fp")
+    def turned(key: str, offset: int) -> Column:
+        return F.shiftleft(F.col(key).bitwiseAND(whole), offset).bitwiseOR(F.shiftrightunsigned(F.col(key), width - offset).bitwiseAND(whole)) if offset else F.col(key).bitwiseAND(whole)
 
-    tries = F.array(*(F.struct(F.lit(i).cast("long").alias("trie"), turned(o).alias("key"), F.shiftrightunsigned(turned(o), 64 - s).alias("block")) for i, (o, s) in enumerate(zip(offsets, sizes, strict=True))))
-    rows = marks.select("fp", F.inline(tries))
+    places = [(c, o, s) for c in keys for o, s in zip(offsets, sizes, strict=True)]
+    tries = F.array(*(F.struct(F.lit(i).cast("long").alias("trie"), turned(c, o).alias("key"), F.shiftrightunsigned(turned(c, o), 64 - s).alias("block")) for i, (c, o, s) in enumerate(places)))
+    rows = marks.select("fp", *carried, F.inline(tries))
     large = rows.groupBy("trie", "block").agg(F.count("*").alias("n")).filter(F.col("n") > node_rows)
     rows = rows.join(large, ["trie", "block"], "left")
     deep = F.when(F.col("n").isNull(), 0).when(F.col("n") <= node_rows * 500, 10).otherwise(20)
     masks = F.when(F.col("deep") == 0, F.array(F.lit(0))).when(F.col("deep") == 10, F.array(*map(F.lit, _masks(10, budget)))).otherwise(F.array(*map(F.lit, _masks(20, budget))))
     rows = rows.withColumn("deep", deep).withColumn("mask", F.explode(masks))
-    own = F.coalesce(*(F.when((F.col("trie") == i) & (F.col("deep") == d), F.shiftrightunsigned("key", 64 - s - d).bitwiseAND(F.lit((1 << d) - 1))) for i, s in enumerate(sizes) for d in (10, 20)), F.lit(0).cast("long"))
+    size = F.array(*(F.lit(s) for _, _, s in places))[F.col("trie").cast("int")]
+    own = F.when(F.col("deep") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("key"), 64 - size - F.col("deep")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("deep")) - 1))
     rows = rows.withColumn("own", own).withColumn("other", F.col("own").bitwiseXOR(F.col("mask").cast("long")))
-    rows = rows.select((F.col("trie") + F.col("deep") * 100).alias("trie"), "block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("long").alias("side"), "key", "fp")
+    rows = rows.select((F.col("trie") + F.col("deep") * 100).alias("trie"), "block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("long").alias("side"), "key", "fp", *carried)
     group = ["trie", "block", "low", "high"]
     # keys are compared as unsigned numbers: flipping the sign bit makes Spark's signed order that order
     rows = rows.withColumn("order", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
     rows = rows.repartition(*group).sortWithinPartitions(*group, "side", "order").drop("order")
-    return rows.mapInArrow(lambda batches: _join(batches, sizes, budget), "a long, b long")
+    names, depths, given = [*group, "side", "key", "fp", *carried], [s for _, _, s in places], [c.split()[0] for c in out.split(", ")]
+    return rows.mapInArrow(lambda batches: _join(batches, names, depths, budget, width, kind, given), out)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:

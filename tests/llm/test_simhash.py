@@ -101,7 +101,7 @@ def test_repeated_and_missing_ids_and_no_rows(spark):
 
 def test_trie_memory_is_folded(spark):
     keys = np.sort(np.array([signed(1 << i | 1 << j) for i in range(40) for j in range(i)], np.int64).view(np.uint64))
-    forest = S._Forest(len(keys))
+    forest = S.Forest({"fp": np.arange(len(keys))})
     S.trie_links(keys, np.empty((0, 5), np.int64), np.array([[0, len(keys)]]), 0, 2, forest)
     assert len(set(forest.find(np.arange(len(keys))).tolist())) == 1
     assert spark.range(1).select(F.lit(1)).count() == 1
