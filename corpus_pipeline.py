@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signet.llm import bpe, mixing, quality, simhash
+from signet.llm import bpe, mixing, quality, similar
 from signet.llm.common import shared_dir, table
 
 
@@ -21,8 +21,8 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that operator 7 links: fingerprints of three-word shingles within two bits."""
-    return simhash.keep_one(docs)
+    """One document of each group whose five-word shingles are similar by 0.8 or more, by operator 7's trie self-join."""
+    return similar.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
