@@ -113,3 +113,15 @@ def redact(text: Column, longest: int = 500) -> Column:
     """Bare runs of 11 digits are masked, and what is left is cut at ``longest`` characters."""
     t = F.regexp_replace(text, r"(?<![0-9])[0-9]{11}(?![0-9])", "[REDACTED_TCKN]")
     return F.when(F.length(t) > longest, F.concat(F.left(t, F.lit(longest)), F.lit("…[TRUNCATED]"))).otherwise(t)
+
+
+# Words that say nothing in a group's name, and the names of ranks.
+GROUP_NOISE = ["grup", "grubu", "derece", "derecesi", "imza", "yetkili", "yetkilisi", "yetkilileri"]
+GROUP_RANKS = {"birinci": "1", "ikinci": "2", "ucuncu": "3", "dorduncu": "4", "besinci": "5", "altinci": "6", "i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6"}
+
+
+def group_code(text: Column) -> Column:
+    """A group's name without noise words; a rank that stands alone becomes its number; empty if nothing is left."""
+    kept = F.array_join(F.filter(F.split(F.coalesce(tr_normalize(text), F.lit("")), " "), lambda w: (w != "") & ~w.isin(GROUP_NOISE)), " ")
+    rank = F.create_map(*(F.lit(x) for pair in GROUP_RANKS.items() for x in pair))
+    return F.coalesce(F.try_element_at(rank, kept), kept)

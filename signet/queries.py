@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import record_queries as R
 from .functions import text as T
 from .operators import authority, comparison, pages
 
@@ -120,7 +121,7 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (authorize_batch, compare_checks, normalize_text, redact_text, identifier_checks, parse_dates, format_amounts, page_windows, page_runs, latest_version, next_version, audit_newest, dashboard_counts, denied_by_step, orphans)}
+    return {f.__name__: f for f in (authorize_batch, compare_checks, normalize_text, redact_text, identifier_checks, parse_dates, format_amounts, page_windows, page_runs, latest_version, next_version, audit_newest, dashboard_counts, denied_by_step, orphans, *R.ALL)}
 
 
 def _with(*names: str) -> str:
@@ -188,7 +189,7 @@ def _identifiers() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return R.oracle_sql(_normal) | {
         "authorize_batch": f"{_STEPS} SELECT * FROM decided",
         "compare_checks": _compare(),
         "normalize_text": f"SELECT doc_id, sha256({_normal('text')}) AS normal_sha256 FROM documents",
