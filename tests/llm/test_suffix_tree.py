@@ -105,3 +105,12 @@ def test_nothing_to_learn_or_score(spark):
     only = next(i for i in range(99) if out(i))
     row = S.score(spark.createDataFrame([(only, "ab")], "doc_id long, text string"), tree).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (2, 0, 0, 0.0) and row.score == pytest.approx(-3 * math.log10(256))
+
+
+def test_rare_contexts_are_kept_whatever_the_size_of_the_corpus(spark):
+    # 'qe' occurs twice; under a floor by share of all symbols it goes as the corpus grows
+    def has(times, **floor):
+        texts = [("mm qek",), ("nn qek",), *[("the an er " * 200,)] * times]
+        return int.from_bytes(b"eq", "big") in S.fit(spark.createDataFrame(texts, "text string"), **floor).contexts[1]
+
+    assert has(1) and has(600) and not has(600, p_min=1e-5)
