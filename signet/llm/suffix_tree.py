@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, stored, table
 
-DEPTH, LEAST, DIVERGENCE = 5, 2, 3.0
+DEPTH, LEAST, DIVERGENCE = 6, 2, 3.0
 NEAR = 3
 BLOCK_BYTES, CHUNK, SCORED = 32 << 20, 4 << 20, 1 << 20
 END = b"\x00"

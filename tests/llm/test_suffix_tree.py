@@ -114,3 +114,17 @@ def test_rare_contexts_are_kept_whatever_the_size_of_the_corpus(spark):
         return int.from_bytes(b"eq", "big") in S.fit(spark.createDataFrame(texts, "text string"), **floor).contexts[1]
 
     assert has(1) and has(600) and not has(600, p_min=1e-5)
+
+
+def test_default_depth_and_that_the_own_model_is_that_of_fit(spark, case):
+    rows, docs, train, *_ = case
+    own = S.score(docs).collect()
+    fitted = S.score(docs, S.fit(spark.createDataFrame([(t,) for t in train], "text string"))).collect()
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.score)
+    for a, b in zip(sorted(own, key=key), sorted(fitted, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+    counts, kept = brute_tree([(t or "").replace("\0", "\1") for t in train], 6, 0.0, 3.0)
+    for r in own[:40]:
+        text = {i: t for i, t in rows}.get(r.doc_id)
+        line = bytes(6) + " ".join(tokens(text)[:-1]).replace("\0", "\1").encode() + b"\0"
+        assert r.score == pytest.approx(sum(brute_log10(counts, kept, line[k - 6 : k], line[k]) for k in range(6, len(line))), rel=1e-9)
