@@ -14,8 +14,14 @@ A page then loses its noise branches and those whose tag, role or class says tha
 they aren't content (menus, headers, footers, asides, notices, adverts, forms, reader
 comments, scripts, styles).  If it has article or main elements, only they count.
 Nothing inside them is noise by importance, so that copies of an article on one
-host keep their text.  Where a page would lose everything, only tags and classes
-decide.
+host keep their text.
+
+Class words mark a node if a whole class is such a word or begins or ends with one,
+unless it says what a page has (has-sidebar, no-banner).  They never mark html, body,
+main and article, nor a node that holds main; nodes that hold an article only if the
+class is the word itself or names what has articles of its own (comments, related).
+A form that holds a page's parts (main, article, headings, menus) isn't dropped.
+Where words and forms would take all text but noise, importance alone decides.
 
 Null, empty and broken pages give what text they have, an empty string if none.
 Pages without a host count as a host of their own name, ''.  Repeated pages count
@@ -38,12 +44,15 @@ from .common import cut, shared_dir, table
 
 LEAST, MIN_PAGES, DECAY = 0.3, 8, 0.9
 #: Elements by how they are treated.
-DROPPED = set("aside button canvas datalist dialog embed footer form head iframe input menu nav noscript object optgroup option script select style svg template textarea title".split())
+DROPPED = set("aside button canvas datalist dialog embed footer head iframe input menu nav noscript object optgroup option script select style svg template textarea title".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 SPACE_INLINE = {"br", "img", "wbr"}
 MAIN = {"article", "main"}
+NEVER = {"html", "body", *MAIN}
+#: Elements that show that a form around them is a page's frame.
+PARTS = {*MAIN, "header", "nav", "footer", "h1", "h2"}
 CLOSED_BY_BLOCK = {"p"}
 #: Words in class, id and role that mark what isn't an article's text.
 HINTS = set(
@@ -53,36 +62,66 @@ HINTS = set(
 )
 #: Words that mark the frame of a page, but not of an article.
 OUTER_HINTS = {"header", "masthead", "head", "top", "bottom", "side", "legal", "tags", "tag", "form"}
+#: Words for what holds articles of its own, and words that tell what a page has or hasn't.
+LISTS = set("comment comments commentlist reply replies respond disqus related recommended recommendations trending promoted sponsored".split())
+STATES = set("has have no not non with without is show hide open opened closed enabled disabled off none js supports uses using".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _traits(tag: str, rest: str) -> tuple[str, bool, bool]:
-    """A node's key; whether its words say that it isn't content, anywhere and outside of an article."""
+def _strength(names: list[str], hints: set[str]) -> int:
+    """Whether class words mark a node: 2 if one is a hint itself or names a list of articles, 1 if one begins or ends with a hint."""
+    found = 0
+    for name in names:
+        if name.lower() in hints:
+            return 2
+        if parts := [w.lower() for w in WORDS.findall(name)]:
+            ends = {parts[0], parts[-1]} & hints
+            if ends and not STATES & set(parts):
+                found = max(found, 2 if len(parts) == 1 or ends & LISTS else 1)
+    return found
+
+
+def _traits(tag: str, rest: str) -> tuple[str, bool, int, int]:
+    """A node's key; whether it is hidden; how its words say that it isn't content, anywhere and outside of an article."""
     if "=" not in rest and "hidden" not in rest:
-        return tag, False, False
+        return tag, False, 0, 0
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
     names = found.get("class", "").split() + found.get("id", "").split()
-    words = {w.lower() for n in [*names, found.get("role", "")] for w in WORDS.findall(n)}
-    words |= {n.lower() for n in names}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     key = ".".join([tag, *(re.sub(r"[0-9]{3,}", "N", n) for n in names[:2])])
-    return key, hidden or bool(words & HINTS), bool(words & OUTER_HINTS)
+    if tag in NEVER:
+        return key, hidden and tag in MAIN, 0, 0
+    names += found.get("role", "").split()
+    return key, hidden, _strength(names, HINTS), _strength(names, OUTER_HINTS)
+
+
+class _Mark:
+    """A node that words (strength 1 or 2) or being a form (0) say isn't content, until what it holds says otherwise."""
+
+    __slots__ = ("strength", "stands")
+
+    def __init__(self, strength: int):
+        self.strength, self.stands = strength, True
+
+    def holds(self, tag: str) -> None:
+        if tag == "main" or (tag == "article" and self.strength < 2) or (self.strength == 0 and tag in PARTS):
+            self.stands = False
 
 
 class _Open:
-    __slots__ = ("tag", "path", "off", "main")
+    __slots__ = ("tag", "path", "off", "marks", "main")
 
-    def __init__(self, tag: str, path: str, off: bool, main: bool):
-        self.tag, self.path, self.off, self.main = tag, path, off, main
+    def __init__(self, tag: str, path: str, off: bool, marks: tuple[_Mark, ...], main: bool):
+        self.tag, self.path, self.off, self.marks, self.main = tag, path, off, marks, main
 
 
-def outline(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, set[str]]]:
-    """Blocks (path, dropped by tag or words, within an article, text) in page order, and each path's child keys."""
-    blocks: list[tuple[str, bool, bool, str]] = []
+def outline(html: str) -> tuple[list[tuple[str, int, bool, str]], dict[str, set[str]]]:
+    """Blocks (path, dropped by 1: words or forms, 2: tag or hidden, within an article, text) in page order, and each path's child keys."""
+    blocks: list[tuple[str, bool, tuple[_Mark, ...], bool, str]] = []
     styles: dict[str, set[str]] = {"": set()}
-    stack, parts, at, n = [_Open("", "", False, False)], [], 0, len(html)
+    stack, parts, at, n = [_Open("", "", False, (), False)], [], 0, len(html)
 
     def flush() -> None:
         if parts:
@@ -91,7 +130,7 @@ def outline(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, set
             parts.clear()
             if text:
                 top = stack[-1]
-                blocks.append((top.path, top.off, top.main, text))
+                blocks.append((top.path, top.off, top.marks, top.main, text))
 
     for m in iter(lambda: TAG.search(html, at), None):
         if m.start() > at:
@@ -115,8 +154,8 @@ def outline(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, set
                 at = end.end() if end else n
                 continue
             inline = tag in INLINE
-            key, off, outer = _traits(tag, m[3])
-            if inline and not off:
+            key, hidden, words, outer = _traits(tag, m[3])
+            if inline and not (hidden or words):
                 continue
             flush()
             if not inline:
@@ -129,11 +168,16 @@ def outline(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, set
                             break
             up = stack[-1]
             styles.setdefault(up.path, set()).add(key)
-            main = up.main or (tag in MAIN and not off and not up.off)
+            off = up.off or hidden or tag in DROPPED or (tag == "header" and not up.main)
+            main = up.main or (tag in MAIN and not off)
             path = f"{up.path}/{key}"
             styles.setdefault(path, set())
-            frame = not up.main and (tag == "header" or (outer and tag not in MAIN and tag != "body"))
-            stack.append(_Open(tag, path, up.off or tag in DROPPED or off or frame, main))
+            if tag in PARTS:
+                for mark in up.marks:
+                    mark.holds(tag)
+            words = max(words, 0 if up.main else outer)
+            marks = (*up.marks, _Mark(words)) if words else (*up.marks, _Mark(0)) if tag == "form" else up.marks
+            stack.append(_Open(tag, path, off, marks, main))
             if m[3].endswith("/"):
                 stack.pop()
         else:
@@ -149,20 +193,18 @@ def outline(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, set
     if at < n:
         parts.append(html[at:])
     flush()
-    return blocks, styles
+    return [(path, 2 if off else int(any(m.stands for m in marks)), main, text) for path, off, marks, main, text in blocks], styles
 
 
 def main_text(html: str | None, noise: set[str]) -> str:
     """The text of a page without its noise nodes (paths)."""
     blocks, _ = outline(html or "")
+    ends = lambda path: any(path[:i] in noise for i in [*(m.start() for m in re.finditer("/", path)), len(path)] if i)
     kept = [b for b in blocks if not b[1]]
-    inside = [b for b in kept if b[2]]
-    if inside:
-        kept = inside
-    elif noise:
-        ends = lambda path: any(path[:i] in noise for i in [*(m.start() for m in re.finditer("/", path)), len(path)] if i)
-        kept = [b for b in kept if not ends(b[0])] or kept
-    return "\n\n".join(b[3] for b in kept)
+    found: list[tuple[str, int, bool, str]] = []
+    for some in (kept, [b for b in blocks if b[1] < 2]):
+        found = found or [b for b in some if b[2]] or [b for b in some if not (noise and ends(b[0]))]
+    return "\n\n".join(b[3] for b in found or kept)
 
 
 def host(url: Column | str) -> Column:

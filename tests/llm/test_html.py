@@ -72,3 +72,33 @@ def test_repeated_branches_go_and_unique_ones_stay(spark):
     assert got[900].text == got[901].text == "" and got[None].text == "lone"
     assert all(got[c[0]].text == "same article text" for c in copies)
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "<body class='single right-sidebar'>{}</body>",
+        "<html class='js cookies'><body>{}</body></html>",
+        "<main class='content has-sidebar'>{}</main>",
+        "<article class='post comments-open'>{}</article>",
+        "<div id='page' class='no-banner'>{}</div>",
+        "<div class='right-sidebar'><main>{}</main></div>",
+        "<div class='sidebar-layout'><article>{}</article></div>",
+        "<form id=aspnet><header>Site</header><nav>Menu</nav><div>{}</div></form>",
+        "<form><div>{}</div></form>",
+        "<div class='sidebar'><div>{}</div></div>",
+    ],
+)
+def test_ordinary_wrappers_keep_the_text(frame):
+    page = "<h1>Head</h1><p>One two</p><div class='site-footer'>Foot</div>" if "form><div" not in frame and "'sidebar'" not in frame else "<h1>Head</h1><p>One two</p>"
+    assert H.main_text(frame.format(page), set()) == "Head\n\nOne two"
+
+
+def test_marked_nodes_go_beside_the_text():
+    lists = "<div id=comments><article class=comment-body>Reader</article></div><div class=related-posts><article>Teaser</article></div><div class=left-sidebar>Side</div><form>Search</form>"
+    assert H.main_text(f"<article>Text</article>{lists}", set()) == H.main_text(f"<p>Text{lists}", set()) == "Text"
+
+
+def test_importance_decides_where_words_take_all_but_noise():
+    page = "<div class=q>tail</div><div class=sidebar><p>Text</p><div class=q>tail</div></div>"
+    assert H.main_text(page, {"/div.q", "/div.sidebar/div.q"}) == "Text"
