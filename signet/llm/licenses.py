@@ -3,7 +3,8 @@
 Known licence texts and a document are brought to one canonical form (case,
 punctuation, white space, copyright lines, equivalent spellings), and the digests of
 entire canonical texts are hash-joined: a document as a whole, and each of its lines
-as a notice.  The known side is a fixed list, so it is broadcast; lines are neither
+as a notice.  The known side is the fixed lists here and the whole texts in
+license_texts, or a table that is passed in; it is broadcast; lines are neither
 shuffled nor kept.  Matches are few; they are grouped by document.
 
 Null, empty and white texts match nothing.  Rows that repeat an id share what is
@@ -12,6 +13,9 @@ found in any of them, and so do rows without an id.  Only doc_id and text are re
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,14 @@ TEXTS = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."),
 ]
+#: Names whose SPDX lines are notices.
+SPDX = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.2-only GFDL-1.3-only"
+    " GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later"
+    " MIT MIT-0 MPL-1.1 MPL-2.0 Unlicense WTFPL Zlib"
+).split()
+#: Where the terms of a whole text end and advice on using it begins.
+AFTER_TERMS = re.compile(r"^[ \t]*END OF TERMS AND CONDITIONS[ \t]*$", re.M)
 #: Spellings that count as the one after them, in lower-case text without punctuation.
 SPELLINGS = [
     ("licence", "license"),
@@ -90,16 +102,41 @@ def known(spark: SparkSession) -> DataFrame:
     """digest, license, whole: of the fixed texts (whole) and notices."""
     rows = [(name, text, True) for name, text in TEXTS] + [(name, text, False) for name, text in NOTICES]
     fixed = spark.createDataFrame(rows, "license string, text string, whole boolean")
-    return fixed.select(F.sha2(whole(canonical_lines(F.col("text"))), 256).alias("digest"), "license", "whole").distinct()
+    return digests(fixed)
+
+
+def shipped() -> list[tuple[str, str, bool]]:
+    """license, text, whole: of the files of whole texts, with and without what follows their terms, and of SPDX lines."""
+    rows = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text("utf-8")
+        rows.append((path.stem, text, True))
+        if after := AFTER_TERMS.search(text):
+            rows += [(path.stem, text[:at], True) for at in (after.start(), after.end())]
+    return rows + [(name, f"SPDX-License-Identifier: {name}", False) for name in SPDX]
+
+
+def digests(texts: DataFrame) -> DataFrame:
+    """digest, license, whole: of ``texts`` (license, text, whole)."""
+    return texts.select(F.sha2(whole(canonical_lines(F.col("text"))), 256).alias("digest"), "license", "whole").distinct()
+
+
+def every_known(spark: SparkSession) -> DataFrame:
+    """What ``known`` has and what is shipped."""
+    return known(spark).unionByName(digests(spark.createDataFrame(shipped(), "license string, text string, whole boolean"))).distinct()
+
 
+def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """doc_id, line (from 1; 0: the text as a whole), license: every match of ``docs`` (doc_id, text).
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 1; 0: the text as a whole), license: every match of ``docs`` (doc_id, text)."""
+    ``texts`` (license, text, whole) are the known ones instead of those of this module.
+    """
+    against = every_known(docs.sparkSession) if texts is None else digests(texts)
     rows = docs.select("doc_id", canonical_lines(F.coalesce("text", F.lit(""))).alias("lines"))
     parts = F.transform("lines", lambda form, i: F.struct((i + 1).alias("line"), form.alias("form")))
     units = rows.select("doc_id", F.inline(F.concat(F.array(F.struct(F.lit(0).alias("line"), whole(F.col("lines")).alias("form"))), parts)))
     units = units.filter("form != ''").select("doc_id", "line", F.sha2("form", 256).alias("digest"))
-    return units.join(F.broadcast(known(docs.sparkSession)), "digest").select("doc_id", "line", "license")
+    return units.join(F.broadcast(against.select("digest", "license").distinct()), "digest").select("doc_id", "line", "license")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
