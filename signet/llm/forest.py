@@ -43,6 +43,10 @@ TREES, LEAF, SAMPLE, PART_ROWS, QUERY_ROWS = 8, 256, 65_536, 65_536, 65_536
 SHARE, CANDIDATES = 1.0, 12_000
 
 
+#: Products of a query and vectors that differ by less than this share of their lengths' product count as tied until scored exactly.
+ROUNDING = 1e-12
+
+
 @dataclass
 class Forest:
     """Complete binary trees of one depth: node k of a tree has children 2k + 1 and 2k + 2."""
@@ -226,7 +230,10 @@ def search(vectors: DataFrame, asked: DataFrame, shown: int = SHOWN, candidates:
         turn = np.argsort(wanted, kind="stable")
         wanted, by = wanted[turn], by[turn]
         keep = shown + 4
-        best, at = np.full((len(q), keep), -np.inf), np.full((len(q), keep), -1)
+        # the best by score, then those that tie with the last of these, by the smallest rep
+        best, at = np.full((len(q), 2 * keep), -np.inf), np.full((len(q), 2 * keep), -1)
+        longest = np.sqrt((x.astype(float) ** 2).sum(1).max())
+        margin = ROUNDING * longest * np.sqrt((q.astype(float) ** 2).sum(1))
         for one in np.unique(wanted):
             rows = order[slice(*np.searchsorted(leaf[order], [one, one + 1]))]
             asks_it = by[slice(*np.searchsorted(wanted, [one, one + 1]))]
@@ -237,7 +244,17 @@ def search(vectors: DataFrame, asked: DataFrame, shown: int = SHOWN, candidates:
                     near = np.concatenate([best[some], q[some] @ x[own].T], axis=1)
                     place = np.concatenate([at[some], np.broadcast_to(own, (len(some), len(own)))], axis=1)
                     top = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-                    best[some], at[some] = np.take_along_axis(near, top, 1), np.take_along_axis(place, top, 1)
+                    score = np.take_along_axis(near, top, 1)
+                    lowest = score.min(1) - margin[some]
+                    found, found_at = np.full((len(some), 2 * keep), -np.inf), np.full((len(some), 2 * keep), -1)
+                    found[:, :keep], found_at[:, :keep] = score, np.take_along_axis(place, top, 1)
+                    for r in np.flatnonzero(((near >= lowest[:, None]) & (near > -np.inf)).sum(1) > keep):
+                        tied = (near[r] >= lowest[r]) & (near[r] > -np.inf)
+                        tied[top[r]] = False
+                        tied = np.flatnonzero(tied)
+                        tied = tied[np.argsort(rep[place[r, tied]])[:keep]]
+                        found[r, keep : keep + len(tied)], found_at[r, keep : keep + len(tied)] = near[r, tied], place[r, tied]
+                    best[some], at[some] = found, found_at
         i, k = np.nonzero(at >= 0)
         j = at[i, k]
         score = np.concatenate([(x[j[low : low + 65536]] * q[i[low : low + 65536]]).sum(1) for low in range(0, len(j), 65536)] or [np.empty(0)])

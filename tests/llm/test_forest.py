@@ -55,3 +55,11 @@ def test_recall_of_a_partial_search(spark, n):
 def test_few_and_no_rows(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in ask(spark, [(5, [1.0, 2.0], 0), (6, [1.0, 0.0], 0), (7, [9.0], 0)])] == [(5, 1, 6)]
     assert ask(spark, [(5, [1.0], 0)]) == [] and ask(spark, []) == [] and ask(spark, [(5, [0.0], 0)]) == []
+
+
+def test_ties_of_different_vectors_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(4)
+    bits = rng.permutation([[float(n >> b & 1) for b in range(10)] for n in range(1, 1024) if n.bit_count() in (3, 4)])
+    rows = [(i, list(map(float, v)), 0) for i, v in enumerate(bits)]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ask(spark, rows, leaf=512)}
+    assert got == {(q, rank): (i, s) for q, rank, i, s in brute(rows, 20, 5)}
