@@ -120,6 +120,41 @@ def _unpacked(data: bytes, kinds: int, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(8, kinds).T).view(dtype).ravel()
 
 
+def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, word, c) as pieces by block: their words joined by a space, and the counts."""
+    names, held = ["block", "kinds", "size", "words", "counts"], []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        order = np.argsort(rows.column("block").to_numpy(), kind="stable")
+        rows = rows.take(pa.array(order))
+        block, c = rows.column("block").to_numpy(), rows.column("c").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        made = []
+        for low, high in zip(starts, np.append(starts[1:], len(block)), strict=True):
+            line = b" ".join(rows.column("word").slice(low, high - low).to_pylist())
+            made.append((block[low], high - low, len(line), pa.Codec("zstd", compression_level=1).compress(line, asbytes=True), _packed(np.ascontiguousarray(c[low:high]))))
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), types, strict=True)], names=names)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= 1 << 18:
+            yield from out()
+            held.clear()
+    if sum(b.num_rows for b in held):
+        yield from out()
+
+
+def _packed_logs(logs: np.ndarray) -> bytes:
+    """Logarithms in steps of 2 ** -40, which take fewer bytes than doubles do: each is off by less than 1e-12."""
+    return _packed(np.round(logs * 2.0**40).astype(np.int64))
+
+
+def _unpacked_logs(data: bytes, kinds: int) -> np.ndarray:
+    return _unpacked(data, kinds, np.int64) * 2.0**-40
+
+
 def _packed_grams(found: np.ndarray) -> bytes:
     return _packed(np.diff(found, prepend=np.uint64(0)))
 
@@ -405,7 +440,7 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
             sums.add(_unpacked_grams(grams, kinds), np.zeros(kinds, np.int64) if counts is None else _unpacked(counts, kinds, np.int64))
         every, n = sums.all()
         logs = grown(every, n, *shared.value, divergence).log10(every)
-        asked = [(block, kinds, grams, _packed(logs[np.searchsorted(every, _unpacked_grams(grams, kinds))])) for block, kinds, grams, _ in asked if block >= 0]
+        asked = [(block, kinds, grams, _packed_logs(logs[np.searchsorted(every, _unpacked_grams(grams, kinds))])) for block, kinds, grams, _ in asked if block >= 0]
         made = [list(x) for x in zip(*asked, strict=True)] or [[]] * 4
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "kinds", "grams", "logs"])
 
@@ -416,11 +451,13 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     totals = counted.agg(F.struct(tokens, kinds).alias("totals"))
 
     def scored(own: pa.Table, known: pa.Table) -> pa.Table:
-        of_words, of_grams = known.filter(pc.is_valid(known.column("word"))), known.filter(pc.is_valid(known.column("grams")))
-        log = dict(zip(of_words.column("word").to_pylist(), np.log10(of_words.column("c").to_numpy() + 1.0).tolist(), strict=True))
+        of_words, of_grams = known.filter(pc.is_valid(known.column("words"))), known.filter(pc.is_valid(known.column("grams")))
+        log = {}
+        for kinds, size, line, c in zip(*(of_words.column(c).to_pylist() for c in ("kinds", "size", "words", "counts")), strict=True):
+            log.update(zip(pa.Codec("zstd").decompress(line, size, asbytes=True).split(b" "), np.log10(_unpacked(c, kinds, np.int64) + 1.0).tolist(), strict=True))
         sent = list(zip(*(of_grams.column(c).to_pylist() for c in ("kinds", "grams", "logs")), strict=True))
         grams = np.concatenate([np.zeros(0, np.uint64), *(_unpacked_grams(g, k) for k, g, _ in sent)])
-        logs_of = np.concatenate([np.zeros(0), *(_unpacked(v, k, np.float64) for k, _, v in sent)])
+        logs_of = np.concatenate([np.zeros(0), *(_unpacked_logs(v, k) for k, _, v in sent)])
         order = np.argsort(grams, kind="stable")
         grams, logs_of = grams[order], logs_of[order]
         n_tokens, n_known, base, lines = [], [], [], []
@@ -435,7 +472,8 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
         made = [own.column("doc_id"), own.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(by_tree, pa.float64())]
         return pa.Table.from_arrays(made, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
-    back = counted.select("block", "word", "c").unionByName(answers, allowMissingColumns=True)
+    of_words = counted.select("block", "word", "c").mapInArrow(_packed_words, "block int, kinds int, size int, words binary, counts binary")
+    back = of_words.unionByName(answers, allowMissingColumns=True)
     rows = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     rows = rows.withColumn("totals", totals.scalar())
     base = F.col("base") - F.col("n_tokens") * F.log10(F.col("totals.tokens") + F.col("totals.kinds") + 1)
