@@ -81,9 +81,11 @@ def trie_links(keys: np.ndarray, pairs: np.ndarray, selfs: np.ndarray, depth: in
     ``pairs``: rows (low, high, low, high, differing bits so far) of node pairs;
     ``selfs``: rows (low, high) of nodes to join with themselves; all have read
     ``depth`` bits from the top, of which ``width`` count.  Leaves of several equal
-    keys go to ``link.leaves(low, high, low, high)``.
+    keys go to ``link.leaves(low, high, low, high)``.  Nodes whose rows are connected
+    already are passed over.
     """
     for bit in range(63 - depth, 63 - width, -1):
+        pairs, selfs = link.apart(pairs, selfs)
         lone = (pairs[:, 1] - pairs[:, 0] == 1) & (pairs[:, 3] - pairs[:, 2] == 1)
         if lone.any():  # two leaves: the rest of the bits at once
             i, j = pairs[lone, 0], pairs[lone, 2]
@@ -117,6 +119,17 @@ class Forest:
 
     def __init__(self, rows: dict[str, np.ndarray]):
         self.fp, self.root = rows["fp"], np.arange(len(rows["fp"]))
+        if "root" in rows:  # what is connected from the start
+            _, first, which = np.unique(rows["root"], return_index=True, return_inverse=True)
+            self.root = first[which]
+
+    def apart(self, pairs: np.ndarray, selfs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of both whose rows aren't all of one component."""
+        root = self.find(np.arange(len(self.root)))
+        turns = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
+        al, ah, bl, bh, _ = pairs.T
+        one = (turns[al] == turns[ah - 1]) & (turns[bl] == turns[bh - 1]) & (root[al] == root[bl])
+        return pairs[~one], selfs[turns[selfs[:, 0]] != turns[selfs[:, 1] - 1]]
 
     def leaves(self, al: int, ah: int, bl: int, bh: int) -> None:
         """All of both leaves are linked: each with the first of the other."""
@@ -143,8 +156,8 @@ class Forest:
         return at
 
 
-def _edges(rows: dict[str, np.ndarray], depth: int, budget: int, width: int, kind: type) -> list[np.ndarray]:
-    """Links of whole groups, folded into a forest of ``kind``; rows are sorted by group and key."""
+def _edges(rows: dict[str, np.ndarray], depth: int, budget: int) -> list[np.ndarray]:
+    """Links of whole groups, folded into a forest; rows are sorted by group and key."""
     keys, groups = rows["key"].view(np.uint64), np.stack([rows[c] for c in ("trie", "block", "low", "high")])
     starts = np.flatnonzero(np.concatenate([[True], (groups[:, 1:] != groups[:, :-1]).any(0)]))
     ends = np.append(starts[1:], len(keys))
@@ -156,20 +169,20 @@ def _edges(rows: dict[str, np.ndarray], depth: int, budget: int, width: int, kin
     middle = ends - (sides[ends] - sides[starts])
     pairs = np.stack((starts, middle, middle, ends, np.bitwise_count(low ^ high).astype(np.int64)), 1)[two]
     pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3])]
-    forest = kind(rows)
-    trie_links(keys, pairs, selfs, depth, budget, forest, width)
+    forest = Forest(rows)
+    trie_links(keys, pairs, selfs, depth, budget, forest)
     return forest.edges()
 
 
-def _join(batches: Iterator[pa.RecordBatch], names: list[str], depths: list[int], budget: int, width: int, kind: type, out: list[str]) -> Iterator[pa.RecordBatch]:
+def _join(batches: Iterator[pa.RecordBatch], names: list[str], depths: list[int], budget: int) -> Iterator[pa.RecordBatch]:
     """Joins a sorted partition group by group, many whole groups at a time."""
     held: dict[str, np.ndarray] = {c: np.empty(0, np.int64) for c in names}
 
     def flush(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for trie in np.unique(rows["trie"]):  # the trie's number, and in hundreds the bits it was dealt out by
             own = rows["trie"] == trie
-            found = _edges({c: x[own] for c, x in rows.items()}, depths[trie % 100] + trie // 100, budget, width, kind)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, found)], names=out)
+            found = _edges({c: x[own] for c, x in rows.items()}, depths[trie % 100] + trie // 100, budget)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found)], names=["a", "b"])
 
     for batch in batches:
         now = {c: np.concatenate([held[c], batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for c in names}
@@ -190,41 +203,35 @@ def _masks(bits: int, budget: int) -> list[int]:
     return [sum(1 << b for b in chosen) for k in range(budget + 1) for chosen in combinations(range(bits), k)]
 
 
-def links(marks: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS, keys: tuple[str, ...] = ("fp",), width: int = 64, kind: type = Forest, out: str = "a long, b long") -> DataFrame:
+def links(marks: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` of ``marks`` that connect all that differ in ``budget`` bits or fewer.
 
     The edges are a forest for each trie node, not all pairs: the components are
-    those of all links.  With ``keys``, each of these columns is a fingerprint of
-    its own, of its ``width`` top bits, and ``fp`` but a row's name; a forest of
-    another ``kind`` sees the keys too, decides on each pair, and returns ``out``.
+    those of all links.
     """
-    n, gap = budget + 1, 64 - width
-    sizes = [width // n + (i < width % n) for i in range(n)]
+    n = budget + 1
+    sizes = [64 // n + (i < 64 % n) for i in range(n)]
     offsets = [sum(sizes[:i]) for i in range(n)]
-    whole = F.lit(-1 << gap)
-    carried = [c for c in keys if c != "fp"]
 
-    def turned(key: str, offset: int) -> Column:
-        return F.shiftleft(F.col(key).bitwiseAND(whole), offset).bitwiseOR(F.shiftrightunsigned(F.col(key), width - offset).bitwiseAND(whole)) if offset else F.col(key).bitwiseAND(whole)
+    def turned(offset: int) -> Column:
+        return F.shiftleft("fp", offset).bitwiseOR(F.shiftrightunsigned("fp", 64 - offset)) if offset else F.col("fp")
 
-    places = [(c, o, s) for c in keys for o, s in zip(offsets, sizes, strict=True)]
-    tries = F.array(*(F.struct(F.lit(i).cast("long").alias("trie"), turned(c, o).alias("key"), F.shiftrightunsigned(turned(c, o), 64 - s).alias("block")) for i, (c, o, s) in enumerate(places)))
-    rows = marks.select("fp", *carried, F.inline(tries))
+    tries = F.array(*(F.struct(F.lit(i).cast("long").alias("trie"), turned(o).alias("key"), F.shiftrightunsigned(turned(o), 64 - s).alias("block")) for i, (o, s) in enumerate(zip(offsets, sizes, strict=True))))
+    rows = marks.select("fp", F.inline(tries))
     large = rows.groupBy("trie", "block").agg(F.count("*").alias("n")).filter(F.col("n") > node_rows)
     rows = rows.join(large, ["trie", "block"], "left")
     deep = F.when(F.col("n").isNull(), 0).when(F.col("n") <= node_rows * 500, 10).otherwise(20)
     masks = F.when(F.col("deep") == 0, F.array(F.lit(0))).when(F.col("deep") == 10, F.array(*map(F.lit, _masks(10, budget)))).otherwise(F.array(*map(F.lit, _masks(20, budget))))
     rows = rows.withColumn("deep", deep).withColumn("mask", F.explode(masks))
-    size = F.array(*(F.lit(s) for _, _, s in places))[F.col("trie").cast("int")]
+    size = F.array(*map(F.lit, sizes))[F.col("trie").cast("int")]
     own = F.when(F.col("deep") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("key"), 64 - size - F.col("deep")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("deep")) - 1))
     rows = rows.withColumn("own", own).withColumn("other", F.col("own").bitwiseXOR(F.col("mask").cast("long")))
-    rows = rows.select((F.col("trie") + F.col("deep") * 100).alias("trie"), "block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("long").alias("side"), "key", "fp", *carried)
+    rows = rows.select((F.col("trie") + F.col("deep") * 100).alias("trie"), "block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("long").alias("side"), "key", "fp")
     group = ["trie", "block", "low", "high"]
     # keys are compared as unsigned numbers: flipping the sign bit makes Spark's signed order that order
     rows = rows.withColumn("order", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
     rows = rows.repartition(*group).sortWithinPartitions(*group, "side", "order").drop("order")
-    names, depths, given = [*group, "side", "key", "fp", *carried], [s for _, _, s in places], [c.split()[0] for c in out.split(", ")]
-    return rows.mapInArrow(lambda batches: _join(batches, names, depths, budget, width, kind, given), out)
+    return rows.mapInArrow(lambda batches: _join(batches, [*group, "side", "key", "fp"], sizes, budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -238,27 +245,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return ids.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (with doc_id, text) whose doc_id leads its component: one document of each group stays.
-
-    Rows that repeat an id, or have none, can't be told apart by it; if there are
-    any, these few rows are decided by their own fingerprints, and one row stays for
-    each id and component.
-    """
-    found = cut(near_duplicates(docs))
-    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    drop = found.filter(~leads).select("doc_id")
-    odd = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id"))
-    if odd.isEmpty():
-        return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id"))
-    sure = docs.alias("d").join(drop.union(odd).distinct().alias("x"), same, "left_anti")
-    some = docs.alias("d").join(odd.alias("x"), same, "left_semi").withColumn("__text", F.col("text"))
-    groups = found.select("fp", F.col("component_id").alias("__least"), F.col("root").alias("__root")).distinct()
-    some = with_fingerprints(some, "__text").join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("__least")))
-    return sure.unionByName(some.dropDuplicates(["doc_id", "__root"]).select(docs.columns))
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

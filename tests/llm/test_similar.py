@@ -33,7 +33,7 @@ def leads(rows):
 
 
 def corpus(seed=2):
-    """Edited copies whose similarity isn't within 0.02 of the threshold, where sampling misses some."""
+    """Texts and edited copies, many of them near the threshold."""
     rng, words = random.Random(seed), [f"w{i}" for i in range(5000)]
     texts = [None, "", " \n", "one two", "One  two", "one two three"]
     for _ in range(120):
@@ -43,22 +43,44 @@ def corpus(seed=2):
             other = list(base)
             for _ in range(rng.randrange(len(base) // 20)):
                 other[rng.randrange(len(other))] = rng.choice(words)
-            sim = plain(" ".join(base)), plain(" ".join(other))
-            sim = len(sim[0] & sim[1]) / len(sim[0] | sim[1])
-            if not 0.78 < sim < 0.83:
-                texts.append(" ".join(other))
+            texts.append(" ".join(other))
     rng.shuffle(texts)
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("node_rows", [20_000, 30])
-def test_groups_equal_brute_force(spark, node_rows):
+@pytest.mark.parametrize(("node_rows", "cell_bytes"), [(20_000, 16 << 20), (30, 16 << 20), (20_000, 9000), (5, 3000)])
+def test_groups_equal_brute_force(spark, node_rows, cell_bytes):
     rows = corpus()
     truth = leads(rows)
-    got = {r.doc_id: r.lead_id for r in S.groups(spark.createDataFrame(rows, "doc_id long, text string"), node_rows=node_rows).collect()}
-    assert got.keys() == truth.keys()
-    wrong = [i for i in truth if got[i] != truth[i]]
-    assert len(wrong) <= 2 and len(set(truth.values())) < len(rows) - 50
+    got = {r.doc_id: r.lead_id for r in S.groups(spark.createDataFrame(rows, "doc_id long, text string"), node_rows=node_rows, cell_bytes=cell_bytes).collect()}
+    assert got == truth and len(set(truth.values())) < len(rows) - 50
+
+
+def family(rng, n, step=1, length=60, vocabulary=3000):
+    """Copies of one text with one word replaced in each: all are near each other, some are similar."""
+    base = [f"w{rng.randrange(vocabulary)}" for _ in range(length)]
+    return [" ".join([*base[:k], f"x{i}", *base[k + 1 :]]) for i in range(n) for k in [rng.randrange(6, length - 6, step)]]
+
+
+@pytest.mark.parametrize("cell_bytes", [16 << 20, 40_000])
+def test_no_link_hides_behind_near_texts_that_are_not_similar(spark, cell_bytes):
+    rows = list(enumerate(family(random.Random(7), 400, 3)))
+    truth = leads(rows)
+    assert 10 < len(set(truth.values())) < 30
+    got = {r.doc_id: r.lead_id for r in S.groups(spark.createDataFrame(rows, "doc_id long, text string"), node_rows=150, cell_bytes=cell_bytes).collect()}
+    assert got == truth
+
+
+def test_edges_of_many_near_copies_stay_few(spark):
+    rows = list(enumerate(family(random.Random(8), 5000)))
+    texts = spark.createDataFrame(rows, "fp long, text string")
+    marks = texts.mapInArrow(lambda batches: S._sketched(batches, 5), ", ".join(f"{c} long" for c in ("fp", *S.SKETCH, *S.MARKS)))
+    cells = S.F.array(*(S.F.shiftleft(S.F.col(c), 3).bitwiseOR(S.F.lit(i)) for i, c in enumerate(S.MARKS)))
+    near = S.joined(marks.select(S.F.explode(cells).alias("cell"), "fp", S.F.lit(1).alias("weight")), marks.select("fp", *S.SKETCH), 1000, S._near)
+    assert near.count() <= 2 * S.BANDS * len(rows)
+    cell = texts.select(S.F.lit(1).cast("long").alias("cell"), "fp", S.F.lit(500).alias("weight"))
+    found = S.joined(cell, texts, 400_000, lambda batches: S._similar(batches, 5, 0.8))
+    assert found.count() <= 5 * len(rows)
 
 
 def test_a_group_of_many_near_copies(spark):
