@@ -96,10 +96,10 @@ def test_sketches_estimate_similarity():
     for cut in (30, 100, 300):
         a = [f"w{rng.randrange(9000)}" for _ in range(900)]
         b = a[cut:] + [f"v{i}" for i in range(cut)]
-        bits = np.bitwise_count((S.sketch(" ".join(a)) ^ S.sketch(" ".join(b))).view(np.uint64)).sum()
+        bits = np.bitwise_count((S.sketch(" ".join(a)) ^ S.sketch(" ".join(b)))[:8].view(np.uint64)).sum()
         assert abs(1 - bits / 256 - S.jaccard(" ".join(a), " ".join(b))) < 0.12
     long = " ".join(f"w{i % 70_000}" for i in range(200_000))
-    assert (S.sketch(long) == S.sketch(long + " w0")).mean() >= 0.7
+    assert (S.sketch(long) == S.sketch(long + " w0"))[:8].mean() >= 0.7
 
 
 def test_repeated_and_missing_ids_clashing_columns_and_no_rows(spark):
