@@ -5,23 +5,33 @@ a node is a path of tags with class names, a style is the set of its children's
 keys, and a feature is the text of a block.  Counts of styles and features over a
 host's distinct pages give each node's importance: the entropy of its presentation
 styles, and for content one less the entropy of its features (text that stands on
-every page has importance 0).  A node's ancestors sum up what is below it.  Nodes
-under LEAST importance on MIN_PAGES pages or more are noise; they are few for each
-host, written to the shared folder, and joined to the pages by host (Spark
-broadcasts them if their files are small enough).
+every page has importance 0).  A node's ancestors sum up what is below it.  What few
+pages of a host say is filled up by the tree of all hosts, in the weight of PRIOR
+pages, so small hosts need no rule of their own.
 
-A page then loses its noise branches and those whose tag, role or class says that
-they aren't content (menus, headers, footers, asides, notices, adverts, forms, reader
-comments, scripts, styles).  If it has article or main elements, only they count.
-Nothing inside them is noise by importance, so that copies of an article on one
-host keep their text.
+A page loses the branches whose importance is under their bar:
+
+- neutral nodes, a share (LEAST) of the importance of the article or body around them:
+  what repeats among text that doesn't.  Copies of an article lower both alike.
+- nodes with words that may mark adverts, notices, shares or related pages: a
+  high bar, lower where the word is only a part of a class or stands in an id.
+  Adverts look alike on all pages, whatever they say, so they stay below it.
+
+Elements and words that by themselves say what isn't the article go without asking
+(menus, headers, footers, asides, forms, reader comments, scripts, styles).  If a page
+has article or main elements, only what stands in them counts.
 
 Class words mark a node if a whole class is such a word or begins or ends with one,
-unless it says what a page has (has-sidebar, no-banner).  They never mark html, body,
-main and article, nor a node that holds main; nodes that hold an article only if the
-class is the word itself or names what has articles of its own (comments, related).
-A form that holds a page's parts (main, article, headings, menus) isn't dropped.
-Where words and forms would take all text but noise, importance alone decides.
+unless it says what a page has (has-sidebar, no-banner).  Paragraphs, headings and
+tables of an article are never gone without asking, nor do ids of headings count.
+Words never mark html, body, main and article, nor a node that holds main; nodes that
+hold an article only if the class is the word itself or names what has articles of its
+own (comments, related).  A form that holds a page's parts (main, article, headings,
+menus) isn't dropped.  Where words and forms would take all text but noise, importance
+alone decides.
+
+Nodes deeper than DEEP count as the one there, so a page's outline takes memory in
+proportion to its length; a quote that is never closed ends with its tag.
 
 Null, empty and broken pages give what text they have, an empty string if none.
 Pages without a host count as a host of their own name, ''.  Repeated pages count
@@ -33,16 +43,21 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir, table
 
-LEAST, MIN_PAGES, DECAY = 0.3, 8, 0.9
+LEAST, DECAY, PRIOR, UNKNOWN, DEEP = 0.3, 0.9, 8, 0.9, 32
+#: Importance under which a node goes whose words may mark noise: a part of a class or an id, and a whole class.
+BARS = {1: 0.6, 2: 0.97}
 #: Elements by how they are treated.
 DROPPED = set("aside button canvas datalist dialog embed footer head iframe input menu nav noscript object optgroup option script select style svg template textarea title".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg"}
@@ -50,28 +65,32 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 SPACE_INLINE = {"br", "img", "wbr"}
 MAIN = {"article", "main"}
-NEVER = {"html", "body", *MAIN}
+NEVER, HEADINGS = {"html", "body", *MAIN}, {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that show that a form around them is a page's frame.
 PARTS = {*MAIN, "header", "nav", "footer", "h1", "h2"}
 CLOSED_BY_BLOCK = {"p"}
+TEXT = set("p h1 h2 h3 h4 h5 h6 pre blockquote table figure dl ul ol".split())
 #: Words in class, id and role that mark what isn't an article's text.
 HINTS = set(
-    "ad ads adsense advert adverts advertisement advertisements adbox adslot sponsor sponsored promo promoted promotion banner sidebar sidenav sidebars rail widget widgets nav navbar navigation menu menubar breadcrumb breadcrumbs topbar"
-    " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search searchbox share sharing social follow related recommended recommendations trending"
-    " comment comments commentlist reply replies respond disqus pagination pager skip toolbar disclaimer footer contentinfo complementary colophon copyright hidden".split()
+    "sidebar sidenav sidebars nav navbar navigation menu menubar breadcrumb breadcrumbs topbar"
+    " cookie cookies consent gdpr newsletter subscribe subscription signup login search searchbox"
+    " comment comments commentlist reply replies respond disqus pagination pager footer contentinfo complementary colophon hidden".split()
 )
+#: Words that may mark adverts, and others that may mark what isn't an article's text.
+ADVERTS = set("ad ads adsense advert adverts advertisement advertisements adbox adslot sponsor sponsored promo promoted promotion".split())
+WEIGHED = ADVERTS | set("banner rail widget widgets notice notices notification alert popup modal overlay share sharing social follow related recommended recommendations trending skip toolbar disclaimer copyright".split())
 #: Words that mark the frame of a page, but not of an article.
 OUTER_HINTS = {"header", "masthead", "head", "top", "bottom", "side", "legal", "tags", "tag", "form"}
 #: Words for what holds articles of its own, and words that tell what a page has or hasn't.
 LISTS = set("comment comments commentlist reply replies respond disqus related recommended recommendations trending promoted sponsored".split())
 STATES = set("has have no not non with without is show hide open opened closed enabled disabled off none js supports uses using".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+TAG, STOP = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])"), re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _strength(names: list[str], hints: set[str]) -> int:
-    """Whether class words mark a node: 2 if one is a hint itself or names a list of articles, 1 if one begins or ends with a hint."""
+def _strength(names: list[str], hints: set[str], lists: set[str] = LISTS) -> int:
+    """Whether class words mark a node: 2 if one is a hint itself or begins or ends with one of ``lists``, 1 if with another hint."""
     found = 0
     for name in names:
         if name.lower() in hints:
@@ -79,49 +98,91 @@ def _strength(names: list[str], hints: set[str]) -> int:
         if parts := [w.lower() for w in WORDS.findall(name)]:
             ends = {parts[0], parts[-1]} & hints
             if ends and not STATES & set(parts):
-                found = max(found, 2 if len(parts) == 1 or ends & LISTS else 1)
+                found = max(found, 2 if len(parts) == 1 or ends & lists else 1)
     return found
 
 
-def _traits(tag: str, rest: str) -> tuple[str, bool, int, int]:
-    """A node's key; whether it is hidden; how its words say that it isn't content, anywhere and outside of an article."""
+def _traits(tag: str, rest: str, main: bool) -> tuple[str, bool, int, int, int]:
+    """A node's key; whether it is hidden; how its words say that it isn't content, anywhere and outside of an article; its bar."""
     if "=" not in rest and "hidden" not in rest:
-        return tag, False, 0, 0
+        return tag, False, 0, 0, -1 if tag in NEVER else 0
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
-    names = found.get("class", "").split() + found.get("id", "").split()
+    names, ids = found.get("class", "").split(), found.get("id", "").split()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    key = ".".join([tag, *(re.sub(r"[0-9]{3,}", "N", n) for n in names[:2])])
+    key = ".".join([tag, *(re.sub(r"[0-9]{3,}", "N", n) for n in (names + ids)[:2])])
     if tag in NEVER:
-        return key, hidden and tag in MAIN, 0, 0
+        return key, hidden and tag in MAIN, 0, 0, -1
+    ids = [] if tag in HEADINGS else ids
     names += found.get("role", "").split()
-    return key, hidden, _strength(names, HINTS), _strength(names, OUTER_HINTS)
+    lists = set() if main and tag in TEXT else LISTS  # a paragraph, list or table of the article
+    certain, by_id = _strength(names, HINTS, lists), _strength(ids, HINTS, set())
+    bar = max(_strength(names, WEIGHED, lists | ADVERTS), _strength(ids, WEIGHED, set()))
+    if main and (tag in TEXT or by_id < 2):  # no word is enough in such, nor in a slug
+        bar, by_id = max(bar, by_id), 0
+    if main and tag in TEXT:
+        bar, certain = max(bar, certain), 0
+    return f"{key}!{bar}" if bar else key, hidden, max(certain, by_id), _strength(names + ids, OUTER_HINTS), bar
 
 
 class _Mark:
     """A node that words (strength 1 or 2) or being a form (0) say isn't content, until what it holds says otherwise."""
 
-    __slots__ = ("strength", "stands")
+    __slots__ = ("up", "strength", "style", "stands", "seen", "gone")
 
-    def __init__(self, strength: int):
-        self.strength, self.stands = strength, True
+    def __init__(self, up: _Mark | None, strength: int, style: Style | None):
+        self.up, self.strength, self.style, self.stands, self.seen, self.gone = up, strength, style, True, set(), None
 
     def holds(self, tag: str) -> None:
-        if tag == "main" or (tag == "article" and self.strength < 2) or (self.strength == 0 and tag in PARTS):
-            self.stands = False
+        mark = self
+        while mark is not None and tag not in mark.seen:  # who saw it told all above
+            mark.seen.add(tag)
+            if tag == "main" or (tag == "article" and mark.strength < 2) or (mark.strength == 0 and tag in PARTS):
+                mark.stands = False
+                if mark.style is not None:
+                    mark.style.bar = 0
+            mark = mark.up
+
+
+@dataclass
+class Style:
+    """What a page shows of one node: the nodes from the top to it, the one that is its article or body, its bar and its children's keys."""
+
+    ups: tuple[int, ...]
+    root: int
+    bar: int
+    keys: set[str] = field(default_factory=set)
 
 
 class _Open:
-    __slots__ = ("tag", "path", "off", "marks", "main")
+    __slots__ = ("tag", "node", "off", "mark", "main")
+
+    def __init__(self, tag: str, node: int, off: bool, mark: _Mark | None, main: bool):
+        self.tag, self.node, self.off, self.mark, self.main = tag, node, off, mark, main
 
-    def __init__(self, tag: str, path: str, off: bool, marks: tuple[_Mark, ...], main: bool):
-        self.tag, self.path, self.off, self.marks, self.main = tag, path, off, marks, main
 
+def _child(node: int, key: str) -> int:
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), node & (1 << 64) - 1) - (1 << 63)
 
-def outline(html: str) -> tuple[list[tuple[str, int, bool, str]], dict[str, set[str]]]:
-    """Blocks (path, dropped by 1: words or forms, 2: tag or hidden, within an article, text) in page order, and each path's child keys."""
-    blocks: list[tuple[str, bool, tuple[_Mark, ...], bool, str]] = []
-    styles: dict[str, set[str]] = {"": set()}
-    stack, parts, at, n = [_Open("", "", False, (), False)], [], 0, len(html)
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at ``at``."""
+    while m := STOP.search(html, at):
+        if not m[1]:
+            return m.end()
+        close = html.find(m[1], m.end())
+        if close < 0:  # never closed
+            close = html.find(">", m.end())
+            return close + 1 if close >= 0 else len(html)
+        at = close + 1
+    return len(html)
+
+
+def outline(html: str) -> tuple[list[tuple[int, int, bool, str]], dict[int, Style]]:
+    """Blocks (node, dropped by 1: words or forms, 2: tag or hidden, within an article, text) in page order, and each node's style."""
+    blocks: list[tuple[int, bool, _Mark | None, bool, str]] = []
+    styles: dict[int, Style] = {0: Style((), 0, -1)}
+    stack, parts, at, n = [_Open("", 0, False, None, False)], [], 0, len(html)
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         if parts:
@@ -130,18 +191,26 @@ def outline(html: str) -> tuple[list[tuple[str, int, bool, str]], dict[str, set[
             parts.clear()
             if text:
                 top = stack[-1]
-                blocks.append((top.path, top.off, top.marks, top.main, text))
+                blocks.append((top.node, top.off, top.mark, top.main, text))
+
+    def shut(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
 
     for m in iter(lambda: TAG.search(html, at), None):
         if m.start() > at:
             parts.append(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if m[1]:
+            at = html.find("-->", m.end()) + 3
+            at = at if at > 2 else n
             continue
-        tag = tag.lower()
-        if not m[1]:
-            if tag in INLINE and "=" not in m[3]:
+        at = _tag_end(html, m.end()) if m[3] else html.find(">", m.end()) + 1 or n
+        if m[3] is None:
+            continue
+        tag, rest = m[3].lower(), html[m.end() : at - 1]
+        if not m[2]:
+            if tag in INLINE and "=" not in rest:
                 continue
             if tag in VOID:
                 if tag in SPACE_INLINE:
@@ -153,58 +222,76 @@ def outline(html: str) -> tuple[list[tuple[str, int, bool, str]], dict[str, set[
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.end() if end else n
                 continue
-            inline = tag in INLINE
-            key, hidden, words, outer = _traits(tag, m[3])
-            if inline and not (hidden or words):
+            inline, up = tag in INLINE, stack[-1]
+            key, hidden, words, outer, bar = _traits(tag, rest, up.main)
+            if inline and not (hidden or words or bar):
                 continue
             flush()
             if not inline:
                 for same in ({"p"}, {tag} if tag in ("li", "dt", "dd", "tr", "td", "th") else ()):
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k].tag in same:
-                            del stack[k:]
+                            shut(k)
                             break
                         if stack[k].tag not in INLINE and stack[k].tag != "p":
                             break
             up = stack[-1]
-            styles.setdefault(up.path, set()).add(key)
             off = up.off or hidden or tag in DROPPED or (tag == "header" and not up.main)
             main = up.main or (tag in MAIN and not off)
-            path = f"{up.path}/{key}"
-            styles.setdefault(path, set())
-            if tag in PARTS:
-                for mark in up.marks:
-                    mark.holds(tag)
+            node, own = up.node, styles[up.node]
+            if len(own.ups) < DEEP:
+                own.keys.add(key)
+                node = _child(up.node, key)
+                root = node if not own.root or tag == "body" or (tag in MAIN and main) else own.root
+                own = styles.setdefault(node, Style((*own.ups, node), root, bar))
+            if tag in PARTS and up.mark is not None:
+                up.mark.holds(tag)
             words = max(words, 0 if up.main else outer)
-            marks = (*up.marks, _Mark(words)) if words else (*up.marks, _Mark(0)) if tag == "form" else up.marks
-            stack.append(_Open(tag, path, off, marks, main))
-            if m[3].endswith("/"):
-                stack.pop()
-        else:
-            if tag in INLINE and not any(x.tag == tag for x in stack):
-                continue
+            mark = _Mark(up.mark, words, None) if words else _Mark(up.mark, 0, None) if tag == "form" else _Mark(up.mark, bar, own) if bar > 0 else up.mark
+            if bar > 0 and not words and tag != "form":
+                mark.stands = False  # the tree decides
+            stack.append(_Open(tag, node, off, mark, main))
+            opened[tag] += 1
+            if rest.endswith("/"):
+                shut(len(stack) - 1)
+        elif opened[tag] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     flush()
-                    del stack[k:]
+                    shut(k)
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break
     if at < n:
         parts.append(html[at:])
     flush()
-    return [(path, 2 if off else int(any(m.stands for m in marks)), main, text) for path, off, marks, main, text in blocks], styles
+    del styles[0]
+    return [(node, 2 if off else _gone(mark), main, text) for node, off, mark, main, text in blocks], styles
+
+
+def _gone(mark: _Mark | None) -> int:
+    """Whether ``mark`` or one above it stands."""
+    chain = []
+    while mark is not None and mark.gone is None:
+        chain.append(mark)
+        mark = mark.up
+    found = mark.gone if mark is not None else 0
+    for one in reversed(chain):
+        found = one.gone = int(found or one.stands)
+    return found
 
 
-def main_text(html: str | None, noise: set[str]) -> str:
-    """The text of a page without its noise nodes (paths)."""
-    blocks, _ = outline(html or "")
-    ends = lambda path: any(path[:i] in noise for i in [*(m.start() for m in re.finditer("/", path)), len(path)] if i)
-    kept = [b for b in blocks if not b[1]]
-    found: list[tuple[str, int, bool, str]] = []
-    for some in (kept, [b for b in blocks if b[1] < 2]):
-        found = found or [b for b in some if b[2]] or [b for b in some if not (noise and ends(b[0]))]
-    return "\n\n".join(b[3] for b in found or kept)
+def main_text(html: str | None, noise: set[int] | None) -> str:
+    """The text of a page without its noise nodes; None: nodes of which no site is known go by what the whole class says."""
+    blocks, styles = outline(html or "")
+    if noise is None:
+        noise = {node for node, style in styles.items() if UNKNOWN < BARS.get(style.bar, 0.0)}
+    noisy = {node for node, style in styles.items() if not noise.isdisjoint(style.ups)} if noise else set()
+    for most in (1, 2):
+        some = [b for b in blocks if b[1] < most and b[0] not in noisy]
+        if some:
+            return "\n\n".join(b[3] for b in [b for b in some if b[2]] or some)
+    return ""
 
 
 def host(url: Column | str) -> Column:
@@ -212,11 +299,12 @@ def host(url: Column | str) -> Column:
 
 
 def _mark(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def observed(pages: DataFrame) -> DataFrame:
-    """host, page (a digest of html), node, kind (0: style, 1: feature), mark: what each page shows of its site's style tree."""
+    """host, page (a digest of html), node, kind (0: style, 1: feature), mark, and for styles ups, root, bar: what each page shows of its site's style tree."""
+    types = {"host": pa.string(), "page": pa.int64(), "node": pa.int64(), "kind": pa.int32(), "mark": pa.int64(), "ups": pa.list_(pa.int64()), "root": pa.int64(), "bar": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,55 +313,77 @@ def observed(pages: DataFrame) -> DataFrame:
                 for site, html in zip(part.column("host").to_pylist(), part.column("html"), strict=True):
                     text = html.as_py() or ""
                     page, (blocks, styles) = _mark(text), outline(text)
-                    rows += [(site, page, node, 0, _mark(" ".join(sorted(keys)))) for node, keys in styles.items() if node]
-                    rows += {(site, page, path, 1, _mark(re.sub(r"[0-9]+", "0", words).lower())) for path, _, _, words in blocks if path}
-                made = [list(x) for x in zip(*rows, strict=True)] or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "page", "node", "kind", "mark"])
+                    rows += [(site, page, node, 0, _mark(" ".join(sorted(style.keys))), style.ups, style.root, style.bar) for node, style in styles.items()]
+                    rows += [(site, page, node, 1, mark, None, None, None) for node, mark in {(node, _mark(re.sub(r"[0-9]+", "0", words).lower())) for node, _, _, words in blocks if node}]
+                made = [list(x) for x in zip(*rows, strict=True)] or [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types.values(), strict=True)], names=list(types))
 
-    return pages.select(host("url").alias("host"), "html").mapInArrow(run, "host string, page long, node string, kind int, mark long")
+    return pages.select(host("url").alias("host"), "html").mapInArrow(run, "host string, page long, node long, kind int, mark long, ups array<long>, root long, bar int")
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """host, node, pages, importance for every node of each host's style tree."""
-    seen = observed(pages).distinct()
-    counts = seen.groupBy("host", "node", "kind", "mark").agg(F.count("*").alias("n"))
+def _weighed(counts: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, node, pages, importance, root, bar from counts ``n`` of styles and features; one tree for each value of ``by``."""
     log = F.col("n") * F.log("n")
-    nodes = counts.groupBy("host", "node").agg(
+    nodes = counts.groupBy(*by, "node").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
         F.coalesce(F.sum(F.when(F.col("kind") == 0, log)), F.lit(0.0)).alias("style_log"),
         F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.lit(0)).alias("features"),
         F.coalesce(F.sum(F.when(F.col("kind") == 1, log)), F.lit(0.0)).alias("feature_log"),
+        F.max("ups").alias("ups"), F.max("root").alias("root"), F.min("bar").alias("bar"),
     )
-    nodes = cut(nodes)  # pages are parsed once for both uses
+    nodes = cut(nodes)  # used for nodes and for what is below them
     m = F.greatest(F.col("pages"), F.lit(1))
     shown = F.when(m > 1, 1 - F.col("style_log") / (m * F.log(m))).otherwise(1.0)
     repeated = F.when(m > 1, F.col("feature_log") / F.log(m)).otherwise(0.0)
-    steps = F.split("node", "/")
-    ups = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.struct(F.concat_ws("/", F.slice(steps, 1, i)).alias("up"), (F.size(steps) - i).alias("levels")))
+    ups = F.transform("ups", lambda up, i: F.struct(up.alias("up"), (F.size("ups") - i).alias("levels")))
     # what each node shows of its own goes to itself and to its ancestors
-    below = nodes.select("host", "features", repeated.alias("repeated"), F.inline(ups)).groupBy("host", "up").agg(F.sum("features").alias("all"), F.sum("repeated").alias("known"), F.max("levels").alias("height"))
-    both = nodes.select("host", F.col("node").alias("up"), "pages", shown.alias("shown")).join(below, ["host", "up"])
+    below = nodes.select(*by, "features", repeated.alias("repeated"), F.inline(ups)).groupBy(*by, "up").agg(F.sum("features").alias("all"), F.sum("repeated").alias("known"), F.max("levels").alias("height"))
+    both = nodes.select(*by, F.col("node").alias("up"), "pages", shown.alias("shown"), "root", "bar").join(below, [*by, "up"])
     content = F.when(F.col("all") > 0, 1 - F.col("known") / F.col("all")).otherwise(1.0)
     weight = F.pow(F.lit(DECAY), F.col("height"))
-    return both.select("host", F.col("up").alias("node"), "pages", ((1 - weight) * F.col("shown") + weight * content).alias("importance"))
+    return both.select(*by, F.col("up").alias("node"), "pages", ((1 - weight) * F.col("shown") + weight * content).alias("importance"), "root", "bar")
 
 
-def extract(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
+def importance(pages: DataFrame) -> DataFrame:
+    """host, node, pages, importance, root, bar for every node of each host's style tree, filled up by that of all hosts."""
+    seen = observed(pages).distinct()
+    counts = cut(seen.groupBy("host", "node", "kind", "mark").agg(F.count("*").alias("n"), F.max("ups").alias("ups"), F.max("root").alias("root"), F.min("bar").alias("bar")))
+    every = counts.groupBy("node", "kind", "mark").agg(F.sum("n").alias("n"), F.max("ups").alias("ups"), F.max("root").alias("root"), F.min("bar").alias("bar"))
+    own = _weighed(counts, ["host"])
+    known = _weighed(every, []).select("node", ((F.col("pages") * F.col("importance") + PRIOR * UNKNOWN) / (F.col("pages") + PRIOR)).alias("known"))
+    filled = (F.col("pages") * F.col("importance") + PRIOR * F.col("known")) / (F.col("pages") + PRIOR)
+    return own.join(known, "node").select("host", "node", "pages", filled.alias("importance"), "root", "bar")
+
+
+def noise(pages: DataFrame, least: float = LEAST) -> DataFrame:
+    """host, node for every node whose importance is under its bar."""
+    found = cut(importance(pages))
+    around = found.select("host", F.col("node").alias("root"), (least * F.col("importance")).alias("least"))
+    bar = F.when(F.col("bar") == 0, F.when(F.col("node") != F.col("root"), F.col("least")))
+    for kind, value in BARS.items():
+        bar = bar.when(F.col("bar") == kind, value)
+    return found.join(around, ["host", "root"]).filter(F.col("importance") < bar).select("host", "node")
+
+
+def extract(pages: DataFrame, least: float = LEAST, tree: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html); without ``tree`` words and tags alone decide, to compare."""
     spark = pages.sparkSession
-    place = f"{shared_dir(spark)}/style-noise-{uuid.uuid4().hex}"
-    noise = importance(pages).filter((F.col("pages") >= min_pages) & (F.col("importance") < least))
-    noise.groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("noise")).write.parquet(place)
-    rows = pages.select("page_id", "url", "html", host("url").alias("host")).join(spark.read.parquet(place), "host", "left").drop("host")
+    rows = pages.select("page_id", "url", "html", host("url").alias("host"))
+    if tree:
+        place = f"{shared_dir(spark)}/style-noise-{uuid.uuid4().hex}"
+        noise(pages, least).groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("noise")).write.parquet(place)
+        rows = rows.join(spark.read.parquet(place), "host", "left")
+    else:
+        rows = rows.withColumn("noise", F.lit(None).cast("array<long>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
-                texts = [main_text(html.as_py(), set(paths.as_py() or ())) for html, paths in zip(part.column("html"), part.column("noise"), strict=True)]
+                texts = [main_text(html.as_py(), set(nodes.as_py() or ())) for html, nodes in zip(part.column("html"), part.column("noise"), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.drop("host").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

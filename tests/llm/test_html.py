@@ -15,7 +15,7 @@ five<ul><li>Item 1<li>Item 2</ul><aside>No</aside><div class="ad-slot">Buy</div>
 
 
 def test_one_page_with_every_kind_of_frame():
-    assert H.main_text(PAGE, set()) == "Head & more\n\nOne two éA three\n\nFour five\n\nItem 1\n\nItem 2"
+    assert H.main_text(PAGE, None) == "Head & more\n\nOne two éA three\n\nFour five\n\nItem 1\n\nItem 2"
 
 
 @pytest.mark.parametrize(
@@ -23,7 +23,7 @@ def test_one_page_with_every_kind_of_frame():
     [(None, ""), ("", ""), ("plain &lt;b&gt; text", "plain <b> text"), ("<p>a<p>b", "a\n\nb"), ("<div>a<div>b</div>c</div>", "a\n\nb\n\nc"), ("<p>a <b>b</b><i>c</i></p>", "a bc"), ("<script>x", ""), ("a < b <p>c", "a < b\n\nc"), ("<td>x</td></article></p><p>y", "x\n\ny"), ("<!-- a", ""), ("<p>" + "w " * 100_000, ("w " * 100_000).strip())],
 )
 def test_small_and_broken_pages(html, text):
-    assert H.main_text(html, set()) == text
+    assert H.main_text(html, None) == text
 
 
 def site(rng, n, kind):
@@ -34,31 +34,41 @@ def site(rng, n, kind):
     return rows
 
 
-def test_importance_is_that_of_the_whole_tree(spark):
-    rows = site(random.Random(1), 30, "a") + site(random.Random(2), 1, "b")
-    rows += rows[:10]
-    got = {(r.host, r.node): (r.pages, r.importance) for r in H.importance(spark.createDataFrame(rows, "page_id long, url string, html string, noise int")).collect()}
-    pages, styles, feats, height = defaultdict(set), defaultdict(Counter), defaultdict(Counter), Counter()
-    for _, url, html, _ in {r[2]: r for r in rows}.values():
-        name = url.split("/")[2]
+def plain_importance(rows, name):
+    """Of (host, html) rows each node's pages and importance, by loops over whole trees."""
+    pages, styles, feats, ups = defaultdict(set), defaultdict(Counter), defaultdict(Counter), {}
+    for site, html in sorted(set(rows)):
         blocks, tree = H.outline(html)
-        for node, keys in tree.items():
-            if node:
-                pages[name, node].add(html)
-                styles[name, node][frozenset(keys)] += 1
-        for path, text in {(b[0], "".join("0" if c.isdigit() else c for c in b[3]).replace("00", "0").lower()) for b in blocks}:
-            feats[name, path][text] += 1
-    for (name, node), own in pages.items():
+        for node, style in tree.items():
+            key = (name(site), node)
+            pages[key].add((site, html))
+            styles[key][frozenset(style.keys)] += 1
+            ups[key] = style.ups
+        for node, text in {(b[0], "".join("0" if c.isdigit() else c for c in b[3]).replace("00", "0").lower()) for b in blocks}:
+            feats[name(site), node][text] += 1
+    found = {}
+    for key, own in pages.items():
         m = len(own)
-        entropy = lambda c: math.log(c) / math.log(m) if m > 1 else 0
-        shown = sum(-c / m * math.log(c / m) for c in styles[name, node].values()) / math.log(m) if m > 1 else 1
-        below = [k for k in pages if k[0] == name and (k[1] == node or k[1].startswith(node + "/"))]
+        shown = sum(-c / m * math.log(c / m) for c in styles[key].values()) / math.log(m) if m > 1 else 1
+        below = [k for k in pages if k[0] == key[0] and key[1] in ups[k]]
         every = sum(c for k in below for c in feats[k].values())
         known = sum(c * math.log(c) / math.log(len(pages[k])) if len(pages[k]) > 1 else 0 for k in below for c in feats[k].values())
-        tall = max(k[1].count("/") for k in below) - node.count("/")
-        want = (1 - 0.9**tall) * shown + 0.9**tall * (1 - known / every if every else 1)
-        assert got[name, node] == (m, pytest.approx(want, abs=1e-9)), node
-    assert len(got) == len(pages)
+        weight = 0.9 ** (1 + max(len(ups[k]) for k in below) - len(ups[key]))
+        found[key] = (m, (1 - weight) * shown + weight * (1 - known / every if every else 1))
+    return found
+
+
+def test_importance_is_that_of_the_whole_tree(spark):
+    rows = site(random.Random(1), 30, "a") + site(random.Random(2), 1, "b")
+    rows += rows[:10]
+    got = {(r.host, r.node): (r.pages, r.importance) for r in H.importance(spark.createDataFrame(rows, "page_id long, url string, html string, noise int")).collect()}
+    given = [(url.split("/")[2], html) for _, url, html, _ in rows]
+    own, every = plain_importance(given, lambda site: site), plain_importance(given, lambda site: "")
+    assert got.keys() == own.keys()
+    for (host, node), (m, value) in own.items():
+        n, known = every["", node]
+        known = (n * known + 8 * 0.9) / (n + 8)
+        assert got[host, node] == (m, pytest.approx((m * value + 8 * known) / (m + 8), abs=1e-9))
 
 
 def test_repeated_branches_go_and_unique_ones_stay(spark):
@@ -91,14 +101,48 @@ def test_repeated_branches_go_and_unique_ones_stay(spark):
 )
 def test_ordinary_wrappers_keep_the_text(frame):
     page = "<h1>Head</h1><p>One two</p><div class='site-footer'>Foot</div>" if "form><div" not in frame and "'sidebar'" not in frame else "<h1>Head</h1><p>One two</p>"
-    assert H.main_text(frame.format(page), set()) == "Head\n\nOne two"
+    assert H.main_text(frame.format(page), None) == "Head\n\nOne two"
 
 
 def test_marked_nodes_go_beside_the_text():
     lists = "<div id=comments><article class=comment-body>Reader</article></div><div class=related-posts><article>Teaser</article></div><div class=left-sidebar>Side</div><form>Search</form>"
-    assert H.main_text(f"<article>Text</article>{lists}", set()) == H.main_text(f"<p>Text{lists}", set()) == "Text"
+    assert H.main_text(f"<article>Text</article>{lists}", None) == H.main_text(f"<p>Text{lists}", None) == "Text"
 
 
 def test_importance_decides_where_words_take_all_but_noise():
     page = "<div class=q>tail</div><div class=sidebar><p>Text</p><div class=q>tail</div></div>"
-    assert H.main_text(page, {"/div.q", "/div.sidebar/div.q"}) == "Text"
+    noise = {node for node, style in H.outline(page)[1].items() if style.keys == set() and "tail" in {b[3] for b in H.outline(page)[0] if b[0] == node}}
+    assert len(noise) == 2 and H.main_text(page, noise) == "Text"
+
+
+def test_words_of_an_article_are_not_enough():
+    page = "<article><p class='related-work'>a</p><h2 id='social'>b</h2><div id='alert-fatigue'>c</div><section id=search-methods>d</section><p class=comment-intro>e</p><div class=ad>x</div></article>"
+    assert H.main_text(page, None) == "a\n\nb\n\nc\n\nd\n\ne"
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
+def test_the_tree_decides_within_and_outside_of_articles(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for i in range(60):
+        text = [words(rng, 12) for _ in range(rng.randrange(2, 7))]
+        related = words(rng, 9)
+        body = "".join(f"<p>{t}</p>" for t in text)
+        frame = f"<div class=x1>Welcome to all of us</div><article>{body}<p class=related-work>{related}</p><div class=box>Read on at our shop {i}</div><div class=ad>{words(rng, 6)}</div></article><div class=promo>{words(rng, 5)}</div>"
+        rows.append((i, f"http://{'big' if i < 40 else f's{i}'}.example/{i}", frame))
+        want[i] = "\n\n".join([*text, related])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got, off = ({r.page_id: r.text for r in H.extract(pages, tree=tree).collect()} for tree in (True, False))
+    assert got == want
+    assert all(off[i] != want[i] for i in want)
+
+
+def test_deep_nesting_and_broken_quotes(spark):
+    deep = "<div class=q>" * 50_000 + "deep" + "</div>" * 50_000
+    broken = '<p title="x>one</p>' + "<p a='x" * 3000
+    rows = [(1, "http://d.example", deep), (2, "http://d.example", '<p title="x>one'), (3, "http://d.example", broken), (4, "http://d.example", "<p title=it's>a</p><p>b"), (5, "http://d.example", "<form><div class=nav>" * 20_000 + "<h1>x")]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "deep" and got[2] == "one" and got[3].startswith("one") and got[4] == "a\n\nb" and 5 in got
+    assert max(len(style.ups) for style in H.outline(deep)[1].values()) == H.DEEP
