@@ -3,6 +3,12 @@
 Each stage works on all that its predecessor kept, is written as Parquet in the
 folder that driver and executors share, and is read again, so that a lost executor
 costs no more than the stage that runs.
+
+Null texts count as empty in each stage.  Rows that repeat an id and a text are one
+document from the second stage on; rows without an id are told apart by their texts,
+and repeats that the mixture takes stay.  Other columns pass through all stages but
+the last, whatever their names.  No documents, or no labels, give what the stages give
+for them: no rows, or the same score for all.
 """
 
 from __future__ import annotations
@@ -50,3 +56,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def queries() -> dict:
+    return {"pipeline": run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
