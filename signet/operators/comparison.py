@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# The checks of a report in their order, and those that ask the registry.
 CHECKS = ["company_name_match", "tax_number_match", "mersis_number_match", "applicant_in_document", "identity_match", "authority_mode", "registry_status", "registry_representative_match", "document_validity"]
 REGISTRY = ["registry_status", "registry_representative_match"]
 

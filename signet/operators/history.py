@@ -48,3 +48,48 @@ def supersede(rows: DataFrame, key: str, id: str, order: list[Column | str]) ->
     own = W.partitionBy(key).orderBy(*order)
     rows = rows.withColumns({"version": F.row_number().over(own), "superseded_by": F.lead(id).over(own)})
     return rows.withColumn("state", F.when(F.col("superseded_by").isNull(), "ACTIVE").otherwise("SUSPENDED"))
+
+
+def apply_batches(base: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
+    """(key, batch, applied): batches of corrections in their order; one that doesn't find what it expects is refused whole.
+
+    ``base`` has (key, path, value), ``corrections`` (key, batch, seq, path, old_value,
+    new_value).  A batch sees what the batches applied before it, and its own earlier rows,
+    have put; a path that the document doesn't have refuses it.  What is gathered in one
+    row are the corrections of one document.
+    """
+    held = base.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("held"))
+    items = corrections.groupBy(key, "batch").agg(F.array_sort(F.collect_list(F.struct("seq", "path", "old_value", "new_value"))).alias("items"))
+    batches = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("batch", "items"))).alias("batches"))
+    rows = batches.join(held, key, "left").withColumn("held", F.coalesce("held", F.create_map().cast("map<string,string>")))
+
+    def put(held: Column, item: Column) -> Column:
+        return F.map_concat(F.map_filter(held, lambda k, _: k != item.path), F.create_map(item.path, item.new_value))
+
+    def tried(state: Column, item: Column) -> Column:
+        fits = state.fits & F.map_contains_key(state.now, item.path) & F.element_at(state.now, item.path).eqNullSafe(item.old_value)
+        return F.struct(fits.alias("fits"), F.when(fits, put(state.now, item)).otherwise(state.now).alias("now"))
+
+    def step(state: Column, batch: Column) -> Column:
+        end = F.aggregate(batch["items"], F.struct(F.lit(True).alias("fits"), state.held.alias("now")), tried)
+        made = F.struct(batch["batch"].alias("batch"), end.fits.alias("applied"))
+        return F.struct(F.when(end.fits, end.now).otherwise(state.held).alias("held"), F.concat(state.found, F.array(made)).alias("found"))
+
+    kind = corrections.schema["batch"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<batch:{kind},applied:boolean>>")
+    found = F.aggregate("batches", F.struct("held", none.alias("found")), step, lambda s: s.found)
+    return rows.select(key, F.inline(found))
+
+
+def once(requests: DataFrame, results: DataFrame, key: str = "application") -> DataFrame:
+    """(key, action): what an analysis does with each of ``requests`` (key, state): return what is stored, refuse while one runs, or run."""
+    rows = requests.join(results.select(key, F.lit(True).alias("__stored")).distinct(), key, "left")
+    action = F.when((F.col("state") == "ANALYZED") & F.col("__stored"), "RETURN_STORED").when(F.col("state") == "ANALYZING", "IN_PROGRESS").when(F.col("state").isin("DOCUMENT_SCANNED", "ANALYSIS_FAILED", "ANALYZED"), "RUN").otherwise("INVALID_STATE")
+    return rows.select(key, action.alias("action"))
+
+
+def retried(attempts: DataFrame, most: int = 2) -> DataFrame:
+    """(job, tries, status): the first good one of up to ``most`` attempts (job, attempt, ok) decides; without one a job is degraded, and no other job is touched."""
+    first = F.min(F.when(F.col("ok"), F.col("attempt")))
+    rows = attempts.filter(F.col("attempt") <= most).groupBy("job").agg(first.alias("first"), F.max("attempt").alias("last"))
+    return rows.select("job", F.coalesce("first", "last").alias("tries"), F.when(F.col("first").isNotNull(), "success").otherwise("failed").alias("status"))

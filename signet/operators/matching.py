@@ -8,6 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Letters that are counted one by one before a pair is compared; all others count together.
+LETTERS = "aeiorn"
+
 
 def indel_ratio(a: str, b: str) -> float:
     """200 LCS / (m + n), with the longest common subsequence in bit-parallel steps; 100 for two empty texts."""
@@ -33,15 +36,22 @@ def ratio(a: Column, b: Column) -> Column:
     return _ratios(a, b)
 
 
-def within(left: DataFrame, right: DataFrame, block: list[str], threshold: float = 90.0) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, block: list[str], threshold: float = 90.0, distinct: bool = False) -> DataFrame:
     """(block, left_id, right_id, score) of pairs in one block with a ratio of ``threshold`` or more.
 
     ``left`` has (block, left_id, left_text), ``right`` the same of its own.  What the
     lengths alone rule out never reaches Python: the ratio can't pass
-    200 min(m, n) / (m + n).
+    200 min(m, n) / (m + n), nor what the counts of letters allow: the common
+    subsequence takes a letter at most as often as both texts have it.  With ``distinct``
+    equal texts are no pair.
     """
     m, n = F.length("left_text"), F.length("right_text")
     pairs = left.join(right, block).filter(200 * F.least(m, n) >= threshold * (m + n))
+    if distinct:
+        pairs = pairs.filter("left_text != right_text and left_text != '' and right_text != ''")
+    letters = [F.least(*(F.length(side) - F.length(F.translate(side, c, "")) for side in ("left_text", "right_text"))) for c in LETTERS]
+    rest = F.least(*(F.length(F.translate(side, LETTERS, "")) for side in ("left_text", "right_text")))
+    pairs = pairs.filter(200 * (sum(letters, start=rest)) >= threshold * (m + n))
     return pairs.withColumn("score", ratio(F.col("left_text"), F.col("right_text"))).filter(F.col("score") >= threshold).select(*block, "left_id", "right_id", "score")
 
 

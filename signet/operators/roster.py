@@ -28,12 +28,14 @@ def merge_roster(appointments: DataFrame, specimens: DataFrame) -> DataFrame:
     return merged.select("doc", "name", "title", "appointed", "signed")
 
 
-def resolve_parties(parties: DataFrame, people: DataFrame, groups: DataFrame) -> DataFrame:
+def resolve_parties(parties: DataFrame, people: DataFrame, groups: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """``parties`` (doc, party, kind, ref, name) with ``found`` (GROUP, PERSON or UNRESOLVED) and ``target``.
 
     A GROUP takes the roster's own spelling of its code, else what is printed.  Anyone
     else is looked up as a person by name, then as a group by the code of the name.
-    ``people`` and ``groups`` have (doc, ordinal, name); the first of equals counts.
+    ``people`` and ``groups`` have (doc, ordinal, name); the first of equals counts.  What
+    neither knows is a group if one of ``hints`` (doc, hint) names it: one word as a word
+    of its own, several as they stand.
     """
     named = people.select("doc", "ordinal", F.col("name").alias("person"), T.tr_normalize(F.col("name")).alias("plain")).filter("plain <> ''")
     coded = groups.select("doc", "ordinal", F.col("name").alias("spelling"), T.group_code(F.col("name")).alias("code")).filter("code <> ''")
@@ -41,8 +43,13 @@ def resolve_parties(parties: DataFrame, people: DataFrame, groups: DataFrame) ->
     is_group = F.col("kind") == "GROUP"
     rows = parties.withColumns({"plain": F.when(~is_group, T.tr_normalize(F.col("name"))), "code": T.group_code(F.when(is_group, F.col("ref")).otherwise(F.col("name")))})
     rows = rows.join(named, ["doc", "plain"], "left").join(coded, ["doc", "code"], "left")
-    found = F.when(is_group, "GROUP").when(F.col("person").isNotNull(), "PERSON").when(F.col("spelling").isNotNull(), "GROUP").otherwise("UNRESOLVED")
-    target = F.when(is_group, F.coalesce("spelling", "ref")).otherwise(F.coalesce("person", "spelling"))
+    hinted = F.lit(False)
+    if hints is not None:
+        rows = rows.join(hints.groupBy("doc").agg(F.collect_list(T.tr_normalize(F.col("hint"))).alias("hints")), "doc", "left")
+        alone = ~F.col("plain").contains(" ")
+        hinted = F.coalesce((F.col("plain") != "") & F.exists("hints", lambda h: F.when(alone, F.array_contains(F.split(h, " "), F.col("plain"))).otherwise(h.contains(F.col("plain")))), F.lit(False))
+    found = F.when(is_group, "GROUP").when(F.col("person").isNotNull(), "PERSON").when(F.col("spelling").isNotNull() | hinted, "GROUP").otherwise("UNRESOLVED")
+    target = F.when(is_group, F.coalesce("spelling", "ref")).otherwise(F.coalesce("person", "spelling", F.when(hinted, F.col("name"))))
     return rows.select(*parties.columns, found.alias("found"), target.alias("target"))
 
 

@@ -12,21 +12,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decision_queries, extraction_queries, inputs
 from . import record_queries as R
 from .functions import text as T
 from .operators import authority, comparison, pages
 
-TABLES = ["customer", "orders", "lineitem", "events", "documents"]
+TABLES = inputs.TABLES
 #: Driver rows as the engine's own inputs.
 INPUTS = {
     "transactions": """SELECT o_orderkey AS txn_id, o_custkey AS company, CASE WHEN o_orderkey % 5 = 0 THEN 'CREDIT' WHEN o_orderkey % 7 = 0 THEN 'REAL_ESTATE' ELSE 'GENERAL' END AS subject,
         CAST(floor(o_totalprice * 100) AS BIGINT) AS amount, 'p' || CAST(o_orderkey % 4 AS STRING) AS initiator, CAST(o_orderdate AS DATE) AS day FROM orders""",
     "authorities": """SELECT c_custkey AS company, CASE WHEN c_custkey % 9 = 0 THEN 'SUSPENDED' ELSE 'ACTIVE' END AS status,
         CASE WHEN c_custkey % 4 = 0 THEN CAST('1996-06-30' AS DATE) END AS valid_until FROM customer WHERE c_custkey % 13 <> 0""",
-    "persons": """SELECT c_custkey AS company, 'p' || CAST(k AS STRING) AS person, CASE WHEN k = 0 THEN 'SOLE' WHEN c_custkey % 2 = 0 THEN 'SOLE' ELSE 'JOINT' END AS mode,
-        CASE WHEN k = 0 THEN CAST(20000000 AS BIGINT) END AS max_amount, (c_custkey + k) % 5 <> 0 AS active FROM customer CROSS JOIN (VALUES (0), (1), (2)) v(k) WHERE k < 2 OR c_custkey % 3 = 0""",
-    "rules": """SELECT c_custkey AS company, s AS scope, CASE WHEN o = 0 THEN CAST(10000000 AS BIGINT) WHEN o = 1 THEN CAST(30000000 AS BIGINT) END AS threshold,
-        CASE WHEN o = 2 THEN 'JOINT' ELSE 'SOLE' END AS mode, s = 'REAL_ESTATE' AS blocked, o AS ordinal FROM customer CROSS JOIN (VALUES ('GENERAL', 0), ('GENERAL', 1), ('GENERAL', 2), ('CREDIT', 2), ('REAL_ESTATE', 2)) v(s, o) WHERE o < 2 OR c_custkey % 6 <> 0""",
+    "persons": """SELECT c_custkey AS company, 'p' || CAST(k AS STRING) AS person, 's' || CAST(k AS STRING) AS source_id, CASE WHEN k = 0 THEN 'SOLE' WHEN c_custkey % 2 = 0 THEN 'SOLE' ELSE 'JOINT' END AS mode,
+        CASE WHEN k = 0 THEN CAST(20000000 AS BIGINT) END AS max_amount FROM customer CROSS JOIN (VALUES (0), (1), (2)) v(k) WHERE k < 2 OR c_custkey % 3 = 0""",
+    "rules": """SELECT c_custkey AS company, s AS scope, CASE WHEN o = 0 THEN CAST(10000000 AS BIGINT) WHEN o = 1 THEN CAST(30000000 AS BIGINT) END AS threshold, CASE WHEN o = 2 THEN 'JOINT' ELSE 'SOLE' END AS mode, s = 'real_estate' AS blocked, o AS ordinal,
+        split(CASE WHEN o < 2 THEN 'none' WHEN c_custkey % 5 = 0 THEN 's0~s1~s2' WHEN c_custkey % 5 = 1 THEN 's1~s2' ELSE 's0~s1' END, '~') AS signers
+        FROM customer CROSS JOIN (VALUES ('general', 0), ('general', 1), ('general', 2), ('credit', 2), ('real_estate', 2)) v(s, o) WHERE o < 2 OR c_custkey % 6 <> 0""",
+    "companies": "SELECT c_custkey AS company, CASE WHEN c_custkey % 17 = 0 THEN 'PASSIVE' ELSE 'ACTIVE' END AS status FROM customer WHERE c_custkey % 19 <> 0",
+    "reps": "SELECT c_custkey AS company, 'p' || CAST(k AS STRING) AS person, CASE WHEN (c_custkey + k) % 7 = 0 THEN 'REMOVED' ELSE 'ACTIVE' END AS status FROM customer CROSS JOIN (VALUES (0, 0), (1, 0), (2, 0), (1, 1)) v(k, again) WHERE again = 0 OR c_custkey % 8 = 0",
     "cases": """SELECT c_custkey AS case_id, c_name || CASE c_custkey % 3 WHEN 0 THEN ' Ltd. Şti.' WHEN 1 THEN ' A.Ş.' ELSE ' San. ve Tic. Ltd.Şti.' END AS app_company,
         upper(c_name) || CASE c_custkey % 3 WHEN 0 THEN ' LİMİTED ŞİRKETİ' WHEN 1 THEN ' Anonim Şirketi' ELSE ' SANAYİ VE TİCARET LTD ŞTİ' END || CASE WHEN c_custkey % 11 = 0 THEN ' x' ELSE '' END AS doc_company,
         'VKN ' || CAST(1000000000 + c_custkey AS STRING) AS app_tax, CAST(1000000000 + c_custkey + CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END AS STRING) AS doc_tax,
@@ -44,14 +48,15 @@ INPUTS = {
 }
 
 
+GIVEN = ("transactions", "authorities", "persons", "rules", "companies", "reps")
+
+
 def _input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(INPUTS[name])
+    return inputs.rows(spark, sf_dir, INPUTS[name])
 
 
 def authorize_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return authority.evaluate(*(_input(spark, sf_dir, n) for n in ("transactions", "authorities", "persons", "rules")))
+    return authority.evaluate(*(_input(spark, sf_dir, n) for n in GIVEN))
 
 
 def compare_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,36 +126,39 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (authorize_batch, compare_checks, normalize_text, redact_text, identifier_checks, parse_dates, format_amounts, page_windows, page_runs, latest_version, next_version, audit_newest, dashboard_counts, denied_by_step, orphans, *R.ALL)}
+    return {f.__name__: f for f in (authorize_batch, compare_checks, normalize_text, redact_text, identifier_checks, parse_dates, format_amounts, page_windows, page_runs, latest_version, next_version, audit_newest, dashboard_counts, denied_by_step, orphans, *R.ALL, *extraction_queries.ALL, *decision_queries.ALL)}
 
 
 def _with(*names: str) -> str:
-    return "WITH " + ", ".join(f"{n} AS ({INPUTS[n]})" for n in names)
+    return inputs.given(INPUTS, *names)
 
 
-def _normal(x: str) -> str:
-    return f"trim(regexp_replace(replace(strip_accents(lower(translate({x}, 'Iİ', 'ıi'))), 'ı', 'i'), '[^0-9a-z]+', ' ', 'g'))"
+_normal = inputs.normal
 
 
 def _core(x: str) -> str:
-    forms = "|".join(T.LEGAL_FORMS)
-    return f"regexp_replace(regexp_replace({_normal(x)}, '( ({forms}))+$', ''), '\\bsan( ve)? tic\\b', 'sanayi\\1 ticaret', 'g')"
+    """SQL of a company's name without its legal form; longest forms first, and never to nothing."""
+    two, one = "limited sirketi|anonim sirketi|kollektif sirketi|komandit sirketi|ltd sti|a s", "limited|anonim|sirketi|sirket|ltd|sti|as"
+    bare = f"CASE WHEN regexp_full_match({_normal(x)}, '({two})( ({two}|{one}))*') THEN regexp_extract({_normal(x)}, '^({two})', 1) ELSE regexp_replace({_normal(x)}, '(.)( ({two}|{one}))+$', '\\1') END"
+    return f"regexp_replace({bare}, '\\bsan( ve)? tic\\b', 'sanayi\\1 ticaret', 'g')"
 
 
-_STEPS = f"""{_with("transactions", "authorities", "persons", "rules")}, joined AS (
-  SELECT t.*, a.status, a.valid_until, p.mode AS my_mode, p.max_amount AS my_max, p.active AS my_active,
-    (SELECT count(*) FROM persons o WHERE o.company = t.company AND o.person <> t.initiator AND o.active) AS others,
-    (SELECT min(o.person) FROM persons o WHERE o.company = t.company AND o.person <> t.initiator AND o.active) AS other,
-    (SELECT count(*) FROM rules r WHERE r.company = t.company AND r.scope = t.subject AND r.blocked) AS blocks
-  FROM transactions t LEFT JOIN authorities a ON t.company = a.company LEFT JOIN persons p ON p.company = t.company AND p.person = t.initiator
-), picked AS (
-  SELECT t.txn_id, r.mode FROM transactions t JOIN rules r ON r.company = t.company AND r.scope = t.subject AND NOT r.blocked AND (r.threshold IS NULL OR t.amount <= r.threshold)
+_STEPS = f"""{_with(*GIVEN)}, live AS (SELECT company, person, count(*) AS n, bool_or(status = 'ACTIVE') AS active FROM reps GROUP BY company, person), picked AS (
+  SELECT t.txn_id, r.mode, r.signers FROM transactions t JOIN rules r ON r.company = t.company AND r.scope = lower(t.subject) AND NOT r.blocked AND (r.threshold IS NULL OR t.amount <= r.threshold)
   QUALIFY row_number() OVER (PARTITION BY t.txn_id ORDER BY r.threshold NULLS LAST, r.ordinal) = 1
+), joined AS (
+  SELECT t.*, a.status, a.valid_until, p.source_id, p.mode AS my_mode, p.max_amount AS my_max, c.status AS company_status, l.n = 1 AND l.active AS sure, k.mode, k.signers,
+    (SELECT count(*) FROM rules r WHERE r.company = t.company AND r.scope = lower(t.subject) AND r.blocked) AS blocks
+  FROM transactions t LEFT JOIN authorities a ON t.company = a.company LEFT JOIN persons p ON p.company = t.company AND p.person = t.initiator
+  LEFT JOIN companies c ON c.company = t.company LEFT JOIN live l ON l.company = t.company AND l.person = t.initiator LEFT JOIN picked k ON k.txn_id = t.txn_id
+), counted AS (
+  SELECT j.txn_id, count(o.person) AS others, min(o.person) AS other FROM joined j JOIN persons o ON o.company = j.company AND o.source_id <> j.source_id AND list_contains(j.signers, o.source_id)
+  JOIN live l ON l.company = o.company AND l.person = o.person AND l.active GROUP BY j.txn_id
 ), stepped AS (
-  SELECT j.txn_id, j.other, k.mode, CASE WHEN status IS NULL THEN 'no_authority' WHEN status <> 'ACTIVE' THEN 'authority_not_active' WHEN valid_until < day THEN 'authority_expired'
-    WHEN my_mode IS NULL THEN 'initiator_unknown' WHEN NOT my_active THEN 'initiator_not_active' WHEN blocks > 0 THEN 'scope_blocked' WHEN k.mode IS NULL THEN 'no_rule'
-    WHEN k.mode = 'SOLE' AND NOT (my_mode = 'SOLE' AND (my_max IS NULL OR my_max >= amount)) THEN 'over_limit' WHEN k.mode = 'JOINT' AND others <> 1 THEN 'no_cosigner' END AS failed_step
-  FROM joined j LEFT JOIN picked k ON j.txn_id = k.txn_id
+  SELECT j.txn_id, n.other, j.mode, CASE WHEN status IS NULL THEN 'no_authority' WHEN status <> 'ACTIVE' THEN 'authority_not_active' WHEN valid_until < day THEN 'authority_expired'
+    WHEN my_mode IS NULL THEN 'initiator_unknown' WHEN company_status IS DISTINCT FROM 'ACTIVE' THEN 'company_not_active' WHEN NOT coalesce(sure, false) THEN 'initiator_not_active' WHEN blocks > 0 THEN 'scope_blocked' WHEN j.mode IS NULL THEN 'no_rule'
+    WHEN j.mode = 'SOLE' AND NOT (my_mode = 'SOLE' AND (my_max IS NULL OR my_max >= amount)) THEN 'over_limit' WHEN j.mode = 'JOINT' AND NOT list_contains(signers, source_id) THEN 'not_a_signer' WHEN j.mode = 'JOINT' AND coalesce(n.others, 0) <> 1 THEN 'no_cosigner' END AS failed_step
+  FROM joined j LEFT JOIN counted n ON n.txn_id = j.txn_id
 ), decided AS (
   SELECT txn_id, CASE WHEN failed_step IS NOT NULL THEN 'DENIED' WHEN mode = 'SOLE' THEN 'ALLOWED' ELSE 'PENDING_COSIGN' END AS verdict, failed_step,
     CASE WHEN failed_step IS NULL AND mode = 'JOINT' THEN other END AS cosigner FROM stepped
@@ -173,8 +181,9 @@ def _compare() -> str:
         "registry_representative_match": green(f"reg_status IS NOT NULL AND {_normal('app_name')} = {_normal('reg_rep_name')} AND reg_rep_status = 'ACTIVE' AND (app_tckn IS NULL OR reg_rep_tckn IS NULL OR {mask('app_tckn')} = {mask('reg_rep_tckn')})"),
         "document_validity": green("doc_valid_until >= as_of"),
     }
-    plain = ", ".join(c for c in comparison.CHECKS if c not in comparison.REGISTRY)
-    verdict = f"CASE WHEN 'red' IN ({plain}) THEN 'MISMATCH' WHEN 'red' IN ({', '.join(comparison.REGISTRY)}) THEN 'REGISTRY_CONFLICT' WHEN 'amber' IN ({plain}) THEN 'CO_SIGNER_REQUIRED' ELSE 'READY' END"
+    registry = ["registry_status", "registry_representative_match"]
+    plain = ", ".join(c for c in tests if c not in registry)
+    verdict = f"CASE WHEN 'red' IN ({plain}) THEN 'MISMATCH' WHEN 'red' IN ({', '.join(registry)}) THEN 'REGISTRY_CONFLICT' WHEN 'amber' IN ({plain}) THEN 'CO_SIGNER_REQUIRED' ELSE 'READY' END"
     return f"{_with('cases')}, checked AS (SELECT case_id, {', '.join(f'{s} AS {k}' for k, s in tests.items())} FROM cases) SELECT *, {verdict} AS verdict FROM checked"
 
 
@@ -189,7 +198,7 @@ def _identifiers() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return R.oracle_sql(_normal) | {
+    return R.oracle_sql(_normal) | extraction_queries.oracle_sql() | decision_queries.oracle_sql() | {
         "authorize_batch": f"{_STEPS} SELECT * FROM decided",
         "compare_checks": _compare(),
         "normalize_text": f"SELECT doc_id, sha256({_normal('text')}) AS normal_sha256 FROM documents",

@@ -22,9 +22,9 @@ def rates(events: DataFrame, width: str, late: str) -> DataFrame:
     return events.withWatermark("at", late).groupBy(F.window("at", width), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")
 
 
-def decide(requests: DataFrame, authorities: DataFrame, persons: DataFrame, rules: DataFrame) -> DataFrame:
+def decide(requests: DataFrame, authorities: DataFrame, persons: DataFrame, rules: DataFrame, companies: DataFrame, reps: DataFrame) -> DataFrame:
     """Verdicts for a stream of transactions: the rules are static and each request is decided alone, so no state is kept."""
-    return evaluate(requests, authorities, persons, rules)
+    return evaluate(requests, authorities, persons, rules, companies, reps)
 
 
 def drain(stream: DataFrame, place: str) -> DataFrame:

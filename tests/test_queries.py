@@ -6,8 +6,8 @@ import os
 import duckdb
 import pytest
 
+from signet import inputs
 from signet import queries as Q
-from signet import record_queries as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in {*Q.TABLES, *R.TABLES}:
+    for table in inputs.TABLES:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = con.execute(Q.oracle_sql()[name])
     columns = [c[0] for c in found.description]

@@ -1,12 +1,11 @@
 """What SQL can't express, or the driver's tables don't have: fuzzy ratios, registry files, rosters with gaps."""
 
-import json
 import random
 
 from pyspark.sql import functions as F
 
 from signet.operators import history, matching, roster
-from signet.sources import registry
+from signet.sources import results
 
 
 def plain_ratio(a, b):
@@ -34,15 +33,9 @@ def test_ratio_and_best_match(spark):
     assert got == want and want
 
 
-def test_registry_file_and_patch(spark, tmp_path):
-    person = {"id": "r1", "name": "Ali", "tckn": "123******01", "mode": "SOLE", "status": "ACTIVE"}
-    (tmp_path / "registry.json").write_text(json.dumps({"schema_version": "1", "companies": [{"mersis": "01", "legal_name": "X", "status": "ACTIVE", "representatives": [person]}, {"mersis": "02", "representatives": []}]}))
-    companies, reps = registry.read_registry(spark, str(tmp_path / "registry.json"))
-    assert companies.count() == 2 and [r.mersis for r in reps.collect()] == ["01"]
-    patch = spark.createDataFrame([("01", "r1", "REMOVED")], "mersis string, rep_id string, status string")
-    assert registry.patched(reps, patch).first().status == "REMOVED"
+def test_inputs_without_a_result(spark):
     keys = spark.createDataFrame([("k",), ("k",), ("m",)], "key string")
-    assert [r.key for r in registry.missing(keys, keys.filter("key = 'k'")).collect()] == ["m"]
+    assert [r.key for r in results.missing(keys, keys.filter("key = 'k'")).collect()] == ["m"]
 
 
 def test_no_rows_and_terminal_states(spark):
