@@ -7,10 +7,14 @@ has the largest inner product, and trees that split by direction serve.
 1. Equal vectors collapse to one, with the SHOWN + 1 smallest ids (a map-side top k):
    a vector that a third of all rows hold is indexed once.
 2. TREES trees are fitted on a sample of at most SAMPLE distinct vectors: each node
-   splits its sample at the median of a random projection.  The trees, of bounded
-   size, are broadcast; every vector is put into its leaf of each tree.
-3. A query walks all trees through one priority queue, nearest margin first, until
-   the leaves it met hold as many vectors as SHARE of the index (CANDIDATES at least).
+   splits its sample at the median of a random projection that is at right angles to
+   those above it.  The trees, of bounded size, are broadcast; every vector is put into
+   its leaf of each tree.
+3. A query walks all trees through one priority queue, least sum of the margins that it
+   has crossed first, until the leaves it met hold as many vectors as a share of the
+   index.  That share is measured: on the sample, ASKED of its vectors find RECALL of
+   their nearest with it.  So it is small where vectors have structure, and what recall
+   takes where they have none.
 4. Neighbouring leaves of a tree make parts of about PART_ROWS vectors, and a larger
    leaf is dealt out to several; queries come in blocks of QUERY_ROWS.  In each part a
    leaf's queries meet its vectors in one matrix product, the best of all leaves are
@@ -19,7 +23,8 @@ has the largest inner product, and trees that split by direction serve.
 Vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those of a length that isn't the most frequent (ties: the longest) and rows without
 an id.  Repeated rows count once.  A query's own id is no candidate.  Ties go to the
-smaller id.  Fewer candidates give fewer rows; no rows give none.
+smaller id.  Fewer candidates give fewer rows; no rows give none.  Very large components
+are scaled down for the trees; scores are those of the vectors as they are.
 """
 
 from __future__ import annotations
@@ -37,10 +42,9 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SHOWN, EVERY = 20, 20
-TREES, LEAF, SAMPLE, PART_ROWS, QUERY_ROWS = 8, 256, 65_536, 65_536, 65_536
-#: A query's leaves hold this share of the index (an id counts in each tree), and at least so many: what recall
-#: above 0.9 takes for vectors with hardly any structure.  Clustered vectors do with far less.
-SHARE, CANDIDATES = 1.0, 12_000
+TREES, LEAF, SAMPLE, PART_ROWS, QUERY_ROWS = 16, 64, 65_536, 65_536, 65_536
+#: The share of the nearest that a walk finds on the sample, by so many of its vectors; and the least candidates of a walk.
+RECALL, ASKED, CANDIDATES = 0.94, 256, 400
 
 
 #: Products of a query and vectors that differ by less than this share of their lengths' product count as tied until scored exactly.
@@ -52,17 +56,18 @@ class Forest:
     """Complete binary trees of one depth: node k of a tree has children 2k + 1 and 2k + 2."""
 
     depth: int
+    scale: float  # the largest component: vectors are divided by it
     longest: float
     directions: np.ndarray  # trees x nodes x (dimension + 1)
     bounds: np.ndarray  # trees x nodes
     counts: np.ndarray | None = None  # trees x leaves: vectors of the whole index
 
     @classmethod
-    def of(cls, sample: np.ndarray, longest: float, n: int, trees: int = TREES, leaf: int = LEAF, seed: int = 0) -> Forest:
+    def of(cls, sample: np.ndarray, scale: float, longest: float, n: int, trees: int = TREES, leaf: int = LEAF, seed: int = 0) -> Forest:
         """Splits ``sample`` for an index of ``n`` vectors, down to ``leaf`` of these or 8 of the sample in a leaf."""
         depth = max(0, int(np.ceil(np.log2(max(1, min(n / leaf, len(sample) / 8))))))
-        points, rng = lengthened(sample, longest), np.random.default_rng(seed)
-        directions = np.zeros((trees, (1 << depth) - 1, points.shape[1]))
+        points, rng = lengthened(sample / scale, longest), np.random.default_rng(seed)
+        directions = np.zeros((trees, (1 << depth) - 1, points.shape[1]), np.float32)
         bounds = np.zeros((trees, (1 << depth) - 1))
         for t in range(trees):
             own = {0: np.arange(len(points))}
@@ -71,43 +76,52 @@ class Forest:
                 way = rng.standard_normal(points.shape[1])
                 if len(rows) > 1:  # a random direction within the spread of these points
                     a, b = points[rng.choice(rows, 16)].mean(0), points[rng.choice(rows, 16)].mean(0)
-                    way = a - b if np.linalg.norm(a - b) > 1e-9 else way
-                way /= np.linalg.norm(way)
-                along = points[rows] @ way
-                bound = np.median(along) if len(rows) else 0.0
-                directions[t, k], bounds[t, k] = way, bound
-                own[2 * k + 1], own[2 * k + 2] = rows[along <= bound], rows[along > bound]
-        return cls(depth, longest, directions, bounds)
+                    way = a - b if np.linalg.norm(a - b) > 1e-9 * longest else way
+                ups, up = [], k
+                while up:
+                    up = (up - 1) // 2
+                    ups.append(up)
+                above = directions[t, ups[: points.shape[1] - 2]]
+                rest = way - above.T @ (above @ way)
+                way = rest if np.linalg.norm(rest) > 1e-3 * np.linalg.norm(way) else way
+                directions[t, k] = way / np.linalg.norm(way)
+                along = points[rows] @ directions[t, k].astype(float)
+                bounds[t, k] = np.median(along) if len(rows) else 0.0
+                own[2 * k + 1], own[2 * k + 2] = rows[along <= bounds[t, k]], rows[along > bounds[t, k]]
+        return cls(depth, scale, longest, directions, bounds)
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree, vectors x trees."""
-        points = lengthened(vectors, self.longest)
+        points = lengthened(vectors / self.scale, self.longest)
         out = np.zeros((len(points), len(self.directions)), np.int64)
         rows = np.arange(len(points))
         for t in range(len(self.directions)):
             at = np.zeros(len(points), np.int64)
             for d in range(self.depth):
                 first = (1 << d) - 1
-                along = points @ self.directions[t, first : 2 * first + 1].T
+                along = points @ self.directions[t, first : 2 * first + 1].T.astype(float)
                 at = 2 * at + 1 + (along[rows, at - first] > self.bounds[t, at])
             out[:, t] = at - ((1 << self.depth) - 1)
         return out
 
+    def asking(self, queries: np.ndarray) -> np.ndarray:
+        """Queries as points: of the longest length, and zero in the last component."""
+        points = np.column_stack((queries / self.scale, np.zeros(len(queries))))
+        return points / np.maximum(np.linalg.norm(points, axis=1), 1e-300)[:, None] * max(self.longest, 1e-300)
+
     def walk(self, queries: np.ndarray, candidates: int) -> list[list[tuple[int, int]]]:
         """For each query the (tree, leaf) met through the shared queue until they hold ``candidates`` vectors."""
-        points = np.column_stack((queries, np.zeros(len(queries))))
-        norms = np.maximum(np.linalg.norm(points, axis=1), 1e-300)
         trees, inner = self.bounds.shape
-        found = []
-        for point in points / norms[:, None] * max(self.longest, 1e-300):
-            margins = (np.tensordot(self.directions, point, 1) - self.bounds).tolist()
+        directions, found = self.directions.reshape(trees * inner, self.directions.shape[2]), []
+        for point in self.asking(queries):
+            margins = ((directions @ point.astype(np.float32)).reshape(trees, inner) - self.bounds).tolist()
             queue, met, held = [(0.0, t, 0) for t in range(trees)], [], 0
             while queue and held < candidates:
                 cost, t, k = heapq.heappop(queue)
                 while k < inner:
                     margin = margins[t][k]
                     near, far = (2 * k + 2, 2 * k + 1) if margin > 0 else (2 * k + 1, 2 * k + 2)
-                    heapq.heappush(queue, (max(cost, abs(margin)), t, far))
+                    heapq.heappush(queue, (cost + abs(margin), t, far))
                     k = near
                 if self.counts[t, k - inner]:
                     met.append((t, k - inner))
@@ -115,6 +129,29 @@ class Forest:
             found.append(met)
         return found
 
+    def share(self, sample: np.ndarray, recall: float = RECALL, asked: int = ASKED, shown: int = SHOWN) -> float:
+        """The share of an index that walks must meet for ``recall`` of the ``shown`` nearest: measured on ``sample``, each leaf's cost at once."""
+        if len(sample) <= shown + 1:
+            return float(len(self.directions))
+        leaves, (trees, inner) = self.leaves(sample), self.bounds.shape
+        counts = np.stack([np.bincount(leaves[:, t], minlength=inner + 1) for t in range(trees)])
+        places = np.linspace(0, len(sample) - 1, min(asked, len(sample))).astype(int)
+        scaled = sample / self.scale
+        near = scaled[places] @ scaled.T
+        near[np.arange(len(places)), places] = -np.inf
+        best = np.argpartition(-near, shown - 1, axis=1)[:, :shown]
+        needed = []
+        for point, own in zip(self.asking(sample[places]), best, strict=True):
+            margins, cost = self.directions @ point.astype(np.float32) - self.bounds, np.zeros((trees, 1))
+            for d in range(self.depth):
+                at = margins[:, (1 << d) - 1 : (2 << d) - 1]
+                cost = np.stack((cost + np.maximum(at, 0), cost + np.maximum(-at, 0)), 2).reshape(trees, -1)
+            order = np.argsort(cost, axis=None)
+            ahead = np.empty(cost.size)
+            ahead[order] = np.cumsum(counts.ravel()[order])
+            needed.append(ahead.reshape(trees, -1)[np.arange(trees), leaves[own]].min(1))
+        return float(np.quantile(np.concatenate(needed), recall)) / len(sample)
+
 
 def lengthened(vectors: np.ndarray, longest: float) -> np.ndarray:
     rest = np.maximum(longest**2 - (vectors**2).sum(1), 0.0)
@@ -140,16 +177,19 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(size == (most["size"] if most else 0))
 
 
-def fit(distinct: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> Forest | None:
-    """A forest for ``distinct`` (rep, embedding), from its ``sample`` rows of least hash."""
-    longest, n = distinct.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.count("*")).first()
+def fit(distinct: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, recall: float = RECALL) -> tuple[Forest, float] | None:
+    """A forest for ``distinct`` (rep, embedding), from its ``sample`` rows of least hash, and the share of it that walks must meet."""
+    largest, n = distinct.agg(F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))), F.count("*")).first()
     if not n:
         return None
+    longest = distinct.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x.cast("double") / F.lit(largest)) * (x / F.lit(largest))))).first()[0]
     some = distinct.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()
-    return Forest.of(matrix(some.column("embedding")), float(np.sqrt(longest)), n, trees, leaf)
+    points = matrix(some.column("embedding"))
+    forest = Forest.of(points, largest, float(np.sqrt(longest)), n, trees, leaf)
+    return forest, forest.share(points, recall)
 
 
-def search(vectors: DataFrame, asked: DataFrame, shown: int = SHOWN, candidates: int = CANDIDATES, share: float = SHARE, trees: int = TREES, leaf: int = LEAF, part_rows: int = PART_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def search(vectors: DataFrame, asked: DataFrame, shown: int = SHOWN, candidates: int = CANDIDATES, recall: float = RECALL, trees: int = TREES, leaf: int = LEAF, part_rows: int = PART_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each id of ``asked`` (vec_id) its nearest of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     rows = stored(usable(vectors))
@@ -157,9 +197,10 @@ def search(vectors: DataFrame, asked: DataFrame, shown: int = SHOWN, candidates:
     least = rows.withColumn("place", F.row_number().over(by_vector)).filter(F.col("place") <= shown + 1)
     distinct = stored(least.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]))
     schema = "query_id long, rank int, vec_id long, score double"
-    forest = fit(distinct, trees, leaf)
-    if forest is None:
+    fitted = fit(distinct, trees, leaf, recall=recall)
+    if fitted is None:
         return spark.createDataFrame([], schema)
+    forest, share = fitted
     queries = stored(rows.join(asked.select("vec_id").distinct(), "vec_id").join(distinct.select("embedding", "rep"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("asker")))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +217,7 @@ def search(vectors: DataFrame, asked: DataFrame, shown: int = SHOWN, candidates:
     t, k, n = (counts.column(c).to_numpy() for c in ("tree", "leaf", "n"))
     forest.counts = np.zeros((trees, 1 << forest.depth), np.int64)
     forest.counts[t, k] = n
-    candidates = max(candidates, int(share * n.sum() / trees))
+    candidates = max(candidates, int(np.ceil(share * n.sum() / trees)))
     # leaf -> its first part and how many parts it has; a row of each table for each leaf of the forest
     many = np.maximum(-(-forest.counts // part_rows), 1)
     ends = np.cumsum(np.where(many > 1, 0, forest.counts), axis=1)
@@ -232,8 +273,9 @@ def search(vectors: DataFrame, asked: DataFrame, shown: int = SHOWN, candidates:
         keep = shown + 4
         # the best by score, then those that tie with the last of these, by the smallest rep
         best, at = np.full((len(q), 2 * keep), -np.inf), np.full((len(q), 2 * keep), -1)
-        longest = np.sqrt((x.astype(float) ** 2).sum(1).max())
-        margin = ROUNDING * longest * np.sqrt((q.astype(float) ** 2).sum(1))
+        largest = max(np.abs(x).max(), np.abs(q).max())
+        longest = largest * np.sqrt(((x / largest) ** 2).sum(1).max())
+        margin = ROUNDING * longest * largest * np.sqrt(((q / largest) ** 2).sum(1))
         for one in np.unique(wanted):
             rows = order[slice(*np.searchsorted(leaf[order], [one, one + 1]))]
             asks_it = by[slice(*np.searchsorted(wanted, [one, one + 1]))]

@@ -32,7 +32,7 @@ def test_all_leaves_give_the_exact_result(spark, part_rows, query_rows):
     same = [0.5] * 8
     rows += [(1000 + i, same, 0) for i in range(90)] + [(5000, None, 0), (5005, [0.0] * 8, 0), (5010, [1.0] * 7 + [float("nan")], 0), (5015, [float("inf")] + [1.0] * 7, 0), (5020, [None] + [1.0] * 7, 0), (None, same, 0), (5025, [], 0)]
     rows += rows[:7]
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ask(spark, rows, leaf=8, part_rows=part_rows, query_rows=query_rows)}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ask(spark, rows, leaf=8, part_rows=part_rows, query_rows=query_rows, candidates=10**6)}
     want = {(q, rank): (i, s) for q, rank, i, s in brute(rows, 20, 5)}
     assert got.keys() == want.keys()
     for k, (i, s) in want.items():
@@ -42,7 +42,7 @@ def test_all_leaves_give_the_exact_result(spark, part_rows, query_rows):
 @pytest.mark.parametrize("n", [3000, 9000])
 def test_recall_of_a_partial_search(spark, n):
     rows = rows_of(np.random.default_rng(n), n, 24)
-    got = ask(spark, rows, leaf=64, candidates=0, share=1.0)
+    got = ask(spark, rows, candidates=0)
     found = {(r.query_id, r.vec_id) for r in got}
     v = np.array([r[1] for r in rows], np.float32).astype(float)
     queries = np.arange(0, n, 5)
@@ -61,5 +61,41 @@ def test_ties_of_different_vectors_go_to_the_smaller_ids(spark):
     rng = np.random.default_rng(4)
     bits = rng.permutation([[float(n >> b & 1) for b in range(10)] for n in range(1, 1024) if n.bit_count() in (3, 4)])
     rows = [(i, list(map(float, v)), 0) for i, v in enumerate(bits)]
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ask(spark, rows, leaf=512)}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ask(spark, rows, leaf=512, candidates=10**6)}
     assert got == {(q, rank): (i, s) for q, rank, i, s in brute(rows, 20, 5)}
+
+
+def test_the_share_is_measured_and_walks_meet_no_more():
+    rng = np.random.default_rng(7)
+    plain = rng.standard_normal((4000, 32))
+    centres = rng.standard_normal((200, 32))
+    grouped = centres[rng.integers(0, 200, 4000)] + 0.1 * rng.standard_normal((4000, 32))
+    shares = {}
+    for name, points in (("plain", plain), ("grouped", grouped)):
+        scale = np.abs(points).max()
+        forest = A.Forest.of(points, scale, float(np.linalg.norm(points / scale, axis=1).max()), len(points))
+        shares[name] = forest.share(points)
+        leaves = forest.leaves(points)
+        forest.counts = np.stack([np.bincount(leaves[:, t], minlength=1 << forest.depth) for t in range(A.TREES)])
+        asked, want, hit, seen = range(3, 4000, 80), int(shares[name] * len(points)), 0, []
+        for q, met in zip(asked, forest.walk(points[list(asked)], want), strict=True):
+            near = points @ points[q]
+            near[q] = -np.inf
+            candidates = np.unique(np.concatenate([np.flatnonzero(leaves[:, t] == leaf) for t, leaf in met]))
+            seen.append(len(candidates) / len(points))
+            hit += len(set(np.argsort(-near)[:20].tolist()) & set(candidates.tolist()))
+        assert hit >= 0.9 * 20 * len(asked) and np.mean(seen) < 0.55
+    assert shares["grouped"] < 0.3 * shares["plain"]
+
+
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(9)
+    for factor in (1e200, 1e-200, 1e30):
+        rows = [(i, [float(x) * factor for x in v], 0) for i, v in enumerate(rng.standard_normal((60, 6)))]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+        got = A.search(df.select("vec_id", "embedding"), df.filter("vec_id = 0"), 5, leaf=8, candidates=10**6).collect()
+        v = np.array([r[1] for r in rows]) / factor
+        want = [int(i) for i in np.argsort(-(v @ v[0])) if i][:5]
+        if factor != 1e200:  # there all products are infinite or zero, and ties
+            assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == (want if factor == 1e30 else [1, 2, 3, 4, 5])
+        assert len(got) == 5
