@@ -6,10 +6,13 @@ the whole of a long text; the difference of the two sizes by the text's bytes is
 signal, and a logistic calibration over that difference, the compression ratio and
 the length turns it into the probability of label 1.
 
-Fitting takes a bounded sample: FIT_ROWS labelled training texts of each label (the
-least by a hash of doc_id, texts of at most FIT_CHARS characters), one half for the
-dictionaries and one for the calibration, reweighted to the label counts of all
-training rows.  Scoring is one Arrow pass over whole texts, without a shuffle.
+Fitting takes a bounded sample: FIT_ROWS labelled training rows of each label (the
+least by a hash of doc_id), as far as their whole texts fit into FIT_BYTES (in that
+order; one that doesn't fit makes room for the next); one half for the dictionaries and
+one for the calibration, reweighted to the label counts of all training rows.  Scoring
+is one Arrow pass over whole texts, without a shuffle.  Rows that repeat a document are
+one for fitting (the least text of an id) and get a score each.  Where there is too little
+text to train a dictionary on, all of it is the dictionary.
 
 Null and empty texts are scored like any other (difference zero).  Labels repeated
 for an id count by their mean; null labels are ignored; without both labels every
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-FIT_ROWS, FIT_CHARS, DICTIONARY_BYTES, PIECE, LEVEL, ACCEPT = 1500, 100_000, 112_640, 2048, 3, 0.7
+FIT_ROWS, FIT_BYTES, DICTIONARY_BYTES, PIECE, LEVEL, ACCEPT = 1500, 24 << 20, 112_640, 2048, 3, 0.7
 
 
 @dataclass
@@ -68,7 +71,7 @@ def _compressor(dictionary: bytes):
     plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
     if not dictionary:
         return zstandard.ZstdCompressor(**plain).compress
-    known = zstandard.ZstdCompressionDict(dictionary)
+    known = zstandard.ZstdCompressionDict(dictionary)  # with zstandard's own header, or plain content
     known.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(dict_data=known, **plain).compress
 
@@ -85,8 +88,8 @@ def _dictionary(texts: list[str]) -> bytes:
     samples = [d[i : i + PIECE] for d in (t.encode() for t in texts) for i in range(0, len(d), PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself serves as one
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+    except zstandard.ZstdError:  # too little text to train on: all of it serves as one
+        return b"".join(dict.fromkeys(samples))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -102,16 +105,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit(docs: DataFrame, marks: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, marks: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
     """Learns from the rows of ``docs`` (doc_id, text) that ``marks`` (doc_id, label) names.
 
-    ``fit_rows`` ids of each label are chosen without their texts; then only these
-    texts are read and reach the driver.
+    ``fit_rows`` ids of each label are chosen without their texts, and of these what fits
+    into ``fit_bytes``; then only these texts are read and reach the driver.
     """
-    known = docs.select("doc_id", (F.length(F.coalesce("text", F.lit(""))) <= FIT_CHARS).alias("short")).join(marks, "doc_id")
+    known = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).join(marks, "doc_id")
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = {label: [r.doc_id for r in known.filter(F.col("short") & (F.col("label") == label)).select("doc_id").distinct().orderBy(*order).limit(fit_rows).collect()] for label in (1, 0)}
+    ids: dict[int, list[int]] = {}
+    for label in (1, 0):
+        some = known.filter(F.col("label") == label).groupBy("doc_id").agg(F.max("size").alias("size")).orderBy(*order).limit(fit_rows).collect()
+        left, ids[label] = fit_bytes, []
+        for r in some:
+            if r["size"] <= left:
+                left -= r["size"]
+                ids[label].append(r.doc_id)
     chosen = docs.sparkSession.createDataFrame([(i, place, label) for label, own in ids.items() for place, i in enumerate(own)], "doc_id long, place int, label int")
     rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("label", "place").agg(F.min("text").alias("text")).orderBy("label", "place").collect()
     texts = {label: [r.text or "" for r in rows if r.label == label] for label in (1, 0)}
