@@ -7,10 +7,11 @@ pieces alone, so an anchor survives whatever changes elsewhere.  A fingerprint i
 the anchors' 32-bit hashes in text order; likeness is the Jaccard index of two sets
 of anchors.  Texts of fewer than K pieces have each piece as an anchor.
 
-Neighbours by descending id: ids are cut into order-preserving buckets (equal widths,
-finer where a count of ids says so), each bucket also gets a copy of the row that
-opens the next one, and a window over a bucket reads the row after.  Whole texts are
-shuffled once.
+Neighbours by descending id: ids are cut at their quantiles, large buckets once more at
+their own, and an id that is a cut has a bucket to itself, so one that very many rows
+share (or none have) can be cut by the texts' hashes.  Buckets keep the order; each also
+gets a copy of the row that opens the next one, and a window over a bucket reads the row
+after.  Whole texts are shuffled once.
 
 Null and empty texts have the fingerprint "" and are fully alike.  Rows of equal id
 stand in the order of their texts' hashes; rows without an id come last.  A lone row
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 K, S, PIECE = 5, 2, 16
-#: Bins of the count of ids, and buckets for each shuffle partition.
-BINS, SPREAD = 4096, 8
+#: Quantiles of all ids, and of those of a large bucket; buckets for each shuffle partition.
+CUTS, FINER, SPREAD = 1024, 256, 8
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,35 +65,56 @@ def likeness(a: Column | str, b: Column | str) -> Column:
     return F.when(every == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / every)
 
 
-def followed(rows: DataFrame, columns: list[str], slim: DataFrame) -> DataFrame:
+def _quantiles(value: Column | str, parts: int) -> Column:
+    return F.array_distinct(F.percentile_approx(value, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(100 * parts)))
+
+
+def _place(value: Column, cuts: Column, steps: int) -> Column:
+    """Twice the number of cuts below ``value``, and one more if it is a cut itself; by halving steps, of which 2 ** ``steps`` exceeds the cuts."""
+    halves = F.array(*(F.lit(1 << k) for k in range(steps - 1, -1, -1)))
+    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(cuts, at + step - 1) < value, F.lit(False)), at + step).otherwise(at))
+    return _let(below, lambda at: 2 * at + F.coalesce((F.get(cuts, at) == value).cast("int"), F.lit(0)))
+
+
+def followed(rows: DataFrame, columns: list[str], slim: DataFrame, cuts: int = CUTS, finer: int = FINER) -> DataFrame:
     """``rows`` (doc_id, mark, ...) with ``next_<column>``: the given columns of the row after, by descending (doc_id, mark); the first follows the last.
 
     ``slim`` holds doc_id and mark of the same rows and nothing that is costly to compute.
+    What is broadcast are rows for each bucket: some SPREAD for each shuffle partition, and
+    at most FINER cuts for each large bucket.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low, high, n = slim.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width, target = max((high - low + 1) / BINS, 1.0), max(1, n // (SPREAD * parts))
-    at = (F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(width))
-    bin = F.coalesce(F.floor(at).cast("int"), F.lit(-1))
-    fine = slim.groupBy(bin.alias("bin")).agg(F.ceil(F.count("*") / target).cast("int").alias("fine"))  # BINS + 1 rows at most
+    first, n = slim.agg(_quantiles("doc_id", cuts), F.count("*")).first()
+    target = max(1, n // (SPREAD * parts))
+    known = F.array(*map(F.lit, first or [])).cast("array<long>")
+    id = F.coalesce("doc_id", F.lit(0))
+    one = F.when(F.col("doc_id").isNull(), -1).otherwise(_place(id, known, cuts.bit_length()))
+    whole = slim.withColumn("one", one).groupBy("one").agg(F.count("*").alias("n"), _quantiles("doc_id", finer).alias("cuts"))
+    every = F.ceil(F.lit(finer) / (F.col("n") / target)).cast("int")  # as many of these as the bucket's size asks for
+    large = cut(whole.filter(F.col("n") > target).select("one", F.filter("cuts", lambda _, i: (i + 1) % F.greatest(every, F.lit(1)) == 0).alias("cuts")))
 
     def placed(df: DataFrame) -> DataFrame:
-        joined = df.withColumn("bin", bin).join(F.broadcast(fine), "bin")
-        return joined.withColumn("sub", F.coalesce(F.least(F.floor((at - F.col("bin")) * F.col("fine")).cast("int"), F.col("fine") - 1), F.lit(0))).drop("fine")
+        df = df.withColumn("one", one).join(F.broadcast(large), "one", "left")
+        return df.withColumn("two", F.when(F.col("cuts").isNull() | F.col("doc_id").isNull(), 0).otherwise(_place(id, F.col("cuts"), finer.bit_length()))).drop("cuts")
+
+    slices = placed(slim).groupBy("one", "two").agg(F.count("*").alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("same"))
+    slices = cut(slices.filter(F.col("same") & (F.col("n") > 2 * target)).select("one", "two", F.ceil(F.col("n") / target).cast("int").alias("slices")))
+    share = (F.col("mark") / F.lit(2.0**64)) + 0.5  # a hash, so its range is evenly filled
+
+    def sliced(df: DataFrame) -> DataFrame:
+        df = placed(df).join(F.broadcast(slices), ["one", "two"], "left")
+        return df.withColumn("three", F.coalesce(F.least(F.floor(share * F.col("slices")).cast("int"), F.col("slices") - 1), F.lit(0))).drop("slices")
 
+    keys = ["one", "two", "three"]
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("i"), F.col("mark").alias("m"))
-    heads = placed(slim).groupBy("bin", "sub").agg(F.max(order).alias("head"))  # a few rows for each shuffle partition
-    before = W.partitionBy(F.lit(1)).orderBy("bin", "sub")
-    ends = F.struct("bin", "sub")
-    heads = heads.select("bin", "sub", "head", F.coalesce(F.lead(ends).over(before), F.min(ends).over(W.partitionBy(F.lit(1)))).alias("to"))
-    heads = cut(heads)
-    rows = placed(rows)
+    heads = sliced(slim).groupBy(*keys).agg(F.max(order).alias("head"))  # a few rows for each shuffle partition
+    before, ends = W.partitionBy(F.lit(1)).orderBy(*keys), F.struct(*keys)
+    heads = cut(heads.select(*keys, "head", F.coalesce(F.lead(ends).over(before), F.min(ends).over(W.partitionBy(F.lit(1)))).alias("to")))
     opens = order.eqNullSafe(F.col("head"))
-    rows = rows.join(F.broadcast(heads), ["bin", "sub"]).withColumn("copy", F.explode(F.when(opens, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    rows = rows.withColumn("bin", F.when(F.col("copy"), F.col("to.bin")).otherwise(F.col("bin"))).withColumn("sub", F.when(F.col("copy"), F.col("to.sub")).otherwise(F.col("sub"))).drop("head", "to")
-    after = W.partitionBy("bin", "sub").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("mark"))
-    return rows.select("*", *(F.lead(c).over(after).alias(f"next_{c}") for c in columns)).filter(~F.col("copy")).drop("bin", "sub", "copy")
+    rows = sliced(rows).join(F.broadcast(heads), keys).withColumn("copy", F.explode(F.when(opens, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    rows = rows.withColumns({k: F.when(F.col("copy"), F.col(f"to.{k}")).otherwise(F.col(k)) for k in keys}).drop("head", "to")
+    after = W.partitionBy(*keys).orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("mark"))
+    return rows.select("*", *(F.lead(c).over(after).alias(f"next_{c}") for c in columns)).filter(~F.col("copy")).drop(*keys, "copy")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -90,3 +91,34 @@ def test_one_row_repeats_and_no_rows(spark):
     same = spark.createDataFrame([(3, "a b c"), (3, "a b c"), (3, "d e"), (None, None), (None, None)], "doc_id long, text string")
     assert S.fingerprints(same).count() == 5
     assert S.fingerprints(one.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cuts", [4, 1024])
+def test_neighbours_of_skewed_ids(spark, cuts):
+    """An id far from all others, one that a third of all rows share, rows without any."""
+    rng = random.Random(5)
+    ids = [rng.randrange(5000) for _ in range(600)] + [777] * 400 + [None] * 150 + [1 << 62, -(1 << 62), 777]
+    rows = [(i, rng.getrandbits(63) - (1 << 62), k) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, mark long, k int")
+    found = S.followed(df, ["k"], df.select("doc_id", "mark"), cuts, 4)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -r[1]))
+    want = {a[2]: b[2] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    assert {r.k: r.next_k for r in found.collect()} == want
+
+
+def test_no_bucket_is_large(spark):
+    rng = random.Random(6)
+    ids = [rng.randrange(10**5) for _ in range(3000)] + [777] * 2000 + [None] * 1000 + [1 << 62]
+    df = spark.createDataFrame([(i, rng.getrandbits(64) - (1 << 63), 0) for i in ids], "doc_id long, mark long, k int")
+    windows = []
+    S.followed(df, ["k"], df.select("doc_id", "mark")).createOrReplaceTempView("followed_rows")
+    plan = spark.table("followed_rows")
+    keys = plan._jdf.queryExecution().analyzed().toString()
+    assert "one" in keys and "three" in keys
+    target = len(ids) // (S.SPREAD * 8)
+    first = df.agg(S._quantiles("doc_id", S.CUTS)).first()[0]
+    placed = df.filter("doc_id is not null").withColumn("one", S._place(F.col("doc_id"), F.array(*map(F.lit, first)), 11))
+    for r in placed.groupBy("one").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("kinds")).collect():
+        windows.append(r.n)
+        assert r.n <= 2 * target or r.kinds == 1
+    assert sum(windows) == 5001
