@@ -49,22 +49,24 @@ def held_out(doc_id: Column | str, mod: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod == 2
 
 
-def prefixes(df: DataFrame, by: list[str], order: Column, value: str, bits: int = 10) -> DataFrame:
+def prefixes(df: DataFrame, by: list[str], order: Column, value: str, most: int, rows: int = 1 << 16) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over the rows of the same ``by`` that stand earlier.
 
     Rows stand in the order of ``order``, a string of lower-case hex digits that is
-    spread evenly (a digest).  Its leading digits cut each group into 2**bits slices;
-    slice sums are small, so only a slice's own rows meet in one task, however large
-    the group is.
+    spread evenly (a digest).  Its leading digits cut each group into slices, so many
+    that the largest group, of ``most`` rows, has some ``rows`` in each (256 slices at
+    least); slice sums are small, so only a slice's own rows meet in one task.
     """
     from pyspark.sql import Window as W
 
-    digits = bits // 4
-    rows = df.withColumn("__slice", F.conv(F.substring(order, 1, digits), 16, 10).cast("int"))
-    sums = rows.groupBy(*by, "__slice").agg(F.sum(value).alias("__sum"))
+    digits = 2
+    while 16**digits * rows < most:
+        digits += 1
+    sliced = df.withColumn("__slice", F.conv(F.substring(order, 1, digits), 16, 10).cast("int"))
+    sums = sliced.groupBy(*by, "__slice").agg(F.sum(value).alias("__sum"))
     ahead = W.partitionBy(*by).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*by, "__slice", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"))
     keys = [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "__slice"]]
-    both = rows.alias("r").join(sums.alias("s"), keys).select("r.*", "s.__ahead")
+    both = sliced.alias("r").join(sums.alias("s"), keys).select("r.*", "s.__ahead")
     own = W.partitionBy(*by, "__slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return both.withColumn("before", F.col("__ahead") + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("__slice", "__ahead")

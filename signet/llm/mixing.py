@@ -83,9 +83,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     """(doc_id, source, size, n, source_size, target, copies): one row per distinct id, source and size, of n rows each."""
     plain = docs.select("doc_id", "source", words("text").alias("size"))
     units = cut(plain.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).withColumn("unit", F.col("n") * F.col("size")))
-    sources = cut(targets(units.groupBy("source").agg(F.sum("unit").alias("source_size")), weights, most))
+    sizes = cut(units.groupBy("source").agg(F.sum("unit").alias("source_size"), F.count("*").alias("rows")))
+    sources = cut(targets(sizes.drop("rows"), weights, most))
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"), F.coalesce("source", F.lit("")))
-    units = prefixes(units.withColumn("order", F.md5(name)), ["source"], F.col("order"), "unit")
+    units = prefixes(units.withColumn("order", F.md5(name)), ["source"], F.col("order"), "unit", sizes.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0])
     known = units.alias("u").join(sources.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select("u.*", "s.source_size", "s.target")
     known = cut(known)
     finish, order = _cutoff(known, sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], most)
