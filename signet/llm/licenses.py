@@ -136,7 +136,9 @@ def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     parts = F.transform("lines", lambda form, i: F.struct((i + 1).alias("line"), form.alias("form")))
     units = rows.select("doc_id", F.inline(F.concat(F.array(F.struct(F.lit(0).alias("line"), whole(F.col("lines")).alias("form"))), parts)))
     units = units.filter("form != ''").select("doc_id", "line", F.sha2("form", 256).alias("digest"))
-    return units.join(F.broadcast(against.select("digest", "license").distinct()), "digest").select("doc_id", "line", "license")
+    against = against.select("digest", "license").distinct()
+    against = F.broadcast(against) if texts is None else against  # a table that is given may be of any size
+    return units.join(against, "digest").select("doc_id", "line", "license")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

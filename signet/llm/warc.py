@@ -13,6 +13,7 @@ bytes pass; nothing but a header is held whole unless the payload is asked for.
 
 Null html is an empty payload.  Rows that repeat a page_id and a payload are written
 alike (all as response, or all as revisit); a null page_id comes after all others.
+A revisit's digest is held against the name of the record that it refers to.
 Truncated, wrongly framed or altered records raise ValueError with archive and record.
 Only page_id, url and html are read.
 """
@@ -41,8 +42,9 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _name(page_id: int | None, digest: str) -> str:
+    """A record's name: pages of one id with other payloads have other names; equal rows are one record, written as often."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest[:16]}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
@@ -50,7 +52,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to else http + payload
     target = re.sub(r"[\x00-\x20\x7f<>]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {_name(page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to}"] if refers_to else []
     squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n") + squeeze.compress(block) + squeeze.compress(b"\r\n\r\n") + squeeze.flush()
@@ -174,7 +176,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
                     store.create_dir(root, recursive=True)
                     path, n, size = f"{place}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{root}/{path.rpartition('/')[2]}", compression=None)
-                data = record(page_id, url, html.encode(), digest, _name(first) if revisit else None)
+                data = record(page_id, url, html.encode(), digest, _name(first, digest) if revisit else None)
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= archive_bytes:
@@ -189,9 +191,12 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
 def read(archives: DataFrame, keep: bool = False) -> DataFrame:
     """Every record of ``archives`` (archive): page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload if ``keep``."""
 
-    def page(name: str | None) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", name or "")
-        return int(found[1]) if found else None
+    def page(name: str | None, digest: str) -> int | None:
+        """The page that a record names, which must be one of this payload: of a revisit, what it refers to too."""
+        found = re.fullmatch(r"<urn:page:(-?[0-9]+|none):([0-9a-f]{16})>", name or "")
+        if name is not None and (found is None or found[2] != digest[:16]):
+            raise ValueError("a name that isn't that of its payload")
+        return int(found[1]) if found and found[1] != "none" else None
 
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if keep else {})
 
@@ -204,8 +209,10 @@ def read(archives: DataFrame, keep: bool = False) -> DataFrame:
                 with store.open_input_stream(path, compression=None) as file:
                     n = 0
                     try:
-                        for n, x in enumerate(records(file, keep), 1):
-                            rows.append((page(x["warc-record-id"]), x["warc-target-uri"], x["payload_bytes"], x["payload_digest"], x["warc-type"], page(x.get("warc-refers-to")), x.get("payload")))
+                        for x in records(file, keep):
+                            digest = x["payload_digest"]
+                            rows.append((page(x["warc-record-id"], digest), x["warc-target-uri"], x["payload_bytes"], digest, x["warc-type"], page(x.get("warc-refers-to"), digest), x.get("payload")))
+                            n += 1
                             held += len(x.get("payload", ""))
                             if len(rows) >= 2000 or held > 32 << 20:
                                 yield made(rows)

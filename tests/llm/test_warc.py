@@ -46,3 +46,16 @@ def test_archives_are_members_and_damage_is_found():
     for data in wrong:
         with pytest.raises(ValueError):
             list(W.records(io.BytesIO(b + data)))
+
+
+def test_a_revisit_of_another_payload_is_found(spark, tmp_path):
+    digest = hashlib.sha256(b"x" * 200).hexdigest()
+    for first, good in ((digest, True), ("0" * 64, False)):
+        path = tmp_path / f"{first[:4]}.warc.gz"
+        path.write_bytes(W.record(1, "u", b"x" * 200, digest, None) + W.record(2, "u", b"x" * 200, digest, W._name(1, first)))
+        found = W.read(spark.createDataFrame([(f"file://{path}",)], "archive string"))
+        if good:
+            assert sorted((r.page_id, r.refers_to) for r in found.collect()) == [(1, None), (2, 1)]
+        else:
+            with pytest.raises(Exception, match="record 2: a name"):
+                found.collect()
