@@ -15,11 +15,12 @@ A page loses the branches whose importance is under their bar:
   what repeats among text that doesn't.  Copies of an article lower both alike.
 - nodes with words that may mark adverts, notices, shares or related pages: a
   high bar, lower where the word is only a part of a class or stands in an id.
-  Adverts look alike on all pages, whatever they say, so they stay below it.
+- nodes (and loose text) outside of a page's article or main elements: the highest bar.
+  Frames and adverts look alike on all pages, whatever they say, so they stay below it.
+  Pages with and without such elements are trees of their own.
 
 Elements and words that by themselves say what isn't the article go without asking
-(menus, headers, footers, asides, forms, reader comments, scripts, styles).  If a page
-has article or main elements, only what stands in them counts.
+(menus, headers, footers, asides, forms, reader comments, scripts, styles).
 
 Class words mark a node if a whole class is such a word or begins or ends with one,
 unless it says what a page has (has-sidebar, no-banner).  Paragraphs, headings and
@@ -56,8 +57,8 @@ from pyspark.sql import functions as F
 from .common import cut, shared_dir, table
 
 LEAST, DECAY, PRIOR, UNKNOWN, DEEP = 0.3, 0.9, 8, 0.9, 32
-#: Importance under which a node goes whose words may mark noise: a part of a class or an id, and a whole class.
-BARS = {1: 0.6, 2: 0.97}
+#: Importance under which a node goes whose words may mark noise (1: a part of a class or an id, 2: a whole class), or that stands outside of the article (3).
+BARS = {1: 0.6, 2: 0.97, 3: 0.99}
 #: Elements by how they are treated.
 DROPPED = set("aside button canvas datalist dialog embed footer head iframe input menu nav noscript object optgroup option script select style svg template textarea title".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg"}
@@ -84,6 +85,7 @@ OUTER_HINTS = {"header", "masthead", "head", "top", "bottom", "side", "legal", "
 #: Words for what holds articles of its own, and words that tell what a page has or hasn't.
 LISTS = set("comment comments commentlist reply replies respond disqus related recommended recommendations trending promoted sponsored".split())
 STATES = set("has have no not non with without is show hide open opened closed enabled disabled off none js supports uses using".split())
+ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
 TAG, STOP = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])"), re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -180,9 +182,10 @@ def _tag_end(html: str, at: int) -> int:
 def outline(html: str) -> tuple[list[tuple[int, int, bool, str]], dict[int, Style]]:
     """Blocks (node, dropped by 1: words or forms, 2: tag or hidden, within an article, text) in page order, and each node's style."""
     blocks: list[tuple[int, bool, _Mark | None, bool, str]] = []
-    styles: dict[int, Style] = {0: Style((), 0, -1)}
-    stack, parts, at, n = [_Open("", 0, False, None, False)], [], 0, len(html)
-    opened: Counter[str] = Counter()
+    base = int(ARTICLE.search(html) is not None)
+    styles: dict[int, Style] = {base: Style((), 0, -1)}
+    stack, parts, at, n = [_Open("", base, False, None, False)], [], 0, len(html)
+    opened, inside = Counter(), set()
 
     def flush() -> None:
         if parts:
@@ -190,8 +193,11 @@ def outline(html: str) -> tuple[list[tuple[int, int, bool, str]], dict[int, Styl
             text = " ".join((unescape(text) if "&" in text else text).split())
             parts.clear()
             if text:
-                top = stack[-1]
-                blocks.append((top.node, top.off, top.mark, top.main, text))
+                top, node = stack[-1], stack[-1].node
+                if base and not top.main and len(styles[node].ups) < DEEP:  # loose text beside an article is a node of its own
+                    own, node = styles[node], _child(node, "#text")
+                    styles.setdefault(node, Style((*own.ups, node), own.root or node, max(own.bar, 0)))
+                blocks.append((node, top.off, top.mark, top.main, text))
 
     def shut(k: int) -> None:
         for x in stack[k:]:
@@ -237,15 +243,17 @@ def outline(html: str) -> tuple[list[tuple[int, int, bool, str]], dict[int, Styl
                             break
             up = stack[-1]
             off = up.off or hidden or tag in DROPPED or (tag == "header" and not up.main)
-            main = up.main or (tag in MAIN and not off)
+            if tag in PARTS and up.mark is not None:
+                up.mark.holds(tag)
+            main = up.main or (tag in MAIN and not off and not _marked(up.mark))
             node, own = up.node, styles[up.node]
             if len(own.ups) < DEEP:
                 own.keys.add(key)
                 node = _child(up.node, key)
                 root = node if not own.root or tag == "body" or (tag in MAIN and main) else own.root
                 own = styles.setdefault(node, Style((*own.ups, node), root, bar))
-            if tag in PARTS and up.mark is not None:
-                up.mark.holds(tag)
+            if main:
+                inside.add(node)
             words = max(words, 0 if up.main else outer)
             mark = _Mark(up.mark, words, None) if words else _Mark(up.mark, 0, None) if tag == "form" else _Mark(up.mark, bar, own) if bar > 0 else up.mark
             if bar > 0 and not words and tag != "form":
@@ -265,10 +273,24 @@ def outline(html: str) -> tuple[list[tuple[int, int, bool, str]], dict[int, Styl
     if at < n:
         parts.append(html[at:])
     flush()
-    del styles[0]
+    del styles[base]
+    if inside:
+        kept = inside.union(*(styles[node].ups for node in inside))
+        for node, style in styles.items():
+            if node not in kept:
+                style.bar = 3
     return [(node, 2 if off else _gone(mark), main, text) for node, off, mark, main, text in blocks], styles
 
 
+def _marked(mark: _Mark | None) -> bool:
+    """Whether words say of ``mark`` or one above it that it isn't content, or may not be."""
+    while mark is not None:
+        if mark.stands or (mark.style is not None and mark.style.bar > 0):
+            return True
+        mark = mark.up
+    return False
+
+
 def _gone(mark: _Mark | None) -> int:
     """Whether ``mark`` or one above it stands."""
     chain = []
@@ -288,9 +310,8 @@ def main_text(html: str | None, noise: set[int] | None) -> str:
         noise = {node for node, style in styles.items() if UNKNOWN < BARS.get(style.bar, 0.0)}
     noisy = {node for node, style in styles.items() if not noise.isdisjoint(style.ups)} if noise else set()
     for most in (1, 2):
-        some = [b for b in blocks if b[1] < most and b[0] not in noisy]
-        if some:
-            return "\n\n".join(b[3] for b in [b for b in some if b[2]] or some)
+        if some := [b[3] for b in blocks if b[1] < most and b[0] not in noisy]:
+            return "\n\n".join(some)
     return ""
 
 
@@ -314,7 +335,7 @@ def observed(pages: DataFrame) -> DataFrame:
                     text = html.as_py() or ""
                     page, (blocks, styles) = _mark(text), outline(text)
                     rows += [(site, page, node, 0, _mark(" ".join(sorted(style.keys))), style.ups, style.root, style.bar) for node, style in styles.items()]
-                    rows += [(site, page, node, 1, mark, None, None, None) for node, mark in {(node, _mark(re.sub(r"[0-9]+", "0", words).lower())) for node, _, _, words in blocks if node}]
+                    rows += [(site, page, node, 1, mark, None, None, None) for node, mark in {(node, _mark(re.sub(r"[0-9]+", "0", words).lower())) for node, _, _, words in blocks if node in styles}]
                 made = [list(x) for x in zip(*rows, strict=True)] or [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types.values(), strict=True)], names=list(types))
 
