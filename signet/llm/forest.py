@@ -24,7 +24,8 @@ Vectors that are null, zero, or hold null or non-finite components take no part,
 do those of a length that isn't the most frequent (ties: the longest) and rows without
 an id.  Repeated rows count once.  A query's own id is no candidate.  Ties go to the
 smaller id.  Fewer candidates give fewer rows; no rows give none.  Very large components
-are scaled down for the trees; scores are those of the vectors as they are.
+are scaled down for the trees; scores are those of the vectors as they are, and a score
+that is minus infinity or not a number, beyond the range of doubles, is no answer.
 """
 
 from __future__ import annotations
