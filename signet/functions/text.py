@@ -227,8 +227,8 @@ def file_size(n: Column) -> Column:
 
 
 def instant(at: Column) -> Column:
-    """A UTC instant to the second."""
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A UTC instant to the second, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def without_fence(text: Column) -> Column:

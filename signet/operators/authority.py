@@ -27,10 +27,15 @@ def evaluate(transactions: DataFrame, authorities: DataFrame, persons: DataFrame
     status).  A joint rule takes exactly one active person beside the initiator, and only
     its own signers.  What one document names is gathered into one row, so transactions
     are shuffled once; a company with very many of them is split by Spark's skew join.
+
+    What isn't known never helps: a person without a mode may not act alone, a null signer
+    is nobody, a company, person or authority without a status isn't active, and a
+    transaction without an amount or a day is denied as not proved.  Null limits and dates
+    of validity are open, and a rule blocks only where ``blocked`` is true.
     """
     active = listed(reps)
     people = persons.join(active, ["company", "person"], "left").groupBy("company").agg(F.collect_list(F.struct("person", "source_id", "mode", "max_amount", F.coalesce(F.col("once") & F.col("active"), F.lit(False)).alias("sure"), F.coalesce("active", F.lit(False)).alias("active"))).alias("people"))
-    terms = rules.groupBy("company").agg(F.array_sort(F.collect_list(F.struct(F.col("threshold").isNull().alias("open"), F.coalesce("threshold", F.lit(0)).alias("least"), "ordinal", "threshold", F.lower("scope").alias("scope"), "mode", "blocked", "signers"))).alias("rules"))
+    terms = rules.groupBy("company").agg(F.array_sort(F.collect_list(F.struct(F.col("threshold").isNull().alias("open"), F.coalesce("threshold", F.lit(0)).alias("least"), "ordinal", "threshold", F.lower("scope").alias("scope"), "mode", F.coalesce("blocked", F.lit(False)).alias("blocked"), "signers"))).alias("rules"))
     known = authorities.join(people, "company", "left").join(terms, "company", "left").join(companies.select("company", F.col("status").alias("live")), "company", "left")
     rows = transactions.join(known, "company", "left")
     own = F.filter("people", lambda p: p.person == F.col("initiator"))
@@ -38,14 +43,18 @@ def evaluate(transactions: DataFrame, authorities: DataFrame, persons: DataFrame
     rows = rows.withColumns({"own": own, "in_scope": in_scope})
     rows = rows.withColumn("rule", F.get(F.filter("in_scope", lambda r: ~r.blocked & (r.open | (F.col("amount") <= r.threshold))), 0)).withColumn("me", F.get("own", 0))
     rows = rows.withColumn("others", F.filter("people", lambda p: p.active & (p.source_id != F.col("me.source_id")) & F.array_contains(F.col("rule.signers"), p.source_id)))
-    sole = (F.col("me.mode") == "SOLE") & (F.col("me.max_amount").isNull() | (F.col("me.max_amount") >= F.col("amount")))
+    surely = lambda c: F.coalesce(c, F.lit(False))
+    sole = surely((F.col("me.mode") == "SOLE") & (F.col("me.max_amount").isNull() | (F.col("me.max_amount") >= F.col("amount"))))
+    signer = surely(F.array_contains(F.col("rule.signers"), F.col("me.source_id")))
+    one = surely(F.size("others") == 1)
     mode = F.col("rule.mode")
+    proved = F.col("amount").isNotNull() & F.col("day").isNotNull() & surely(((mode == "SOLE") & sole) | ((mode == "JOINT") & signer & one))
     step = (
         F.when(F.col("status").isNull(), "no_authority").when(F.col("status") != "ACTIVE", "authority_not_active").when(F.col("valid_until") < F.col("day"), "authority_expired")
-        .when(F.coalesce(F.size("own"), F.lit(0)) != 1, "initiator_unknown").when(F.coalesce(F.col("live"), F.lit("")) != "ACTIVE", "company_not_active").when(~F.col("me.sure"), "initiator_not_active")
-        .when(F.exists("in_scope", lambda r: r.blocked), "scope_blocked").when(F.col("rule").isNull(), "no_rule")
-        .when((mode == "SOLE") & ~sole, "over_limit").when((mode == "JOINT") & ~F.array_contains(F.col("rule.signers"), F.col("me.source_id")), "not_a_signer")
-        .when((mode == "JOINT") & (F.size("others") != 1), "no_cosigner").when(mode.isNull() | ~mode.isin("SOLE", "JOINT"), "unknown_mode")
+        .when(F.coalesce(F.size("own"), F.lit(0)) != 1, "initiator_unknown").when(F.coalesce(F.col("live"), F.lit("")) != "ACTIVE", "company_not_active").when(~surely(F.col("me.sure")), "initiator_not_active")
+        .when(surely(F.exists("in_scope", lambda r: r.blocked)), "scope_blocked").when(F.col("rule").isNull(), "no_rule")
+        .when((mode == "SOLE") & ~sole, "over_limit").when((mode == "JOINT") & ~signer, "not_a_signer")
+        .when((mode == "JOINT") & ~one, "no_cosigner").when(mode.isNull() | ~mode.isin("SOLE", "JOINT"), "unknown_mode").when(~proved, "not_proved")
     )
     rows = rows.withColumn("failed_step", step)
     verdict = F.when(F.col("failed_step").isNotNull(), "DENIED").when(F.col("rule.mode") == "SOLE", "ALLOWED").otherwise("PENDING_COSIGN")

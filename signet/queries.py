@@ -48,6 +48,18 @@ INPUTS = {
 }
 
 
+#: The same with holes: one column after another is null in some rows.
+GAPS = {
+    "transactions": f"""SELECT txn_id, CASE WHEN txn_id % 101 <> 0 THEN company END AS company, CASE WHEN txn_id % 103 <> 0 THEN subject END AS subject, CASE WHEN txn_id % 11 <> 0 THEN amount END AS amount,
+        CASE WHEN txn_id % 107 <> 0 THEN initiator END AS initiator, CASE WHEN txn_id % 13 <> 0 THEN day END AS day FROM ({INPUTS["transactions"]}) t""",
+    "authorities": f"SELECT company, CASE WHEN company % 23 <> 0 THEN status END AS status, valid_until FROM ({INPUTS['authorities']}) t",
+    "persons": f"""SELECT company, CASE WHEN company % 29 <> 0 THEN person END AS person, CASE WHEN company % 10 <> 3 OR person = 'p1' THEN source_id END AS source_id, CASE WHEN company % 3 <> 1 THEN mode END AS mode, max_amount
+        FROM ({INPUTS["persons"]}) t""",
+    "rules": f"""SELECT company, CASE WHEN company % 31 <> 0 THEN scope END AS scope, threshold, CASE WHEN company % 37 <> 0 THEN mode END AS mode, CASE WHEN company % 2 = 0 OR blocked THEN blocked END AS blocked, ordinal,
+        CASE WHEN company % 7 = 0 THEN NULL WHEN company % 7 = 1 THEN array(CAST(NULL AS STRING), 's1') ELSE signers END AS signers FROM ({INPUTS["rules"]}) t""",
+    "companies": f"SELECT company, CASE WHEN company % 41 <> 0 THEN status END AS status FROM ({INPUTS['companies']}) t",
+    "reps": f"SELECT company, person, CASE WHEN company % 43 <> 0 OR person <> 'p0' THEN status END AS status FROM ({INPUTS['reps']}) t",
+}
 GIVEN = ("transactions", "authorities", "persons", "rules", "companies", "reps")
 
 
@@ -59,6 +71,11 @@ def authorize_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authority.evaluate(*(_input(spark, sf_dir, n) for n in GIVEN))
 
 
+def authorize_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over inputs with holes in every column: what isn't known denies."""
+    return authority.evaluate(*(inputs.rows(spark, sf_dir, GAPS[n]) for n in GIVEN))
+
+
 def compare_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.compare(_input(spark, sf_dir, "cases")).select("case_id", *comparison.CHECKS, "verdict")
 
@@ -126,7 +143,7 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (authorize_batch, compare_checks, normalize_text, redact_text, identifier_checks, parse_dates, format_amounts, page_windows, page_runs, latest_version, next_version, audit_newest, dashboard_counts, denied_by_step, orphans, *R.ALL, *extraction_queries.ALL, *decision_queries.ALL)}
+    return {f.__name__: f for f in (authorize_batch, authorize_gaps, compare_checks, normalize_text, redact_text, identifier_checks, parse_dates, format_amounts, page_windows, page_runs, latest_version, next_version, audit_newest, dashboard_counts, denied_by_step, orphans, *R.ALL, *extraction_queries.ALL, *decision_queries.ALL)}
 
 
 def _with(*names: str) -> str:
@@ -165,6 +182,30 @@ _STEPS = f"""{_with(*GIVEN)}, live AS (SELECT company, person, count(*) AS n, bo
 )"""
 
 
+def _gap_steps() -> str:
+    """Each condition for a verdict stands by itself here; nulls are decided one by one."""
+    given = inputs.given({n: q.replace("array(", "list_value(") for n, q in GAPS.items()}, *GIVEN)
+    return f"""{given}, mine AS (
+  SELECT t.txn_id, count(p.person) AS n, min(p.source_id) AS source_id, min(p.mode) AS mode, min(p.max_amount) AS most FROM transactions t LEFT JOIN persons p ON p.company = t.company AND p.person = t.initiator GROUP BY t.txn_id
+), live AS (SELECT company, person, count(*) AS n, count(*) FILTER (status = 'ACTIVE') AS active FROM reps GROUP BY company, person), fit AS (
+  SELECT t.txn_id, r.mode, coalesce(r.signers, []) AS signers FROM transactions t JOIN rules r ON r.company = t.company AND r.scope = lower(t.subject) WHERE r.blocked IS NOT TRUE AND (r.threshold IS NULL OR t.amount <= r.threshold)
+  QUALIFY row_number() OVER (PARTITION BY t.txn_id ORDER BY r.threshold NULLS LAST, r.ordinal) = 1
+), seconds AS (
+  SELECT t.txn_id, count(*) AS n, min(o.person) AS person FROM transactions t JOIN fit f ON f.txn_id = t.txn_id JOIN mine m ON m.txn_id = t.txn_id JOIN persons o ON o.company = t.company JOIN live l ON l.company = o.company AND l.person = o.person
+  WHERE l.active > 0 AND o.source_id IS NOT NULL AND m.source_id IS NOT NULL AND o.source_id <> m.source_id AND len(list_filter(f.signers, lambda x: x IS NOT NULL AND x = o.source_id)) > 0 GROUP BY t.txn_id
+), steps AS (
+  SELECT t.txn_id, f.mode, s.person, CASE
+    WHEN a.status IS NULL THEN 'no_authority' WHEN a.status <> 'ACTIVE' THEN 'authority_not_active' WHEN a.valid_until IS NOT NULL AND t.day IS NOT NULL AND a.valid_until < t.day THEN 'authority_expired'
+    WHEN m.n <> 1 THEN 'initiator_unknown' WHEN c.status IS NULL OR c.status <> 'ACTIVE' THEN 'company_not_active' WHEN l.n IS NULL OR l.n <> 1 OR l.active <> 1 THEN 'initiator_not_active'
+    WHEN EXISTS (SELECT 1 FROM rules r WHERE r.company = t.company AND r.scope = lower(t.subject) AND r.blocked IS TRUE) THEN 'scope_blocked' WHEN f.txn_id IS NULL THEN 'no_rule'
+    WHEN f.mode = 'SOLE' AND (m.mode IS NULL OR m.mode <> 'SOLE' OR m.most IS NOT NULL AND (t.amount IS NULL OR t.amount > m.most)) THEN 'over_limit'
+    WHEN f.mode = 'JOINT' AND (m.source_id IS NULL OR len(list_filter(f.signers, lambda x: x IS NOT NULL AND x = m.source_id)) = 0) THEN 'not_a_signer'
+    WHEN f.mode = 'JOINT' AND (s.n IS NULL OR s.n <> 1) THEN 'no_cosigner' WHEN f.mode IS NULL THEN 'unknown_mode' WHEN t.amount IS NULL OR t.day IS NULL THEN 'not_proved' END AS failed_step
+  FROM transactions t LEFT JOIN mine m ON m.txn_id = t.txn_id LEFT JOIN authorities a ON a.company = t.company LEFT JOIN companies c ON c.company = t.company
+  LEFT JOIN live l ON l.company = t.company AND l.person = t.initiator LEFT JOIN fit f ON f.txn_id = t.txn_id LEFT JOIN seconds s ON s.txn_id = t.txn_id
+) SELECT txn_id, CASE WHEN failed_step IS NOT NULL THEN 'DENIED' WHEN mode = 'SOLE' THEN 'ALLOWED' ELSE 'PENDING_COSIGN' END AS verdict, failed_step, CASE WHEN failed_step IS NULL AND mode = 'JOINT' THEN person END AS cosigner FROM steps"""
+
+
 def _compare() -> str:
     mask = lambda x: f"CASE WHEN regexp_full_match(trim({x}), '[0-9]{{3}}\\*+[0-9]{{2}}') THEN left(trim({x}), 3) || right(trim({x}), 2) END"
     digits = lambda x: f"regexp_replace({x}, '[^0-9]', '', 'g')"
@@ -200,6 +241,7 @@ def _identifiers() -> str:
 def oracle_sql() -> dict[str, str]:
     return R.oracle_sql(_normal) | extraction_queries.oracle_sql() | decision_queries.oracle_sql() | {
         "authorize_batch": f"{_STEPS} SELECT * FROM decided",
+        "authorize_gaps": _gap_steps(),
         "compare_checks": _compare(),
         "normalize_text": f"SELECT doc_id, sha256({_normal('text')}) AS normal_sha256 FROM documents",
         "redact_text": "SELECT doc_id, CASE WHEN length(t) > 500 THEN left(t, 500) || '…[TRUNCATED]' ELSE t END AS kept FROM (SELECT doc_id, regexp_replace('id 12345678901; ' || CAST(doc_id AS STRING) || coalesce(' ' || text, ''), '(^|[^0-9])[0-9]{11}($|[^0-9])', '\\1[REDACTED_TCKN]\\2', 'g') AS t FROM documents)",
