@@ -43,10 +43,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-def held_out(doc_id: Column | str, mod: int) -> Column:
-    """True where crc32(doc_id as text) mod ``mod`` is 2; a null id counts as the text ''."""
+def held_out(doc_id: Column | str, mod: int, rest: int = 2) -> Column:
+    """True where crc32(doc_id as text) mod ``mod`` is ``rest``; a null id counts as the text ''."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod == 2
+    return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
 def prefixes(df: DataFrame, by: list[str], order: Column, value: str, most: int, rows: int = 1 << 16) -> DataFrame:

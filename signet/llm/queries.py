@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forest, html, licenses, mixing, quality, simhash, suffix_tree, syncmers, warc
+from . import audit, bpe, forest, html, infill, licenses, mixing, quality, simhash, suffix_tree, syncmers, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_syncmers": syncmers.op9_syncmers,
         "op10_bpe": bpe.op10_bpe,
+        "op11_audit": audit.op11_audit,
+        "op12_toxicity": toxicity.op12_toxicity,
+        "op13_infill": infill.op13_infill,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses.SQL, "op8_mixing": mixing.SQL}
+    return {"op6_licenses": licenses.SQL, "op8_mixing": mixing.SQL, "op11_audit": audit.SQL, "op13_infill": infill.SQL}
