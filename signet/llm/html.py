@@ -19,8 +19,10 @@ A page loses the branches whose importance is under their bar:
   Frames and adverts look alike on all pages, whatever they say, so they stay below it.
   Pages with and without such elements are trees of their own.
 
-Elements and words that by themselves say what isn't the article go without asking
-(menus, headers, footers, asides, forms, reader comments, scripts, styles).
+Elements and, outside of an article, words that by themselves say what isn't the
+article go without asking (menus, headers, footers, asides, forms, reader comments,
+scripts, styles).  Within an article such words only set a bar: the low one for words
+that articles speak of (menu, search), the high one for all others.
 
 Class words mark a node if a whole class is such a word or begins or ends with one,
 unless it says what a page has (has-sidebar, no-banner).  Paragraphs, headings and
@@ -28,11 +30,15 @@ tables of an article are never gone without asking, nor do ids of headings count
 Words never mark html, body, main and article, nor a node that holds main; nodes that
 hold an article only if the class is the word itself or names what has articles of its
 own (comments, related).  A form that holds a page's parts (main, article, headings,
-menus) isn't dropped.  Where words and forms would take all text but noise, importance
-alone decides.
+menus) isn't dropped.  Where words of a page's frame and forms would take all text but
+noise, importance alone decides; what words call comments or notices never comes back,
+so a page with nothing else has no text.
 
-Nodes deeper than DEEP count as the one there, so a page's outline takes memory in
-proportion to its length; a quote that is never closed ends with its tag.
+Controls within a paragraph (button, select, canvas) are left out and don't end its block.
+A node knows its DEEP nearest ancestors and where they go on; sums over all that is below
+a node take one step, and one more for each doubling of the depth beyond DEEP.  So a
+page's outline takes time and memory in proportion to its length, at any depth.  A quote
+that is never closed ends with its tag.
 
 Null, empty and broken pages give what text they have, an empty string if none.
 Pages without a host count as a host of their own name, ''.  Repeated pages count
@@ -44,7 +50,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -65,6 +71,7 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template",
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 SPACE_INLINE = {"br", "img", "wbr"}
+CONTROLS = {"button", "canvas", "datalist", "select"}
 MAIN = {"article", "main"}
 NEVER, HEADINGS = {"html", "body", *MAIN}, {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that show that a form around them is a page's frame.
@@ -77,6 +84,11 @@ HINTS = set(
     " cookie cookies consent gdpr newsletter subscribe subscription signup login search searchbox"
     " comment comments commentlist reply replies respond disqus pagination pager footer contentinfo complementary colophon hidden".split()
 )
+#: Those of HINTS that an article may well speak of.
+TOPICS = set("menu navigation search login subscription consent complementary".split())
+FRAMES = HINTS - TOPICS
+#: Those of HINTS that mark reader comments and notices rather than a page's frame.
+VOICES = set("cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus hidden".split())
 #: Words that may mark adverts, and others that may mark what isn't an article's text.
 ADVERTS = set("ad ads adsense advert adverts advertisement advertisements adbox adslot sponsor sponsored promo promoted promotion".split())
 WEIGHED = ADVERTS | set("banner rail widget widgets notice notices notification alert popup modal overlay share sharing social follow related recommended recommendations trending skip toolbar disclaimer copyright".split())
@@ -104,35 +116,38 @@ def _strength(names: list[str], hints: set[str], lists: set[str] = LISTS) -> int
     return found
 
 
-def _traits(tag: str, rest: str, main: bool) -> tuple[str, bool, int, int, int]:
-    """A node's key; whether it is hidden; how its words say that it isn't content, anywhere and outside of an article; its bar."""
+def _traits(tag: str, rest: str, main: bool) -> tuple[str, bool, int, int, int, bool]:
+    """A node's key; whether it is hidden; how its words say that it isn't content, anywhere and outside of an article; its bar; whether they are of comments and notices."""
     if "=" not in rest and "hidden" not in rest:
-        return tag, False, 0, 0, -1 if tag in NEVER else 0
+        return tag, False, 0, 0, -1 if tag in NEVER else 0, False
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
     names, ids = found.get("class", "").split(), found.get("id", "").split()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     key = ".".join([tag, *(re.sub(r"[0-9]{3,}", "N", n) for n in (names + ids)[:2])])
     if tag in NEVER:
-        return key, hidden and tag in MAIN, 0, 0, -1
+        return key, hidden and tag in MAIN, 0, 0, -1, False
     ids = [] if tag in HEADINGS else ids
     names += found.get("role", "").split()
     lists = set() if main and tag in TEXT else LISTS  # a paragraph, list or table of the article
     certain, by_id = _strength(names, HINTS, lists), _strength(ids, HINTS, set())
+    voice = bool(_strength(names, VOICES, lists) or _strength(ids, VOICES, set()))
     bar = max(_strength(names, WEIGHED, lists | ADVERTS), _strength(ids, WEIGHED, set()))
     if main and (tag in TEXT or by_id < 2):  # no word is enough in such, nor in a slug
         bar, by_id = max(bar, by_id), 0
-    if main and tag in TEXT:
-        bar, certain = max(bar, certain), 0
-    return f"{key}!{bar}" if bar else key, hidden, max(certain, by_id), _strength(names + ids, OUTER_HINTS), bar
+    if main:  # the tree decides; words that articles speak of set a low bar
+        plain = tag not in TEXT and max(_strength(names, FRAMES, lists), 2 * (_strength(ids, FRAMES, set()) == 2))
+        said = 2 if plain else certain if tag in TEXT else min(certain, 1)
+        bar, certain, by_id = max(bar, said), 0, 0
+    return f"{key}!{bar}" if bar else key, hidden, max(certain, by_id), _strength(names + ids, OUTER_HINTS), bar, voice
 
 
 class _Mark:
     """A node that words (strength 1 or 2) or being a form (0) say isn't content, until what it holds says otherwise."""
 
-    __slots__ = ("up", "strength", "style", "stands", "seen", "gone")
+    __slots__ = ("up", "strength", "style", "voice", "stands", "seen", "gone")
 
-    def __init__(self, up: _Mark | None, strength: int, style: Style | None):
-        self.up, self.strength, self.style, self.stands, self.seen, self.gone = up, strength, style, True, set(), None
+    def __init__(self, up: _Mark | None, strength: int, style: Style | None, voice: bool = False):
+        self.up, self.strength, self.style, self.voice, self.stands, self.seen, self.gone = up, strength, style, voice, True, set(), None
 
     def holds(self, tag: str) -> None:
         mark = self
@@ -147,13 +162,22 @@ class _Mark:
 
 @dataclass
 class Style:
-    """What a page shows of one node: the nodes from the top to it, the one that is its article or body, its bar and its children's keys."""
+    """What a page shows of one node: the nearest nodes above and itself, the node above these, the one that is its article or body, its bar and its children's keys."""
 
     ups: tuple[int, ...]
+    more: int | None
     root: int
     bar: int
     keys: set[str] = field(default_factory=set)
 
+    def child(self, node: int, root: int, bar: int) -> Style:
+        full = len(self.ups) == DEEP
+        return Style((*self.ups[full:], node), self.ups[0] if full else None, root, bar)
+
+    @property
+    def up(self) -> int | None:
+        return self.ups[-2] if len(self.ups) > 1 else None
+
 
 class _Open:
     __slots__ = ("tag", "node", "off", "mark", "main")
@@ -180,12 +204,13 @@ def _tag_end(html: str, at: int) -> int:
 
 
 def outline(html: str) -> tuple[list[tuple[int, int, bool, str]], dict[int, Style]]:
-    """Blocks (node, dropped by 1: words or forms, 2: tag or hidden, within an article, text) in page order, and each node's style."""
+    """Blocks (node, dropped by 1: words of a frame or forms, 2: words of comments and notices, tag or hidden, within an article, text) in page order, and each node's style."""
     blocks: list[tuple[int, bool, _Mark | None, bool, str]] = []
     base = int(ARTICLE.search(html) is not None)
-    styles: dict[int, Style] = {base: Style((), 0, -1)}
+    styles: dict[int, Style] = {base: Style((), None, 0, -1)}
     stack, parts, at, n = [_Open("", base, False, None, False)], [], 0, len(html)
-    opened, inside = Counter(), set()
+    places, solid = defaultdict(list), [0]  # where in the stack a tag is open, and where elements that aren't inline
+    inside, unclosed = set(), set()
 
     def flush() -> None:
         if parts:
@@ -194,15 +219,18 @@ def outline(html: str) -> tuple[list[tuple[int, int, bool, str]], dict[int, Styl
             parts.clear()
             if text:
                 top, node = stack[-1], stack[-1].node
-                if base and not top.main and len(styles[node].ups) < DEEP:  # loose text beside an article is a node of its own
+                if base and not top.main:  # loose text beside an article is a node of its own
                     own, node = styles[node], _child(node, "#text")
-                    styles.setdefault(node, Style((*own.ups, node), own.root or node, max(own.bar, 0)))
+                    if node not in styles:
+                        styles[node] = own.child(node, own.root or node, max(own.bar, 0))
                 blocks.append((node, top.off, top.mark, top.main, text))
 
     def shut(k: int) -> None:
         for x in stack[k:]:
-            opened[x.tag] -= 1
+            places[x.tag].pop()
         del stack[k:]
+        while solid[-1] >= k:
+            solid.pop()
 
     for m in iter(lambda: TAG.search(html, at), None):
         if m.start() > at:
@@ -228,54 +256,56 @@ def outline(html: str) -> tuple[list[tuple[int, int, bool, str]], dict[int, Styl
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.end() if end else n
                 continue
+            if tag in CONTROLS and tag not in unclosed:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                    continue
+                unclosed.add(tag)
             inline, up = tag in INLINE, stack[-1]
-            key, hidden, words, outer, bar = _traits(tag, rest, up.main)
+            key, hidden, words, outer, bar, voice = _traits(tag, rest, up.main)
             if inline and not (hidden or words or bar):
                 continue
             flush()
             if not inline:
-                for same in ({"p"}, {tag} if tag in ("li", "dt", "dd", "tr", "td", "th") else ()):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag in same:
-                            shut(k)
-                            break
-                        if stack[k].tag not in INLINE and stack[k].tag != "p":
-                            break
+                for same in ("p", tag if tag in ("li", "dt", "dd", "tr", "td", "th") else None):
+                    if same and stack[solid[-1]].tag == same:
+                        shut(solid[-1])
             up = stack[-1]
             off = up.off or hidden or tag in DROPPED or (tag == "header" and not up.main)
             if tag in PARTS and up.mark is not None:
                 up.mark.holds(tag)
             main = up.main or (tag in MAIN and not off and not _marked(up.mark))
-            node, own = up.node, styles[up.node]
-            if len(own.ups) < DEEP:
-                own.keys.add(key)
-                node = _child(up.node, key)
-                root = node if not own.root or tag == "body" or (tag in MAIN and main) else own.root
-                own = styles.setdefault(node, Style((*own.ups, node), root, bar))
+            own, node = styles[up.node], _child(up.node, key)
+            own.keys.add(key)
+            if node not in styles:
+                styles[node] = own.child(node, node if not own.root or tag == "body" or (tag in MAIN and main) else own.root, bar)
+            own = styles[node]
             if main:
                 inside.add(node)
             words = max(words, 0 if up.main else outer)
-            mark = _Mark(up.mark, words, None) if words else _Mark(up.mark, 0, None) if tag == "form" else _Mark(up.mark, bar, own) if bar > 0 else up.mark
+            mark = _Mark(up.mark, words, None, voice) if words else _Mark(up.mark, 0, None) if tag == "form" else _Mark(up.mark, bar, own) if bar > 0 else up.mark
             if bar > 0 and not words and tag != "form":
                 mark.stands = False  # the tree decides
+            places[tag].append(len(stack))
+            if not inline:
+                solid.append(len(stack))
             stack.append(_Open(tag, node, off, mark, main))
-            opened[tag] += 1
             if rest.endswith("/"):
                 shut(len(stack) - 1)
-        elif opened[tag] > 0:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    flush()
-                    shut(k)
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+        elif places[tag] and (tag not in INLINE or places[tag][-1] > solid[-1]):
+            flush()
+            shut(places[tag][-1])
     if at < n:
         parts.append(html[at:])
     flush()
     del styles[base]
     if inside:
-        kept = inside.union(*(styles[node].ups for node in inside))
+        kept: set[int] = set()
+        for node in inside:
+            while node is not None and node not in kept:
+                kept.add(node)
+                node = styles[node].up
         for node, style in styles.items():
             if node not in kept:
                 style.bar = 3
@@ -292,14 +322,14 @@ def _marked(mark: _Mark | None) -> bool:
 
 
 def _gone(mark: _Mark | None) -> int:
-    """Whether ``mark`` or one above it stands."""
+    """Whether ``mark`` or one above it stands; 2 if that speaks of comments or notices."""
     chain = []
     while mark is not None and mark.gone is None:
         chain.append(mark)
         mark = mark.up
     found = mark.gone if mark is not None else 0
     for one in reversed(chain):
-        found = one.gone = int(found or one.stands)
+        found = one.gone = max(found, (1 + one.voice) * one.stands)
     return found
 
 
@@ -308,7 +338,10 @@ def main_text(html: str | None, noise: set[int] | None) -> str:
     blocks, styles = outline(html or "")
     if noise is None:
         noise = {node for node, style in styles.items() if UNKNOWN < BARS.get(style.bar, 0.0)}
-    noisy = {node for node, style in styles.items() if not noise.isdisjoint(style.ups)} if noise else set()
+    noisy: set[int] = set()
+    for node, style in styles.items():  # a node stands after those above it
+        if node in noise or style.up in noisy:
+            noisy.add(node)
     for most in (1, 2):
         if some := [b[3] for b in blocks if b[1] < most and b[0] not in noisy]:
             return "\n\n".join(some)
@@ -324,8 +357,8 @@ def _mark(text: str) -> int:
 
 
 def observed(pages: DataFrame) -> DataFrame:
-    """host, page (a digest of html), node, kind (0: style, 1: feature), mark, and for styles ups, root, bar: what each page shows of its site's style tree."""
-    types = {"host": pa.string(), "page": pa.int64(), "node": pa.int64(), "kind": pa.int32(), "mark": pa.int64(), "ups": pa.list_(pa.int64()), "root": pa.int64(), "bar": pa.int32()}
+    """host, page (a digest of html), node, kind (0: style, 1: feature), mark, and for styles ups, more, root, bar: what each page shows of its site's style tree."""
+    types = {"host": pa.string(), "page": pa.int64(), "node": pa.int64(), "kind": pa.int32(), "mark": pa.int64(), "ups": pa.list_(pa.int64()), "more": pa.int64(), "root": pa.int64(), "bar": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,12 +367,12 @@ def observed(pages: DataFrame) -> DataFrame:
                 for site, html in zip(part.column("host").to_pylist(), part.column("html"), strict=True):
                     text = html.as_py() or ""
                     page, (blocks, styles) = _mark(text), outline(text)
-                    rows += [(site, page, node, 0, _mark(" ".join(sorted(style.keys))), style.ups, style.root, style.bar) for node, style in styles.items()]
-                    rows += [(site, page, node, 1, mark, None, None, None) for node, mark in {(node, _mark(re.sub(r"[0-9]+", "0", words).lower())) for node, _, _, words in blocks if node in styles}]
+                    rows += [(site, page, node, 0, _mark(" ".join(sorted(style.keys))), style.ups, style.more, style.root, style.bar) for node, style in styles.items()]
+                    rows += [(site, page, node, 1, mark, None, None, None, None) for node, mark in {(node, _mark(re.sub(r"[0-9]+", "0", words).lower())) for node, _, _, words in blocks if node in styles}]
                 made = [list(x) for x in zip(*rows, strict=True)] or [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types.values(), strict=True)], names=list(types))
 
-    return pages.select(host("url").alias("host"), "html").mapInArrow(run, "host string, page long, node long, kind int, mark long, ups array<long>, root long, bar int")
+    return pages.select(host("url").alias("host"), "html").mapInArrow(run, "host string, page long, node long, kind int, mark long, ups array<long>, more long, root long, bar int")
 
 
 def _weighed(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -350,7 +383,7 @@ def _weighed(counts: DataFrame, by: list[str]) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("kind") == 0, log)), F.lit(0.0)).alias("style_log"),
         F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.lit(0)).alias("features"),
         F.coalesce(F.sum(F.when(F.col("kind") == 1, log)), F.lit(0.0)).alias("feature_log"),
-        F.max("ups").alias("ups"), F.max("root").alias("root"), F.min("bar").alias("bar"),
+        F.max("ups").alias("ups"), F.max("more").alias("more"), F.max("root").alias("root"), F.min("bar").alias("bar"),
     )
     nodes = cut(nodes)  # used for nodes and for what is below them
     m = F.greatest(F.col("pages"), F.lit(1))
@@ -359,17 +392,35 @@ def _weighed(counts: DataFrame, by: list[str]) -> DataFrame:
     ups = F.transform("ups", lambda up, i: F.struct(up.alias("up"), (F.size("ups") - i).alias("levels")))
     # what each node shows of its own goes to itself and to its ancestors
     below = nodes.select(*by, "features", repeated.alias("repeated"), F.inline(ups)).groupBy(*by, "up").agg(F.sum("features").alias("all"), F.sum("repeated").alias("known"), F.max("levels").alias("height"))
+    below = _deeper(below, nodes.filter("more is not null").select(*by, F.col("node").alias("up"), "more"), by)
     both = nodes.select(*by, F.col("node").alias("up"), "pages", shown.alias("shown"), "root", "bar").join(below, [*by, "up"])
     content = F.when(F.col("all") > 0, 1 - F.col("known") / F.col("all")).otherwise(1.0)
     weight = F.pow(F.lit(DECAY), F.col("height"))
     return both.select(*by, F.col("up").alias("node"), "pages", ((1 - weight) * F.col("shown") + weight * content).alias("importance"), "root", "bar")
 
 
+def _deeper(below: DataFrame, jumps: DataFrame, by: list[str]) -> DataFrame:
+    """``below`` (by, up, all, known, height of the DEEP levels from each node on) over all levels; ``jumps`` leads DEEP levels up.
+
+    Each step doubles the levels that sums span and jumps pass, so there are as many as the
+    depth has doublings beyond DEEP: none where no page is that deep.
+    """
+    levels, jumps = DEEP, cut(jumps)
+    while not jumps.isEmpty():
+        below = cut(below)
+        found = below.join(jumps, [*by, "up"]).groupBy(*by, F.col("more").alias("up")).agg(F.sum("all").alias("all2"), F.sum("known").alias("known2"), (F.max("height") + levels).alias("height2"))
+        zero = F.lit(0)
+        below = below.join(found, [*by, "up"], "left").select(*by, "up", (F.col("all") + F.coalesce("all2", zero)).alias("all"), (F.col("known") + F.coalesce("known2", zero)).alias("known"), F.greatest("height", "height2").alias("height"))
+        jumps = cut(jumps.join(jumps.select(*by, F.col("up").alias("more"), F.col("more").alias("most")), [*by, "more"]).select(*by, "up", F.col("most").alias("more")))
+        levels *= 2
+    return below
+
+
 def importance(pages: DataFrame) -> DataFrame:
     """host, node, pages, importance, root, bar for every node of each host's style tree, filled up by that of all hosts."""
     seen = observed(pages).distinct()
-    counts = cut(seen.groupBy("host", "node", "kind", "mark").agg(F.count("*").alias("n"), F.max("ups").alias("ups"), F.max("root").alias("root"), F.min("bar").alias("bar")))
-    every = counts.groupBy("node", "kind", "mark").agg(F.sum("n").alias("n"), F.max("ups").alias("ups"), F.max("root").alias("root"), F.min("bar").alias("bar"))
+    counts = cut(seen.groupBy("host", "node", "kind", "mark").agg(F.count("*").alias("n"), F.max("ups").alias("ups"), F.max("more").alias("more"), F.max("root").alias("root"), F.min("bar").alias("bar")))
+    every = counts.groupBy("node", "kind", "mark").agg(F.sum("n").alias("n"), F.max("ups").alias("ups"), F.max("more").alias("more"), F.max("root").alias("root"), F.min("bar").alias("bar"))
     own = _weighed(counts, ["host"])
     known = _weighed(every, []).select("node", ((F.col("pages") * F.col("importance") + PRIOR * UNKNOWN) / (F.col("pages") + PRIOR)).alias("known"))
     filled = (F.col("pages") * F.col("importance") + PRIOR * F.col("known")) / (F.col("pages") + PRIOR)

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -43,7 +44,10 @@ def plain_importance(rows, name):
             key = (name(site), node)
             pages[key].add((site, html))
             styles[key][frozenset(style.keys)] += 1
-            ups[key] = style.ups
+            ups[key], at = {node}, style.up
+            while at is not None:
+                ups[key].add(at)
+                at = tree[at].up
         for node, text in {(b[0], "".join("0" if c.isdigit() else c for c in b[3]).replace("00", "0").lower()) for b in blocks}:
             feats[name(site), node][text] += 1
     found = {}
@@ -146,3 +150,65 @@ def test_deep_nesting_and_broken_quotes(spark):
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "deep" and got[2] == "one" and got[3].startswith("one") and got[4] == "a\n\nb" and 5 in got
     assert max(len(style.ups) for style in H.outline(deep)[1].values()) == H.DEEP
+
+
+@pytest.mark.parametrize("html", ["<div class=comments><p>Reader says</p></div>", "<div id=cookie-notice>We use cookies</div>", "<body><section class='comment-list'><article>Me too</article></section></body>", "<div class=newsletter><form>Sign up</form></div>", "<div class=sidebar><div class=reply>Reader</div></div>"])
+def test_comments_and_notices_alone_are_no_text(html):
+    assert H.main_text(html, None) == ""
+
+
+def test_words_of_frames_within_an_article_ask_the_tree(spark):
+    page = "<article><p>Head</p><div class=menu>Soup and bread</div><div class=search-results>Found</div></article>"
+    assert H.main_text(page, None) == "Head\n\nSoup and bread\n\nFound"
+    rng = random.Random(8)
+    rows = [(i, f"http://m.example/{i}", f"<article><p>{words(rng, 12)}</p><div class=menu><a>Home</a><a>About</a></div><div class=reply>{words(rng, 8)}</div></article>") for i in range(40)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in got) == sorted(r[2].partition("<p>")[2].partition("</p>")[0] for r in rows)
+
+
+def test_controls_within_a_paragraph():
+    assert H.main_text("<p>Press <button class=x>Go</button> now <select><option>a<option>b</select>or later</p>", None) == "Press now or later"
+    assert H.main_text("<p>a <button>never closed <p>b", None) == "a"
+
+
+def test_adverts_go_at_any_depth(spark):
+    """The same advert below 2 and below 100 nodes, on pages of one site; sums over levels agree with loops."""
+    rng, rows = random.Random(9), []
+    for i in range(30):
+        deep = 2 if i % 2 else 100
+        rows.append((i, "http://deep.example/", "<body>" + "<div class=w>" * deep + f"<p>{words(rng, 12)}</p><div class=ad>{words(rng, 5)}</div>" + "</div>" * deep + "</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert got == {i: html.partition("<p>")[2].partition("</p>")[0] for i, _, html in rows}
+    found = {(r.host, r.node): r.importance for r in H._weighed(H.observed(pages).groupBy("host", "node", "kind", "mark").agg(*(H.F.max(c).alias(c) for c in ("ups", "more", "root", "bar")), H.F.countDistinct("page").alias("n")), ["host"]).collect()}
+    want = plain_importance([("deep.example", html) for _, _, html in rows], lambda site: site)
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(v, abs=1e-9) for k, (_, v) in want.items())
+
+
+def test_time_grows_with_the_page():
+    for page in ("<span class=ad>{0}<p>x{0}", "<b class=ad><div>{0}", "<div class=q>{0}", "<button>{0}"):
+        took = []
+        for n in (4000, 32_000):
+            html = page.replace("{0}", "<span class=ad>" * n if "b class" in page else "") + "</b>" * n if "b class" in page else page.split("{0}")[0] * n + "<p>x" * n
+            began = time.perf_counter()
+            H.outline(html)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 24 * took[0] + 1  # eight times the page; squares would be sixty-four
+
+
+#: Pages as sites of different make write them, and their text by hand.
+BY_HAND = [
+    ("<html><head><title>A</title></head><body class=home><div id=top><ul class=nav><li>Home<li>News</ul></div><div id=content><h1>Rain ahead</h1><p>It will <b>rain</b> on Monday.</p><p>Take a coat &amp; hat.</p><div class=share-bar>Share this</div></div><div id=footer>Imprint</div></body></html>", "Rain ahead\n\nIt will rain on Monday.\n\nTake a coat & hat."),
+    ("<body><header>Shop</header><main><h2>Tea</h2><p>Green tea from the hills.<br>Fresh.</p><table><tr><td>Weight<td>100 g</table><p>Ask us <button>Chat</button> any time.</p></main><aside>Related</aside><div class='comments'><p>Great tea!</p></div><footer>(c)</footer></body>", "Tea\n\nGreen tea from the hills. Fresh.\n\nWeight\n\n100 g\n\nAsk us any time."),
+    ("<body><div class=cookie-banner>Cookies?</div><article><h1>On menus</h1><p>A menu tells a story.</p><div class=menu>Soup, bread, pears</div><blockquote>Eat well</blockquote><section class=reader-comments><p>Yum</p></section></article></body>", "On menus\n\nA menu tells a story.\n\nSoup, bread, pears\n\nEat well"),
+    ("<body><form id=f><header>Portal</header><nav>Menu</nav><div><h1>Notice of works</h1><p>The bridge closes in May.</p></div></form></body>", "Notice of works\n\nThe bridge closes in May."),
+    ("<body><nav>x</nav><div class=sidebar>About me</div><div class=post><h1>Day one</h1><p>We left early &mdash; and late.<p>Rain.<ul><li>Bag<li>Map</ul></div><script>var x='<p>no</p>'</script><div class=login><form>Name</form></div>", "Day one\n\nWe left early \u2014 and late.\n\nRain.\n\nBag\n\nMap"),
+]
+
+
+def test_words_agree_with_texts_taken_by_hand():
+    same = found = wanted = 0
+    for html, text in BY_HAND:
+        got, want = Counter(H.main_text(html, None).split()), Counter(text.split())
+        same, found, wanted = same + (got & want).total(), found + got.total(), wanted + want.total()
+    assert 2 * same / (found + wanted) > 0.97
