@@ -49,6 +49,14 @@ def held_out(doc_id: Column | str, mod: int, rest: int = 2) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
+def repeated(df: DataFrame, n: str, place: str, rows: int = 4096) -> DataFrame:
+    """Each row of ``df`` as often as its column ``n`` says, numbered by ``place`` from 0; rows that come often are spread over tasks first."""
+    some = df.filter(F.col(n).between(1, rows)).withColumn(place, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    many = df.filter(F.col(n) > rows).withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(rows).cast("long"))))
+    many = many.repartition("__from").withColumn(place, F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + rows, F.col(n)) - 1))).drop("__from")
+    return some.withColumn(place, F.col(place).cast("long")).unionByName(many)
+
+
 def prefixes(df: DataFrame, by: list[str], order: Column, value: str, most: int, rows: int = 1 << 16) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over the rows of the same ``by`` that stand earlier.
 

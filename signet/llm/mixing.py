@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing (operator 8); DataFrame operations only.
 
-Documents of a source stand in a fixed shuffled order (a digest of id, size and
-source) and are offered up to MOST times over.  A copy's virtual finish time is the
+Documents of a source stand in a fixed shuffled order (a digest of id, source, text
+and place among equal rows) and are offered up to MOST times over.  A copy's virtual finish time is the
 words its source has offered up to its end, divided by the source's target; copies
 are taken in the order of finish times until the total budget is used up.
 
@@ -11,18 +11,22 @@ histograms of finish times, narrowed until a bin holds few copies; all that reac
 the driver is a bin count and one cut-off.  One row per source is sorted in a
 single task, for their rank.
 
-Null and empty texts have size 0.  Null sources are one source, the last.  Rows
-that agree in id, source and size are taken together, so reruns agree whatever the
-order of the input.  A source without words has target 0.  No rows give no rows.
+Null and empty texts have size 0.  Null sources are one source, the last, and not
+the same as ''.  Every row is offered by itself: rows without an id are told apart by
+their texts, and n equal rows are n offers that stand apart in the queue, so reruns
+agree whatever the order of the input.  A source without words has target 0; a text
+without words is taken once or not at all.  No rows give no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, prefixes, table
+from .common import WORD, cut, prefixes, repeated, table
 
 WEIGHTS, MOST, BINS, FEW = (5, 2, 1), 3, 1024, 5000
 
@@ -53,72 +57,88 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def _finish(copy: Column | int) -> Column:
     """When the given copy (from 0) of a unit ends; null where the source has no target."""
     at = (F.lit(copy) if isinstance(copy, int) else copy).cast("long")
-    return (at * F.col("source_size") + F.col("before") + F.col("unit")) / F.nullif(F.col("target"), F.lit(0.0))
+    return (at * F.col("source_size") + F.col("before") + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0))
 
 
 def _cutoff(units: DataFrame, budget: int, most: int) -> tuple[float, str]:
     """The last copy, as (finish, order), of those taken in the order of finish times within the budget."""
-    copies = units.filter("unit > 0").select("unit", "order", F.explode(F.array(*map(_finish, range(most)))).alias("finish"))
+    copies = units.filter("size > 0").select("size", "order", F.explode(F.array(*map(_finish, range(most)))).alias("finish"))
     low, used, high = 0.0, 0, copies.agg(F.max("finish")).first()[0] or 0.0
     while True:  # copies up to low are taken and use `used`; the budget ends in (low, high]
         width = (high - low) / BINS
         within = copies.filter((F.col("finish") > low) & (F.col("finish") <= high))
         bins = F.least(F.greatest(F.ceil((F.col("finish") - low) / width) - 1, F.lit(0)), F.lit(BINS - 1)) if width > 0 else F.lit(0)
-        found = within.groupBy(bins.cast("int").alias("bin")).agg(F.sum("unit").alias("unit"), F.count("*").alias("n"), F.max("finish").alias("last")).orderBy("bin").collect()
+        found = within.groupBy(bins.cast("int").alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("finish").alias("last")).orderBy("bin").collect()
         for bin in found:
-            if used + bin.unit > budget:
+            if used + bin.words > budget:
                 break
-            used, low = used + bin.unit, bin.last
+            used, low = used + bin.words, bin.last
         else:
             return high, "g"  # everything fits; "g" stands after all hex digits
         high = bin.last
         if bin.n <= FEW or high <= low or width <= 0:
             break
-    last = within.filter((F.col("finish") > low) & (F.col("finish") <= high)).withColumn("sum", F.sum("unit").over(W.partitionBy(F.lit(1)).orderBy("finish", "order")))
+    last = within.filter((F.col("finish") > low) & (F.col("finish") <= high)).withColumn("sum", F.sum("size").over(W.partitionBy(F.lit(1)).orderBy("finish", "order")))
     row = last.filter(F.col("sum") <= budget - used).agg(F.max(F.struct("finish", "order")).alias("x")).first().x
     return (row.finish, row.order) if row else (low, "g")
 
 
+def _key(text: Column | str, *others: Column | str) -> Column:
+    """What equal rows share beside id and source: a digest of the text, and of other columns that are given."""
+    return F.concat_ws(":", F.md5(F.coalesce(text, F.lit("")).cast("binary")), *([F.hex(F.xxhash64(*others))] if others else []))
+
+
+def _others(docs: DataFrame) -> list[str]:
+    """Columns of ``docs`` beside id, source and text that Spark can hash."""
+    return [f.name for f in docs.schema if f.name not in ("doc_id", "source", "text") and not re.search("map<|variant", f.dataType.simpleString())]
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(doc_id, source, size, n, source_size, target, copies): one row per distinct id, source and size, of n rows each."""
-    plain = docs.select("doc_id", "source", words("text").alias("size"))
-    units = cut(plain.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).withColumn("unit", F.col("n") * F.col("size")))
-    sizes = cut(units.groupBy("source").agg(F.sum("unit").alias("source_size"), F.count("*").alias("rows")))
+    """(doc_id, source, key, size, source_size, target, copies): one row per row of ``docs``."""
+    plain = docs.select("doc_id", "source", _key(F.col("text"), *_others(docs)).alias("key"), words(F.col("text")).alias("size"))
+    equal = cut(plain.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("n")))
+    name = F.concat_ws(":", F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "key", "place")
+    units = cut(repeated(equal, "n", "place").select("doc_id", "source", "key", "size", F.md5(name).alias("order")))
+    sizes = cut(units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     sources = cut(targets(sizes.drop("rows"), weights, most))
-    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"), F.coalesce("source", F.lit("")))
-    units = prefixes(units.withColumn("order", F.md5(name)), ["source"], F.col("order"), "unit", sizes.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0])
+    units = prefixes(units, ["source"], F.col("order"), "size", sizes.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0])
     known = units.alias("u").join(sources.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select("u.*", "s.source_size", "s.target")
     known = cut(known)
     finish, order = _cutoff(known, sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], most)
     taken = [((_finish(i) < finish) | ((_finish(i) == finish) & (F.col("order") <= order))) for i in range(most)]
     copies = sum((F.coalesce(t, F.lit(False)).cast("int") for t in taken), F.lit(0))
     copies = F.when(F.col("size") == 0, F.least(copies, F.lit(1))).otherwise(copies)
-    return known.select("doc_id", "source", "size", "n", "source_size", "target", copies.alias("copies"))
+    return known.select("doc_id", "source", "key", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with its columns."""
-    keys = ["doc_id", "source", "size"]
-    plan = mix(docs).filter("copies > 0").select(*keys, "copies")
-    own = {"doc_id": F.col("d.doc_id"), "source": F.col("d.source"), "size": words("d.text")}
-    both = docs.alias("d").join(plan.alias("p"), [own[k].eqNullSafe(F.col(f"p.{k}")) for k in keys])
-    return both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("__copy")).select(docs.columns)
+    """The rows of ``docs`` as often as the mix takes them, with its columns.
+
+    Of n equal rows each comes as often as all of them do, and what is left over comes from one of them.
+    """
+    keys = ["doc_id", "source", "key"]
+    plan = cut(mix(docs).groupBy(*keys).agg(F.sum("copies").alias("all"), F.count("*").alias("n")).filter(F.col("all") > 0))
+    own = {"doc_id": F.col("d.doc_id"), "source": F.col("d.source"), "key": _key(F.col("d.text"), *(F.col(f"d.`{c}`") for c in _others(docs)))}
+    same = [own[k].eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    each = docs.alias("d").join(plan.filter(F.col("all") >= F.col("n")).alias("p"), same).select("d.*", F.floor(F.col("p.all") / F.col("p.n")).alias("__n"))
+    rest = docs.alias("d").join(plan.filter(F.col("all") % F.col("n") > 0).alias("p"), same)
+    rest = rest.groupBy(*(F.col(f"p.{k}").alias(f"__{k}") for k in keys), (F.col("p.all") % F.col("p.n")).alias("__n")).agg(F.first(F.struct("d.*")).alias("__row"))
+    return repeated(each, "__n", "__place").select(docs.columns).unionByName(repeated(rest, "__n", "__place").select("__row.*").select(docs.columns))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix(table(spark, sf_dir, "documents"))
-    rows = plan.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    plan = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 SQL = r"""
-WITH units AS (
-  SELECT doc_id, source, size, count(*) AS n, CAST(count(*) * size AS BIGINT) AS unit,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR) || ':' || coalesce(source, '')) AS ord
-  FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents)
-  GROUP BY doc_id, source, size
+WITH plain AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), units AS (
+  SELECT doc_id, source, size, md5(coalesce('i' || CAST(doc_id AS VARCHAR), 'n') || ':' || coalesce('s' || source, 'n') || ':' || key || ':' ||
+    CAST(row_number() OVER (PARTITION BY doc_id, source, key, size) - 1 AS VARCHAR)) AS ord FROM plain
 ), sizes AS (
-  SELECT source, CAST(sum(unit) AS BIGINT) AS source_size FROM units GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM units GROUP BY source
 ), ranked AS (
   SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sizes
 ), weighed AS (
@@ -134,13 +154,13 @@ WITH units AS (
   FROM levels
 ), queue AS (
   SELECT u.*, s.source_size, s.target, copy,
-    (copy * s.source_size + sum(unit) OVER (PARTITION BY u.source, copy ORDER BY ord)) / nullif(s.target, 0) AS finish
+    (copy * s.source_size + sum(size) OVER (PARTITION BY u.source, copy ORDER BY ord)) / nullif(s.target, 0) AS finish
   FROM units u JOIN shares s ON u.source IS NOT DISTINCT FROM s.source, range(3) r(copy)
 ), sums AS (
-  SELECT *, sum(unit) OVER (ORDER BY finish, ord) AS used, (SELECT sum(unit) FROM units) AS budget FROM queue WHERE unit > 0
+  SELECT *, sum(size) OVER (ORDER BY finish, ord) AS used, (SELECT sum(size) FROM units) AS budget FROM queue WHERE size > 0
 ), firsts AS (
   SELECT ord, count(*) FILTER (used <= budget) AS copies FROM sums GROUP BY ord
 )
 SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken
-FROM (SELECT DISTINCT doc_id, ord, n, size, source_size, target FROM queue) q LEFT JOIN firsts USING (ord), range(q.n) x(i)
+FROM queue LEFT JOIN firsts USING (ord) WHERE copy = 0
 """
