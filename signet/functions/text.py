@@ -149,7 +149,7 @@ def format_amount(minor: Column) -> Column:
 def redact(text: Column, longest: int = 500) -> Column:
     """Bare runs of 11 digits are masked, and what is left is cut at ``longest`` characters."""
     t = F.regexp_replace(text, r"(?<![0-9])[0-9]{11}(?![0-9])", "[REDACTED_TCKN]")
-    return F.when(F.length(t) > longest, F.concat(F.left(t, F.lit(longest)), F.lit("…[TRUNCATED]"))).otherwise(t)
+    return F.when(F.length(t) > longest, F.concat(F.left(t, F.lit(longest)), F.lit("…[truncated]"))).otherwise(t)
 
 
 # Words that say nothing in a group's name, and the names of ranks.

@@ -12,7 +12,11 @@ _NAMED = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
 
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """What ``sql`` gives over the tables it names; no view of theirs stays in the session."""
-    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for _, name in _NAMED.findall(sql)}
+    return over(spark, sql, {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for _, name in _NAMED.findall(sql)})
+
+
+def over(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """What ``sql`` gives over the given tables; they may be streams."""
     plain = sql.replace("{", "{{").replace("}", "}}").replace(" // ", " div ")
     return spark.sql(_NAMED.sub(r"\1 {\2}", plain), **tables)
 

@@ -122,3 +122,35 @@ def distinct_in_order(rows: DataFrame, key: list[str], order: str, *columns: str
     """(key, items): the distinct values of ``columns``, each where it stood first."""
     one = rows.groupBy(*key, *columns).agg(F.min(order).alias(order))
     return one.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, *columns))), lambda x: x[columns[0]] if len(columns) == 1 else F.struct(*(x[c].alias(c) for c in columns))).alias("items"))
+
+
+#: Fixed value: what stands for a text that nobody could read.
+UNREADABLE = "UNREADABLE"
+
+
+def companies(readings: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc, company, notary, company_evidence, notary_evidence): what all readings of a document say of its company and notary.
+
+    readings(doc, ordinal, company struct, company_evidence, notary struct with ``date`` as
+    text, notary_evidence; evidence as arrays of (page, quote)); pages(doc, company_line).
+    The company's fields are those of the first reading, whatever they hold; its evidence
+    is that of all readings in their order, each (page, quote) once.  The notary and its
+    evidence come from the first reading that has one, its date if it is one.  A document
+    without readings has the line of its pages, or nothing readable, as legal name.  One
+    aggregation, with partial sums; what is gathered is one document's evidence.
+    """
+    none = readings.schema["company_evidence"].dataType
+    agg = readings.groupBy("doc").agg(
+        F.min_by("company", "ordinal").alias("company"),
+        F.array_sort(F.collect_list(F.struct("ordinal", "company_evidence"))).alias("all"),
+        F.min_by(F.struct("notary", "notary_evidence"), F.when(F.col("notary").isNotNull(), F.col("ordinal"))).alias("first"),
+    )
+    line = F.struct(*(F.when(F.lit(f.name == "legal_name"), F.coalesce("company_line", F.lit(UNREADABLE))).cast(f.dataType).alias(f.name) for f in readings.schema["company"].dataType))
+    found = agg.withColumn("read", F.lit(True)).join(pages.groupBy("doc").agg(F.min("company_line").alias("company_line")), "doc", "full")
+    notary = F.col("first.notary").withField("date", T.parse_date(F.col("first.notary.date")))
+    empty = F.array().cast(none)
+    evidence = lambda x: F.array_distinct(F.filter(F.coalesce(x, empty), lambda e: e.isNotNull()))
+    return found.select(
+        "doc", F.when(F.col("read"), F.col("company")).otherwise(line).alias("company"), F.when(F.col("first.notary").isNotNull(), notary).alias("notary"),
+        evidence(F.flatten(F.transform("all", lambda x: F.coalesce(x.company_evidence, empty)))).alias("company_evidence"), evidence(F.col("first.notary_evidence")).alias("notary_evidence"),
+    )

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_queries, extraction_queries, inputs
+from . import decision_queries, extraction_queries, inputs, store_queries
 from . import record_queries as R
 from .functions import text as T
 from .operators import authority, comparison, pages
@@ -143,7 +143,7 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (authorize_batch, authorize_gaps, compare_checks, normalize_text, redact_text, identifier_checks, parse_dates, format_amounts, page_windows, page_runs, latest_version, next_version, audit_newest, dashboard_counts, denied_by_step, orphans, *R.ALL, *extraction_queries.ALL, *decision_queries.ALL)}
+    return {f.__name__: f for f in (authorize_batch, authorize_gaps, compare_checks, normalize_text, redact_text, identifier_checks, parse_dates, format_amounts, page_windows, page_runs, latest_version, next_version, audit_newest, dashboard_counts, denied_by_step, orphans, *R.ALL, *extraction_queries.ALL, *decision_queries.ALL, *store_queries.ALL)}
 
 
 def _with(*names: str) -> str:
@@ -239,12 +239,12 @@ def _identifiers() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return R.oracle_sql(_normal) | extraction_queries.oracle_sql() | decision_queries.oracle_sql() | {
+    return R.oracle_sql(_normal) | extraction_queries.oracle_sql() | decision_queries.oracle_sql() | store_queries.oracle_sql(_STEPS) | {
         "authorize_batch": f"{_STEPS} SELECT * FROM decided",
         "authorize_gaps": _gap_steps(),
         "compare_checks": _compare(),
         "normalize_text": f"SELECT doc_id, sha256({_normal('text')}) AS normal_sha256 FROM documents",
-        "redact_text": "SELECT doc_id, CASE WHEN length(t) > 500 THEN left(t, 500) || '…[TRUNCATED]' ELSE t END AS kept FROM (SELECT doc_id, regexp_replace('id 12345678901; ' || CAST(doc_id AS STRING) || coalesce(' ' || text, ''), '(^|[^0-9])[0-9]{11}($|[^0-9])', '\\1[REDACTED_TCKN]\\2', 'g') AS t FROM documents)",
+        "redact_text": "SELECT doc_id, CASE WHEN length(t) > 500 THEN left(t, 500) || '…[truncated]' ELSE t END AS kept FROM (SELECT doc_id, regexp_replace('id 12345678901; ' || CAST(doc_id AS STRING) || coalesce(' ' || text, ''), '(^|[^0-9])[0-9]{11}($|[^0-9])', '\\1[REDACTED_TCKN]\\2', 'g') AS t FROM documents)",
         "identifier_checks": _identifiers(),
         "parse_dates": f"{_with('dates')} SELECT id, CAST(coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(trim(raw), '%d.%m.%Y'), try_strptime(trim(raw), '%d/%m/%Y'), try_strptime(raw, '%d-%m-%Y'), try_strptime(replace(raw, ' AĞUSTOS ', '-8-'), '%d-%m-%Y')) AS DATE) AS parsed FROM (SELECT id, CASE WHEN raw = '14.03.26' THEN NULL ELSE raw END AS raw FROM dates)",
         "format_amounts": f"{_with('transactions')} SELECT txn_id, replace(format('{{:,}}', amount // 100), ',', '.') || ',' || lpad(CAST(amount % 100 AS STRING), 2, '0') || ' TL' AS label FROM transactions",

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -62,3 +62,8 @@ def holds(payload: Column, path: str, equals: str | None = None, contains: dict[
 def choice(payload: Column, catalog: Sequence[tuple[str, Sequence[dict]]]) -> Column:
     """The first name of a catalog (name, conditions), of a program's own size, whose conditions all hold."""
     return F.coalesce(*(F.when(reduce(and_, (holds(payload, **c) for c in conditions), F.lit(True)), F.lit(name)) for name, conditions in catalog), F.lit(None).cast("string"))
+
+
+def stage_counts(rows: DataFrame, observation: Observation) -> DataFrame:
+    """``rows`` (status, cached, ...) as they are; what passes by is counted on the way: ``total``, ``failed`` and ``cached``."""
+    return rows.observe(observation, F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("cached")).alias("cached"))
