@@ -165,7 +165,7 @@ def _sql() -> str:
         form = f"replace({form}, {_quoted(spelling)}, {_quoted(to)})"
     lines = f"[trim(x) for x in string_split({form}, chr(10))]"
     joined = "array_to_string([x for x in lines if x <> ''], ' ')"
-    fixed = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in TEXTS + NOTICES)
+    fixed = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in [*TEXTS, *NOTICES, *((n, t) for n, t, _ in shipped())])
     return f"""
 WITH known AS (SELECT DISTINCT license, sha256({joined}) AS digest FROM (SELECT license, {lines} AS lines FROM (VALUES {fixed}) v(license, text))),
 docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

@@ -36,7 +36,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,6 +50,8 @@ BUDGET, WIDTH, NEAR = 9, 32, 78
 BANDS = 8
 SKETCH, MARKS = tuple(f"s{i}" for i in range(8)), tuple(f"m{i}" for i in range(BANDS))
 NODE_ROWS, CELL_BYTES, SEEN = 20_000, 16 << 20, 16
+#: Hashes that texts share are broadcast up to so many.
+FEW = 10_000
 #: Odd multipliers, one for each order of the shingles.
 ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, 512, np.uint64) * np.uint64(2) + np.uint64(1)
 BLOCK = 1024
@@ -259,12 +261,35 @@ def _similar(batches: Iterator[pa.RecordBatch], size: int, similarity: float) ->
     return _cells(batches, 2000, join)
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, node_rows: int = NODE_ROWS, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """(doc_id, fp, n, lead_id, lead_fp): rows of ``docs`` (doc_id, text) by id and text's hash, n of them, and their group's lead.
+def colliding(docs: DataFrame, bits: int = 64) -> DataFrame | None:
+    """``fp`` of hashes that different texts of ``docs`` share, by a second hash; None if there are none, as is usual below 10^9 texts."""
+    text = F.coalesce("text", F.lit(""))
+    seen = docs.select(_hash(text, bits).alias("fp"), F.xxhash64(F.lit(SEED), text).alias("second"))
+    both = cut(seen.groupBy("fp").agg(F.min("second").alias("low"), F.max("second").alias("high")).filter("low <> high").select("fp"))
+    n = len(both.take(FEW + 1))
+    return None if n == 0 else F.broadcast(both) if n <= FEW else both
+
+
+def _hash(text: Column, bits: int) -> Column:
+    return F.xxhash64(text) if bits == 64 else F.shiftright(F.xxhash64(text), 64 - bits)
+
+
+def fingerprinted(docs: DataFrame, shared: DataFrame | None, name: str, bits: int = 64) -> DataFrame:
+    """``docs`` with a number of its text as ``name``: a hash, or where texts share one (``shared``) one of both hashes."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumn(name, _hash(text, bits))
+    if shared is None:
+        return rows
+    both = rows.join(shared.select(F.col("fp").alias("__shared")), F.col(name) == F.col("__shared"), "left")
+    return both.withColumn(name, F.when(F.col("__shared").isNotNull(), F.xxhash64(F.col(name), F.xxhash64(F.lit(SEED), text))).otherwise(F.col(name))).drop("__shared")
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, node_rows: int = NODE_ROWS, cell_bytes: int = CELL_BYTES, shared: DataFrame | None = None, bits: int = 64) -> DataFrame:
+    """(doc_id, fp, n, lead_id, lead_fp): rows of ``docs`` (doc_id, text) by id and text's number, n of them, and their group's lead.
 
     A ``similarity`` below the default needs wider BUDGET and NEAR.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
+    texts = fingerprinted(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), shared, "fp", bits)
     ids = cut(texts.groupBy("doc_id", "fp").agg(F.count("*").alias("n")))
     least = cut(ids.groupBy("fp").agg(F.min("doc_id").alias("least")))
     kinds = ", ".join(f"{c} long" for c in ("fp", *SKETCH, *MARKS))
@@ -285,13 +310,14 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY,
     return ids.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bits: int = 64) -> DataFrame:
     """The rows of ``docs`` (with doc_id, text) that lead their group."""
-    found = cut(groups(docs, size, similarity))
+    shared = colliding(docs, bits)
+    found = cut(groups(docs, size, similarity, shared=shared, bits=bits))
     leads = F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("fp") == F.col("lead_fp"))
     some = cut(found.filter(leads & (F.col("n") > 1)).select("doc_id", "fp"))
     drop = found.filter(~leads).select("doc_id", "fp").union(some)
-    marked = docs.withColumn("__fp", F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = fingerprinted(docs, shared, "__fp", bits)
     same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.__fp") == F.col("x.fp"))
     kept = marked.alias("d").join(drop.alias("x"), same, "left_anti").select(docs.columns)
     repeated = marked.alias("d").join(some.alias("x"), same, "left_semi").dropDuplicates(["doc_id", "__fp"]).select(docs.columns)

@@ -10,6 +10,11 @@ is never read.
 Reading: one archive after the other, one member after the other, with incremental
 decompression, framing by Content-Length and verification of both digests as the
 bytes pass; nothing but a header is held whole unless the payload is asked for.
+Archives of other writers are read too: records of any type, whose payload is what
+follows an HTTP header or else the whole block; digests by MD5, SHA-1, SHA-256 or
+SHA-512, in hex or base32.  A digest that is absent or of another kind isn't checked,
+nor a payload's where HTTP sent it in chunks.  Names that aren't this writer's stand as
+they are in record_id and refers_to_id, without a page.
 
 Null html is an empty payload.  Rows that repeat a page_id and a payload are written
 alike (all as response, or all as revisit); a null page_id comes after all others.
@@ -20,6 +25,7 @@ Only page_id, url and html are read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -34,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import cut, shared_dir, table
 
 LEAST_BYTES, ARCHIVE_BYTES, LEVEL, READ = 100, 256 << 20, 6, 1 << 16
+#: Digests that are checked, with their bytes.
+KINDS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 #: Pages carry no fetch time; archives of the same pages are the same bytes.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -91,7 +99,7 @@ class _Pieces:
         while (at := self.held.find(b"\r\n\r\n")) < 0:
             if len(self.held) > 1 << 20 or not self.more():
                 raise ValueError("a header without an end")
-        found, self.held = self.held[:at].decode().split("\r\n"), self.held[at + 4 :]
+        found, self.held = self.held[:at].decode("utf-8", "replace").split("\r\n"), self.held[at + 4 :]
         return found
 
     def take(self, n: int) -> Iterator[bytes]:
@@ -112,11 +120,39 @@ class _Pieces:
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    """Fields by lower-case name; a line that begins with space goes on with the one before, and of repeated fields the first counts."""
+    found: dict[str, str] = {}
+    name = ""
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] = f"{found[name]} {line.strip()}".strip()
+            continue
+        name, _, value = line.partition(":")
+        name = name.strip().lower()
+        found.setdefault(name, value.strip())
+    return found
+
+
+def _stated(digest: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, bytes) of a labelled digest in hex or base32; None if there is none of a known kind."""
+    kind, _, text = (digest or "").partition(":")
+    kind, text = kind.strip().lower().replace("-", ""), text.strip()
+    if kind not in KINDS:
+        return None
+    if re.fullmatch(f"[0-9a-fA-F]{{{2 * KINDS[kind]}}}", text):
+        return kind, bytes.fromhex(text)
+    try:
+        return kind, base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        raise ValueError(f"a digest that can't be read: {digest}") from None
 
 
 def records(file, keep: bool = False) -> Iterator[dict]:
-    """Every record of an open archive, in order: its fields, and payload_bytes, payload_digest, payload (if ``keep``)."""
+    """Every record of an open archive, in order: its fields, and payload_bytes, payload_digest, payload (if ``keep``).
+
+    The digest is the payload's SHA-256; of a revisit, which has none, what its header says
+    (SHA-256 in hex, others with their name before; null if nothing).
+    """
     rest = file.read(READ)
     while rest:
         pieces = _Pieces(file, rest)
@@ -124,23 +160,37 @@ def records(file, keep: bool = False) -> Iterator[dict]:
         fields = _fields(lines)
         if not lines[0].startswith("WARC/") or not fields.get("content-length", "").isdigit():
             raise ValueError("not a WARC record")
-        block, payload, head, http, kept = hashlib.sha256(), hashlib.sha256(), b"", None, []
+        said = {k: _stated(fields.get(f"warc-{k}-digest")) for k in ("block", "payload")}
+        block, payload = (hashlib.new(said[k][0]) if said[k] else None for k in ("block", "payload"))
+        own = hashlib.sha256() if payload is None or payload.name != "sha256" else payload
+        http: dict[str, str] | None = None if fields.get("content-type", "").lower().startswith("application/http") else {}
+        head, size, kept = b"", 0, []
         for piece in pieces.take(int(fields["content-length"])):
-            block.update(piece)
+            if block is not None:
+                block.update(piece)
             if http is None:
                 head += piece
                 if (at := head.find(b"\r\n\r\n")) < 0:
                     continue
-                http, piece = _fields(head[:at].decode().split("\r\n")), head[at + 4 :]
-            payload.update(piece)
+                http, piece = _fields(head[:at].decode("latin-1").split("\r\n")), head[at + 4 :]
+            size += len(piece)
+            for digest in {id(d): d for d in (payload, own) if d is not None}.values():
+                digest.update(piece)
             if keep:
                 kept.append(piece)
         rest = pieces.end() or file.read(READ)
-        if http is None or "sha256:" + block.hexdigest() != fields.get("warc-block-digest"):
+        http, revisit = http or {}, fields.get("warc-type") == "revisit"
+        if block is not None and block.digest() != said["block"][1]:
             raise ValueError("a block that doesn't match its digest")
-        if fields["warc-type"] == "response" and "sha256:" + payload.hexdigest() != fields["warc-payload-digest"]:
+        if payload is not None and not revisit and http.get("transfer-encoding", "").lower() in ("", "identity") and payload.digest() != said["payload"][1]:
             raise ValueError("a payload that doesn't match its digest")
-        yield fields | {"payload_bytes": int(http["content-length"]), "payload_digest": fields["warc-payload-digest"].removeprefix("sha256:")} | ({"payload": b"".join(kept)} if keep else {})
+        if revisit:  # the payload is elsewhere; what is said of it stands
+            sent, known = http.get("content-length", ""), said["payload"]
+            size = int(sent) if sent.isdigit() else None
+            digest = None if known is None else ("" if known[0] == "sha256" else f"{known[0]}:") + known[1].hex()
+        else:
+            digest = own.hexdigest()
+        yield fields | {"payload_bytes": size, "payload_digest": digest} | ({"payload": b"".join(kept)} if keep else {})
 
 
 def planned(pages: DataFrame) -> DataFrame:
@@ -189,16 +239,16 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
 
 
 def read(archives: DataFrame, keep: bool = False) -> DataFrame:
-    """Every record of ``archives`` (archive): page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload if ``keep``."""
+    """Every record of ``archives`` (archive): page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_id, and payload if ``keep``."""
 
-    def page(name: str | None, digest: str) -> int | None:
-        """The page that a record names, which must be one of this payload: of a revisit, what it refers to too."""
+    def page(name: str | None, digest: str | None) -> int | None:
+        """The page that a record of this writer names, which must be one of this payload: of a revisit, what it refers to too."""
         found = re.fullmatch(r"<urn:page:(-?[0-9]+|none):([0-9a-f]{16})>", name or "")
-        if name is not None and (found is None or found[2] != digest[:16]):
+        if found and found[2] != (digest or "")[:16]:
             raise ValueError("a name that isn't that of its payload")
         return int(found[1]) if found and found[1] != "none" else None
 
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if keep else {})
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "record_id": pa.string(), "refers_to_id": pa.string()} | ({"payload": pa.binary()} if keep else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +261,8 @@ def read(archives: DataFrame, keep: bool = False) -> DataFrame:
                     try:
                         for x in records(file, keep):
                             digest = x["payload_digest"]
-                            rows.append((page(x["warc-record-id"], digest), x["warc-target-uri"], x["payload_bytes"], digest, x["warc-type"], page(x.get("warc-refers-to"), digest), x.get("payload")))
+                            name, first = x["warc-record-id"], x.get("warc-refers-to")
+                            rows.append((page(name, digest), x.get("warc-target-uri"), x["payload_bytes"], digest, x["warc-type"], page(first, digest), name, first, x.get("payload")))
                             n += 1
                             held += len(x.get("payload", ""))
                             if len(rows) >= 2000 or held > 32 << 20:
@@ -227,4 +278,5 @@ def read(archives: DataFrame, keep: bool = False) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(write(table(spark, sf_dir, "pages"), shared_dir(spark)))
+    found = read(write(table(spark, sf_dir, "pages"), shared_dir(spark)))
+    return found.drop("record_id", "refers_to_id")

@@ -109,3 +109,14 @@ def test_repeated_and_missing_ids_clashing_columns_and_no_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "lone words of no id at all"), (1, "a b c d e f"), (2, "other text, told apart")]
     assert S.keep_one(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """With hashes of six bits all of 300 texts share one; each stays, and so do the groups."""
+    rows = [(i, f"text number {i} of its own words w{i} v{i} u{i} t{i}", 0) for i in range(300)] + [(1000 + i, f"text number {i} of its own words w{i} v{i} u{i} t{i}", 1) for i in range(0, 300, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp long")
+    assert S.colliding(docs) is None
+    for few in (S.FEW, 3):
+        monkeypatch.setattr(S, "FEW", few)
+        assert S.colliding(docs, 6).count() > 50
+        assert sorted(r.doc_id for r in S.keep_one(docs, bits=6).collect()) == list(range(300))

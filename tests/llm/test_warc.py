@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -59,3 +60,37 @@ def test_a_revisit_of_another_payload_is_found(spark, tmp_path):
         else:
             with pytest.raises(Exception, match="record 2: a name"):
                 found.collect()
+
+
+def member(kind, block, fields, name="<urn:uuid:1>"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", "WARC-Date: 2026-01-01T00:00:00Z", f"Content-Length: {len(block)}", *fields]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    body = b"<html>text</html>"
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n" + body
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    kind = "Content-Type: application/http; msgtype=response"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    made = [
+        member("warcinfo", b"software: other\r\n", ["Content-Type: application/warc-fields"], "<urn:uuid:0>"),
+        member("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", ["Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a/"]),
+        member("response", http, [kind, "WARC-Target-URI: http://a/", f"WARC-Block-Digest: {sha1(http)}", f"WARC-Payload-Digest: {sha1(body)}"], "<urn:uuid:2>"),
+        member("response", http, [kind, "WARC-Target-URI: http://b/", "WARC-Block-Digest: SHA-256:" + hashlib.sha256(http).hexdigest().upper(), "WARC-Payload-Digest: blake9:zz"]),
+        member("response", chunked, [kind, f"WARC-Payload-Digest: {sha1(b'hello')}"]),
+        member("revisit", b"HTTP/1.0 200 OK\r\n\r\n", [kind, f"WARC-Payload-Digest: {sha1(body)}", "WARC-Refers-To:", "  <urn:uuid:2>"]),
+        member("resource", body, ["Content-Type: text/html"]),
+        member("metadata", b"", []),
+    ]
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(made))
+    got = W.read(spark.createDataFrame([(f"file://{path}",)], "archive string"), keep=True).collect()
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "response", "revisit", "resource", "metadata"]
+    assert [r.payload_bytes for r in got] == [17, 0, len(body), len(body), 15, None, len(body), 0]
+    assert [bytes(got[i].payload) for i in (2, 3, 6)] == [body] * 3
+    assert got[2].payload_digest == got[6].payload_digest == hashlib.sha256(body).hexdigest() and got[5].payload_digest == "sha1:" + hashlib.sha1(body).hexdigest()
+    assert {r.page_id for r in got} == {None} and got[2].record_id == got[5].refers_to_id == "<urn:uuid:2>" and got[0].url is None and got[1].url == "http://a/"
+    for wrong in (f"WARC-Block-Digest: {sha1(b'no')}", f"WARC-Payload-Digest: {sha1(b'no')}", "WARC-Payload-Digest: sha1:not base32!"):
+        with pytest.raises(ValueError):
+            list(W.records(io.BytesIO(member("response", http, [kind, wrong]))))
