@@ -62,10 +62,26 @@ def spelled_out(text: Column) -> Column:
     return F.when(text.rlike(f"[{''.join(WIDE)}]"), out).otherwise(text)
 
 
+#: Lower-case letters that Turkish texts have beside ASCII, and those without marks.
+USUAL, USUAL_PLAIN = "çğıöşüâîû", "cgiosuaiu"
+
+
+def _replaced(text: Column, letters: str, others: str) -> Column:
+    """Letter by letter, each a search over bytes: for a few letters faster than a look-up for every letter of the text."""
+    for letter, other in zip(letters, others, strict=True):
+        text = F.replace(text, F.lit(letter), F.lit(other))
+    return text
+
+
 def tr_normalize(text: Column) -> Column:
-    """Lower case by Turkish rules, without marks, runs of anything but ASCII letters and digits as one space."""
-    lower = F.lower(F.translate(F.replace(text, F.lit("I\u0307"), F.lit("i")), "Iİ", "ıi"))
-    plain = F.translate(F.regexp_replace(spelled_out(lower), r"\p{M}+", ""), FROM, TO)
+    """Lower case by Turkish rules, without marks, runs of anything but ASCII letters and digits as one space.
+
+    Texts of ASCII and the usual letters, nearly all, never meet the map of all folds.
+    """
+    lower = F.lower(_replaced(F.replace(text, F.lit("I\u0307"), F.lit("i")), "Iİ", "ıi"))
+    usual = _replaced(lower, USUAL, USUAL_PLAIN)
+    folded = F.translate(F.regexp_replace(spelled_out(lower), r"\p{M}+", ""), FROM, TO)
+    plain = F.when(usual.rlike(r"[^\x00-\x7F]"), folded).otherwise(usual)
     return F.trim(F.regexp_replace(plain, "[^0-9a-z]+", " "))
 
 

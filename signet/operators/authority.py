@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import cut
 
 # Verdicts of a report that a person may approve, and the one that takes a reason.
 APPROVABLE, WITH_REASON = ["READY", "CO_SIGNER_REQUIRED"], "CO_SIGNER_REQUIRED"
@@ -105,6 +106,23 @@ def approve(applications: DataFrame, persons: DataFrame, review: DataFrame, vers
     return rows.withColumn("refused", refused).select("application", "refused", version.alias("version"))
 
 
+def with_codes(rows: DataFrame, key: str, tries: int = 20) -> DataFrame:
+    """``rows`` with ``code``: each row's authorisation code by its unique ``key``, drawn again where an earlier key has the same.
+
+    Codes rest on keys alone, so reruns agree.  Each try ranks the rows of a code, by a
+    shuffle on it; usually the first finds nothing to draw again.
+    """
+    rows = rows.withColumn("code", T.authorization_code(F.col(key).cast("string")))
+    for salt in range(1, tries + 1):
+        own = W.partitionBy("code").orderBy(key)
+        rows = cut(rows.withColumn("__again", F.row_number().over(own) > 1))
+        if rows.filter("__again").isEmpty():
+            return rows.drop("__again")
+        drawn = T.authorization_code(F.col(key).cast("string"), F.lit(str(salt)))
+        rows = rows.withColumn("code", F.when(F.col("__again"), drawn).otherwise(F.col("code"))).drop("__again")
+    raise RuntimeError("codes still collide")
+
+
 def latest(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """The first row of each key; Spark limits each group before the shuffle."""
     return df.withColumn("__place", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("__place = 1").drop("__place")

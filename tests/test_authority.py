@@ -4,6 +4,7 @@ import datetime
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from signet.functions import text as T
 from signet.operators import authority as A
@@ -76,3 +77,15 @@ def test_instants_are_utc_in_any_session(spark):
             assert at.select(T.instant(at.at)).first()[0] == "2026-01-01T00:00:00Z"
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_codes_are_drawn_again_where_they_collide(spark, monkeypatch):
+    plain = {r.id: r.code for r in A.with_codes(spark.range(200), "id").collect()}
+    assert plain == {r.id: r.code for r in spark.range(200).select("id", T.authorization_code(F.col("id").cast("string")).alias("code")).collect()}
+    monkeypatch.setattr(T, "CODE_LETTERS", "AB" * 16)  # 256 codes only
+    first = {r.id: r.code for r in spark.range(120).select("id", T.authorization_code(F.col("id").cast("string")).alias("code")).collect()}
+    got = {r.id: r.code for r in A.with_codes(spark.range(120).repartition(5), "id").collect()}
+    assert len(set(first.values())) < 120 == len(set(got.values()))
+    assert got == {r.id: r.code for r in A.with_codes(spark.range(120), "id").collect()}
+    with pytest.raises(RuntimeError):
+        A.with_codes(spark.range(300), "id", tries=3)
