@@ -31,7 +31,7 @@ def evaluate(transactions: DataFrame, authorities: DataFrame, persons: DataFrame
 
     What isn't known never helps: a person without a mode may not act alone, a null signer
     is nobody, a company, person or authority without a status isn't active, and a
-    transaction without an amount or a day is denied as not proved.  Null limits and dates
+    transaction without an amount, or without a day where validity ends, is not proved.  Null limits and dates
     of validity are open, and a rule blocks only where ``blocked`` is true.
     """
     active = listed(reps)
@@ -49,7 +49,7 @@ def evaluate(transactions: DataFrame, authorities: DataFrame, persons: DataFrame
     signer = surely(F.array_contains(F.col("rule.signers"), F.col("me.source_id")))
     one = surely(F.size("others") == 1)
     mode = F.col("rule.mode")
-    proved = F.col("amount").isNotNull() & F.col("day").isNotNull() & surely(((mode == "SOLE") & sole) | ((mode == "JOINT") & signer & one))
+    proved = F.col("amount").isNotNull() & (F.col("valid_until").isNull() | F.col("day").isNotNull()) & surely(((mode == "SOLE") & sole) | ((mode == "JOINT") & signer & one))
     step = (
         F.when(F.col("status").isNull(), "no_authority").when(F.col("status") != "ACTIVE", "authority_not_active").when(F.col("valid_until") < F.col("day"), "authority_expired")
         .when(F.coalesce(F.size("own"), F.lit(0)) != 1, "initiator_unknown").when(F.coalesce(F.col("live"), F.lit("")) != "ACTIVE", "company_not_active").when(~surely(F.col("me.sure")), "initiator_not_active")

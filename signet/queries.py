@@ -200,7 +200,7 @@ def _gap_steps() -> str:
     WHEN EXISTS (SELECT 1 FROM rules r WHERE r.company = t.company AND r.scope = lower(t.subject) AND r.blocked IS TRUE) THEN 'scope_blocked' WHEN f.txn_id IS NULL THEN 'no_rule'
     WHEN f.mode = 'SOLE' AND (m.mode IS NULL OR m.mode <> 'SOLE' OR m.most IS NOT NULL AND (t.amount IS NULL OR t.amount > m.most)) THEN 'over_limit'
     WHEN f.mode = 'JOINT' AND (m.source_id IS NULL OR len(list_filter(f.signers, lambda x: x IS NOT NULL AND x = m.source_id)) = 0) THEN 'not_a_signer'
-    WHEN f.mode = 'JOINT' AND (s.n IS NULL OR s.n <> 1) THEN 'no_cosigner' WHEN f.mode IS NULL THEN 'unknown_mode' WHEN t.amount IS NULL OR t.day IS NULL THEN 'not_proved' END AS failed_step
+    WHEN f.mode = 'JOINT' AND (s.n IS NULL OR s.n <> 1) THEN 'no_cosigner' WHEN f.mode IS NULL THEN 'unknown_mode' WHEN t.amount IS NULL OR a.valid_until IS NOT NULL AND t.day IS NULL THEN 'not_proved' END AS failed_step
   FROM transactions t LEFT JOIN mine m ON m.txn_id = t.txn_id LEFT JOIN authorities a ON a.company = t.company LEFT JOIN companies c ON c.company = t.company
   LEFT JOIN live l ON l.company = t.company AND l.person = t.initiator LEFT JOIN fit f ON f.txn_id = t.txn_id LEFT JOIN seconds s ON s.txn_id = t.txn_id
 ) SELECT txn_id, CASE WHEN failed_step IS NOT NULL THEN 'DENIED' WHEN mode = 'SOLE' THEN 'ALLOWED' ELSE 'PENDING_COSIGN' END AS verdict, failed_step, CASE WHEN failed_step IS NULL AND mode = 'JOINT' THEN person END AS cosigner FROM steps"""
