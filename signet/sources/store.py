@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
@@ -59,7 +60,7 @@ class _Place:
     """The store's folder on whatever file system its path names."""
 
     def __init__(self, path: str):
-        self.fs, self.root = pafs.FileSystem.from_uri(path)
+        self.fs, self.root = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
     def write(self, name: str, data: bytes) -> None:
         self.fs.create_dir(f"{self.root}/{name.rpartition('/')[0]}", recursive=True)
