@@ -52,16 +52,8 @@ def page_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapped, docs, companies, appointments, signatories, rules, parties, results = _input(spark, sf_dir, "pages", "docs", "companies", "appointments", "signatories", "rules", "parties", "results")
-    people = projection.party_people(parties, signatories).select("doc", "rule", "item").distinct().withColumn("known", F.lit(True))
-    slot = F.when(F.col("item") == 0, "who").otherwise(F.format_string("joint_with[%d]", F.col("item") - 1))
-    found = F.when(F.col("known"), "PERSON").otherwise("UNRESOLVED")
-    resolved = parties.join(people, ["doc", "rule", "item"], "left").join(rules.select("doc", "rule", "page"), ["doc", "rule"]).select("doc", "rule", slot.alias("slot"), found.alias("found"), "page")
-    names = signatories.select("doc", "sig", "page", F.posexplode("joint_names").alias("item", "name"))
-    return validation.ordered(
-        validation.identifiers(companies, appointments), validation.unresolved(resolved, names, signatories), validation.validity(signatories),
-        validation.completeness(mapped, rules, results), validation.structure(docs, mapped, rules, signatories), validation.incidents(mapped, rules, results),
-    )
+    named = {"documents": "docs"} | {n: n for n in validation.INPUTS if n != "documents"}
+    return validation.ordered(validation.flags(**{n: inputs.rows(spark, sf_dir, INPUTS[name]) for n, name in named.items()}))
 
 
 def provenance_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

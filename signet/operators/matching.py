@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,6 +38,24 @@ def ratio(a: Column, b: Column) -> Column:
     return _ratios(a, b)
 
 
+def any_ratio(threshold: float) -> Callable[[Column, Column], Column]:
+    """Whether any pair of two lists of texts, place by place, has a ratio of ``threshold`` or more; empty lists have none."""
+
+    @F.pandas_udf("boolean")
+    def found(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([any(indel_ratio(x, y) >= threshold for x, y in zip(xs, ys, strict=True)) for xs, ys in zip(a, b, strict=True)], dtype="bool")
+
+    return found
+
+
+def possible(a: Column, b: Column, threshold: float) -> Column:
+    """Whether lengths and counts of letters leave room for a ratio of ``threshold``."""
+    m, n = F.length(a), F.length(b)
+    letters = [F.least(*(F.length(side) - F.length(F.translate(side, c, "")) for side in (a, b))) for c in LETTERS]
+    rest = F.least(*(F.length(F.translate(side, LETTERS, "")) for side in (a, b)))
+    return (200 * F.least(m, n) >= threshold * (m + n)) & (200 * (sum(letters, start=rest)) >= threshold * (m + n))
+
+
 def within(left: DataFrame, right: DataFrame, block: list[str], threshold: float = 90.0, distinct: bool = False) -> DataFrame:
     """(block, left_id, right_id, score) of pairs in one block with a ratio of ``threshold`` or more.
 
@@ -45,13 +65,10 @@ def within(left: DataFrame, right: DataFrame, block: list[str], threshold: float
     subsequence takes a letter at most as often as both texts have it.  With ``distinct``
     equal texts are no pair.
     """
-    m, n = F.length("left_text"), F.length("right_text")
-    pairs = left.join(right, block).filter(200 * F.least(m, n) >= threshold * (m + n))
+    pairs = left.join(right, block)
     if distinct:
         pairs = pairs.filter("left_text != right_text and left_text != '' and right_text != ''")
-    letters = [F.least(*(F.length(side) - F.length(F.translate(side, c, "")) for side in ("left_text", "right_text"))) for c in LETTERS]
-    rest = F.least(*(F.length(F.translate(side, LETTERS, "")) for side in ("left_text", "right_text")))
-    pairs = pairs.filter(200 * (sum(letters, start=rest)) >= threshold * (m + n))
+    pairs = pairs.filter(possible(F.col("left_text"), F.col("right_text"), threshold))
     return pairs.withColumn("score", ratio(F.col("left_text"), F.col("right_text"))).filter(F.col("score") >= threshold).select(*block, "left_id", "right_id", "score")
 
 

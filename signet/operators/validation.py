@@ -1,8 +1,10 @@
 """Flags on what was read from documents: families of checks with one schema, their dedupe, order and summary.
 
-Every family is a DataFrame of (doc, severity, check_name, field_path, anomaly_code,
-evidence_page); null or odd values give no flag or the one for it, never an error, so one
-family can't take another down.
+Flags are rows of (doc, severity, check_name, field_path, anomaly_code, evidence_page);
+null or odd values give no flag or the one for it, never an error, so one family can't
+take another down.  What a single row shows is found in that row; what a document's rows
+show together is found once they stand in one row, so all families need one shuffle of
+slim facts by document, and each input is read once.
 """
 
 from __future__ import annotations
@@ -26,51 +28,111 @@ CHECKS = [
 LIMITED = ["sinirli yetkili", "ic yonergede"]
 COLUMNS = ["doc", "severity", "check_name", "field_path", "anomaly_code", "evidence_page"]
 
+_FLAG = "struct<severity:string,check_name:string,field_path:string,anomaly_code:string,evidence_page:int>"
+#: What a row of any input tells of its document.
+_FACTS = {
+    "own": f"array<{_FLAG}>", "listed": "boolean", "appoints": "boolean", "notarised": "boolean", "ruled": "int", "binding": "boolean", "clause": "struct<rule:bigint,page:int>",
+    "party": "struct<rule:bigint,item:bigint,ref:string,code:string>", "empty": "struct<chunk:bigint,pages:array<int>>", "signs": "boolean", "ref": "string", "code": "string",
+    "plain": "string", "appointed": "boolean", "asked": "array<struct<path:string,plain:string,code:string,page:int>>", "limited": "struct<sig:bigint,page:int>",
+}
 
-def _flags(rows: DataFrame, severity: Column | str, check: str, path: Column, code: Column | str, page: Column | None = None) -> DataFrame:
+
+def _flag(severity: Column | str, check: str, path: Column | str, code: Column | str, page: Column | None = None) -> Column:
     value = lambda x: F.lit(x) if isinstance(x, str) else x
     page = F.lit(None) if page is None else page
-    return rows.select("doc", value(severity).alias("severity"), F.lit(check).alias("check_name"), path.alias("field_path"), value(code).alias("anomaly_code"), page.cast("int").alias("evidence_page"))
+    return F.struct(value(severity).alias("severity"), F.lit(check).alias("check_name"), value(path).alias("field_path"), value(code).alias("anomaly_code"), page.cast("int").alias("evidence_page"))
+
+
+def _flags(rows: DataFrame, *flag: Column | str) -> DataFrame:
+    return rows.select("doc", _flag(*flag).alias("flag")).select("doc", "flag.*")
+
+
+def _path(form: str, *columns: str | Column) -> Column:
+    return F.format_string(form, *columns)
+
+
+def _where(*found: tuple[Column, Column]) -> Column:
+    """The flags whose condition is true."""
+    return F.array_compact(F.array(*(F.when(keep, flag) for keep, flag in found)))
 
 
-def _path(form: str, *columns: str) -> Column:
-    return F.format_string(form, *map(F.col, columns)) if columns else F.lit(form)
+def _told(rows: DataFrame, **facts: Column) -> DataFrame:
+    return rows.select("doc", *(facts.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _FACTS.items()))
 
 
-def identifiers(companies: DataFrame, appointments: DataFrame) -> DataFrame:
-    """Checksums of companies (doc, vkn, page) and of appointed people (doc, chunk, item, id_no, page)."""
-    bad = companies.filter((F.col("vkn") != "") & ~T.valid_vkn(F.col("vkn")))
+def of_companies(companies: DataFrame) -> DataFrame:
+    """Checksums of companies (doc, vkn, page)."""
+    bad = (F.col("vkn") != "") & ~T.valid_vkn(F.col("vkn"))
+    return _told(companies, own=_where((bad, _flag("serious", "id_checksum", "company.vkn", "INVALID_VKN", F.col("page")))))
+
+
+def of_appointments(appointments: DataFrame) -> DataFrame:
+    """Numbers of appointed people (doc, chunk, item, id_no, page)."""
     mask, raw = T.masked_id(F.col("id_no")), F.col("id_no")
     code = (
         F.when(mask.isNotNull(), F.when(F.trim(raw) != mask, "MASK_NORMALIZED")).when(T.tr_normalize(raw) == "unreadable", "IDENTITY_UNREADABLE")
         .when(~raw.rlike("^[0-9]{11}$"), "IDENTITY_TYPE_UNKNOWN").when(~T.valid_tckn(raw), "INVALID_TCKN")
     )
-    people = appointments.filter("id_no != ''").withColumn("code", code).filter("code is not null")
-    severity = F.when(F.col("code") == "INVALID_TCKN", "serious").otherwise("warn")
-    found = _flags(people, severity, "id_checksum", _path("raw_chunks[%d].output.appointments[%d].id_no_masked", "chunk", "item"), F.col("code"), F.col("page"))
-    return _flags(bad, "serious", "id_checksum", F.lit("company.vkn"), "INVALID_VKN", F.col("page")).union(found)
+    rows = appointments.withColumn("found", F.when(raw != "", code))
+    severity = F.when(F.col("found") == "INVALID_TCKN", "serious").otherwise("warn")
+    path = _path("raw_chunks[%d].output.appointments[%d].id_no_masked", "chunk", "item")
+    return _told(rows, own=_where((F.col("found").isNotNull(), _flag(severity, "id_checksum", path, F.col("found"), F.col("page")))))
 
 
-def unresolved(parties: DataFrame, joint_names: DataFrame, signatories: DataFrame) -> DataFrame:
-    """Parties (doc, rule, slot, found, page) that nothing resolves, and joint names (doc, sig, item, name, page) that neither people nor groups of ``signatories`` (doc, name, group_name) have."""
-    rules = _flags(parties.filter("found = 'UNRESOLVED'"), "warn", "unresolved_reference", _path("rules[%d].%s", "rule", "slot"), "UNRESOLVED_REFERENCE", F.col("page"))
-    people = signatories.select("doc", T.tr_normalize(F.col("name")).alias("plain")).filter("plain != ''").distinct()
-    groups = signatories.select("doc", T.group_code(F.col("group_name")).alias("code")).filter("code != ''").distinct()
-    asked = joint_names.withColumns({"plain": T.tr_normalize(F.col("name")), "code": T.group_code(F.col("name"))})
-    left = asked.join(people, ["doc", "plain"], "left_anti").join(groups, ["doc", "code"], "left_anti")
-    return rules.union(_flags(left, "warn", "unresolved_reference", _path("signatories[%d].joint_with_names[%d]", "sig", "item"), "UNRESOLVED_REFERENCE", F.col("page")))
+def of_signatories(signatories: DataFrame) -> DataFrame:
+    """Ends of rights against the dates of their evidence, specimens and appointments; names, groups and joint names for the whole.
 
-
-def validity(signatories: DataFrame) -> DataFrame:
-    """Ends of rights (doc, sig, valid_until, quote, page) against the dates that their evidence has."""
-    dates, until = T.dates_in(F.col("quote")), F.col("valid_until")
-    code = (
+    ``signatories`` has (doc, sig, name, group_name, form, joint_names, valid_until, quote,
+    page, specimen_page): page is that of the appointment, null without one.
+    """
+    rows = signatories.withColumns({"dates": T.dates_in(F.col("quote")), "words": T.tr_normalize(F.col("quote"))})
+    dates, until, page = F.col("dates"), F.col("valid_until"), F.col("page")
+    late = (
         F.when(until.isNull() & (F.size(dates) > 0), "VALIDITY_DATE_DROPPED").when(until.isNull() & ~T.says_indefinite(F.col("quote")), "VALIDITY_MISSING")
-        .when(until.isNotNull() & (F.size(dates) > 0) & T.tr_normalize(F.col("quote")).contains("tarihine kadar") & ~F.array_contains(dates, until), "VALIDITY_CONFLICT")
+        .when(until.isNotNull() & (F.size(dates) > 0) & F.col("words").contains("tarihine kadar") & ~F.array_contains(dates, until), "VALIDITY_CONFLICT")
+    )
+    rows = rows.withColumn("late", late)
+    severity = F.when(F.col("late") == "VALIDITY_MISSING", "warn").otherwise("serious")
+    appointed, signed = page.isNotNull(), F.col("specimen_page").isNotNull()
+    own = _where(
+        (F.col("late").isNotNull(), _flag(severity, "validity_missing_or_conflict", _path("signatories[%d].valid_until", "sig"), F.col("late"), page)),
+        (appointed & ~signed, _flag("info", "structure_sanity", _path("signatories[%d].specimen_bboxes", "sig"), "APPOINTMENT_WITHOUT_SPECIMEN", page)),
+        (~appointed & signed, _flag("warn", "structure_sanity", _path("signatories[%d].evidence", "sig"), "SPECIMEN_WITHOUT_APPOINTMENT", F.col("specimen_page"))),
+    )
+    asked = lambda name, i: F.struct(_path("signatories[%d].joint_with_names[%d]", F.col("sig"), i), T.tr_normalize(name), T.group_code(name), page)
+    limited = F.when(T.tr_normalize(F.col("form")).rlike("|".join(LIMITED)), F.struct("sig", "page"))
+    return _told(
+        rows, own=own, signs=F.lit(True), ref=_path("sig-%d", F.col("sig") + 1), code=T.group_code(F.col("group_name")), plain=T.tr_normalize(F.col("name")),
+        appointed=appointed, asked=F.transform("joint_names", asked), limited=limited,
     )
-    rows = signatories.withColumn("code", code).filter("code is not null")
-    severity = F.when(F.col("code") == "VALIDITY_MISSING", "warn").otherwise("serious")
-    return _flags(rows, severity, "validity_missing_or_conflict", _path("signatories[%d].valid_until", "sig"), F.col("code"), F.col("page"))
+
+
+def of_pages(pages: DataFrame) -> DataFrame:
+    """Sections of pages (doc, page, labels) and pages that nobody knows."""
+    has = lambda label: F.array_contains("labels", label)
+    unknown = _flag("serious", "other_unknown", _path("page_map.pages[%d]", F.col("page") - 1), "OTHER_UNKNOWN_PAGE", F.col("page"))
+    return _told(pages, own=_where((has("other_unknown"), unknown)), appoints=has("appointments"), notarised=has("notary_block"), ruled=F.when(has("rules"), F.col("page")))
+
+
+def of_rules(rules: DataFrame) -> DataFrame:
+    """Rules (doc, rule, source, partial, page) that are cut off or stand in an annex only."""
+    path, page = _path("rules[%d]", "rule"), F.col("page")
+    own = _where((F.col("partial"), _flag("warn", "partial_clause", path, "PARTIAL_CLAUSE", page)), (F.col("source") == "annex", _flag("warn", "annex_only_rule", path, "ANNEX_ONLY_RULE", page)))
+    return _told(rules, own=own, binding=F.col("source").isin("circular", "directive"), clause=F.struct("rule", "page"))
+
+
+def of_parties(parties: DataFrame) -> DataFrame:
+    """Parties (doc, rule, item, type, ref) of rules: who is item 0, the others follow; a person's ref is a signatory's id (sig-n), a group's its name."""
+    ref = F.col("ref")
+    return _told(parties, party=F.struct("rule", "item", F.when(F.col("type") == "person", ref), F.when(F.col("type") == "group", T.group_code(ref))))
+
+
+def of_results(results: DataFrame) -> DataFrame:
+    """Readings (doc, chunk, chunk_id, agent, role, status, n_rules, valid) that failed or gave no rule."""
+    chunk = _path("raw_chunks[%d]", "chunk")
+    own = _where((~F.col("valid"), _flag("serious", "chunk_failed", chunk, "RAW_CHUNK_INVALID")), (F.col("valid") & (F.col("status") == "failed"), _flag("serious", "chunk_failed", chunk, "CHUNK_FAILED")))
+    none = (F.col("status") == "success") & (F.col("agent") == "rules") & (F.col("role") == "primary") & (F.col("n_rules") == 0)
+    return _told(results, own=own, empty=F.when(none, F.struct("chunk", T.chunk_pages(F.col("chunk_id")))))
 
 
 def pairs(raw_rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,54 +164,61 @@ def disagreements(raw_rules: DataFrame, threshold: float = 90.0) -> DataFrame:
     return found.union(_flags(rows.filter("seen is null"), "warn", "quote_cross_check", _path("raw_chunks[%d].output.rules[%d].evidence.quote", "chunk", "item"), "QUOTE_NOT_CORROBORATED", F.col("page")))
 
 
-def completeness(pages: DataFrame, rules: DataFrame, results: DataFrame) -> DataFrame:
-    """Documents whose rule pages (doc, page, labels) gave no rule (doc, source), and readings (doc, chunk, chunk_id, agent, role, status, n_rules) of such pages without one."""
-    ruled = pages.filter(F.array_contains("labels", "rules")).groupBy("doc").agg(F.array_sort(F.collect_set("page")).alias("ruled"))
-    none = ruled.join(rules.filter("source in ('circular', 'directive')").select("doc").distinct(), "doc", "left_anti")
-    empty = results.filter("status = 'success' and agent = 'rules' and role = 'primary' and n_rules = 0").join(ruled, "doc")
-    empty = empty.withColumn("met", F.array_intersect("ruled", T.chunk_pages(F.col("chunk_id")))).filter(F.size("met") > 0)
-    found = _flags(none, "serious", "rule_completeness", F.lit("rules"), "RULES_SECTION_EMPTY", F.array_min("ruled"))
-    return found.union(_flags(empty, "serious", "rule_completeness", _path("raw_chunks[%d].output.rules", "chunk"), "RULE_CHUNK_EMPTY", F.array_min("met")))
+#: Inputs of ``flags`` and what their rows tell.
+INPUTS = {
+    "documents": lambda rows: _told(rows, listed=F.lit(True)), "pages": of_pages, "rules": of_rules, "parties": of_parties, "results": of_results,
+    "signatories": of_signatories, "companies": of_companies, "appointments": of_appointments,
+}
+
+
+def _gathered(told: DataFrame) -> DataFrame:
+    """One row for each document; lists go through the shuffle as one, for every list of its own costs a buffer a row."""
+    lists = ["own", "ruled", "clause", "party", "empty", "ref", "code", "plain", "appointed", "asked"]
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    rows = told.groupBy("doc").agg(
+        F.collect_list(F.struct(*lists)).alias("all"), *map(some, ("listed", "appoints", "notarised", "binding", "signs")),
+        F.count("limited").alias("n_limited"), F.min_by("limited.page", "limited.sig").alias("limited_page"),
+    )
+    each = lambda c: F.array_compact(F.col(f"all.{c}"))
+    names = lambda keep: F.array_distinct(F.transform(F.filter("all", lambda x: (x["plain"] != "") & keep(x["appointed"])), lambda x: x["plain"]))
+    return rows.select(
+        "doc", "listed", "appoints", "notarised", "binding", "signs", "n_limited", "limited_page", F.flatten(each("own")).alias("own"), F.array_sort(F.array_distinct(each("ruled"))).alias("ruled"),
+        each("clause").alias("clauses"), each("party").alias("parties"), each("empty").alias("empties"), each("ref").alias("refs"), F.array_remove(each("code"), "").alias("codes"),
+        F.array_remove(each("plain"), "").alias("people"), F.flatten(each("asked")).alias("asked"), names(lambda x: x).alias("heads"), names(lambda x: ~x).alias("others"),
+    )
 
 
-def structure(documents: DataFrame, pages: DataFrame, rules: DataFrame, signatories: DataFrame, threshold: float = 90.0) -> DataFrame:
-    """What a document (doc) should have: sections, a roster, rules for limited rights, specimens for appointments.
+def flags(threshold: float = 90.0, **given: DataFrame) -> DataFrame:
+    """All flags of the ``given`` inputs, by name as in ``INPUTS``; an input that isn't given has no rows.
 
-    ``signatories`` has (doc, sig, name, form, page, specimen_page): page is that of the
-    appointment, null without one.
+    What a document should have (sections, a roster) is asked of ``documents`` only; all
+    else of whatever has rows.  Rows without a doc stand together as one document.  What
+    stands in one row is what one document holds.
     """
-    labels = pages.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"))
-    seen = documents.select("doc").join(labels, "doc", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
-    lacks = lambda label, severity, code: _flags(seen.filter(~F.array_contains("labels", label)), severity, "structure_sanity", F.lit("page_map.pages"), code)
-    bare = documents.select("doc").join(signatories.select("doc").distinct(), "doc", "left_anti")
-    binding = rules.filter("source in ('circular', 'directive')").select("doc").distinct()
-    limited = signatories.filter(T.tr_normalize(F.col("form")).rlike("|".join(LIMITED))).groupBy("doc").agg(F.min_by("page", "sig").alias("page")).join(binding, "doc", "left_anti")
-    appointed, signed = F.col("page").isNotNull(), F.col("specimen_page").isNotNull()
-    near = matching.within(
-        signatories.filter(appointed).select("doc", F.col("sig").alias("left_id"), T.tr_normalize(F.col("name")).alias("left_text")),
-        signatories.filter(~appointed).select("doc", F.col("sig").alias("right_id"), T.tr_normalize(F.col("name")).alias("right_text")), ["doc"], threshold, distinct=True,
+    rows = _gathered(reduce(DataFrame.union, (INPUTS[name](rows) for name, rows in given.items())))
+    met = lambda items, x: F.coalesce(F.array_contains(items, x), F.lit(False))
+    slot = lambda p: F.when(p["item"] == 0, "who").otherwise(_path("joint_with[%d]", p["item"] - 1))
+    lost = F.filter("parties", lambda p: ~met("refs", p["ref"]) & ~met("codes", p["code"]))
+    of_party = lambda p: F.transform(F.filter("clauses", lambda r: r["rule"] == p["rule"]), lambda r: _flag("warn", "unresolved_reference", _path("rules[%d].%s", p["rule"], slot(p)), "UNRESOLVED_REFERENCE", r["page"]))
+    nobody = F.filter("asked", lambda a: ~met("people", a["plain"]) & ~met("codes", a["code"]))
+    seen = F.filter(F.transform("empties", lambda e: F.struct(e["chunk"].alias("chunk"), F.array_intersect("ruled", e["pages"]).alias("met"))), lambda e: F.size(e["met"]) > 0)
+    near = lambda a: F.filter("others", lambda b: (a != b) & matching.possible(a, b, threshold))
+    rows = rows.withColumn("near", F.flatten(F.transform("heads", lambda a: F.transform(near(a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    alike = matching.any_ratio(threshold)(F.col("near.a"), F.col("near.b"))
+    structure = "structure_sanity"
+    together = _where(
+        ((F.size("ruled") > 0) & ~F.col("binding"), _flag("serious", "rule_completeness", "rules", "RULES_SECTION_EMPTY", F.array_min("ruled"))),
+        (F.col("listed") & ~F.col("appoints"), _flag("serious", structure, "page_map.pages", "APPOINTMENTS_SECTION_MISSING")),
+        (F.col("listed") & ~F.col("notarised"), _flag("warn", structure, "page_map.pages", "NOTARY_BLOCK_MISSING")),
+        (F.col("listed") & ~F.col("signs"), _flag("serious", structure, "signatories", "SIGNATORY_ROSTER_EMPTY")),
+        ((F.col("n_limited") > 0) & ~F.col("binding"), _flag("serious", structure, "rules", "AUTHORITY_RULES_INCOMPLETE", F.col("limited_page"))),
+        (F.col("alike"), _flag("info", structure, "signatories", "POSSIBLE_ROSTER_MATCH")),
+    )
+    every = F.concat(
+        "own", F.flatten(F.transform(lost, of_party)), F.transform(nobody, lambda a: _flag("warn", "unresolved_reference", a["path"], "UNRESOLVED_REFERENCE", a["page"])),
+        F.transform(seen, lambda e: _flag("serious", "rule_completeness", _path("raw_chunks[%d].output.rules", e["chunk"]), "RULE_CHUNK_EMPTY", F.array_min(e["met"]))), together,
     )
-    return reduce(DataFrame.union, (
-        lacks("appointments", "serious", "APPOINTMENTS_SECTION_MISSING"), lacks("notary_block", "warn", "NOTARY_BLOCK_MISSING"),
-        _flags(bare, "serious", "structure_sanity", F.lit("signatories"), "SIGNATORY_ROSTER_EMPTY"),
-        _flags(limited, "serious", "structure_sanity", F.lit("rules"), "AUTHORITY_RULES_INCOMPLETE", F.col("page")),
-        _flags(signatories.filter(appointed & ~signed), "info", "structure_sanity", _path("signatories[%d].specimen_bboxes", "sig"), "APPOINTMENT_WITHOUT_SPECIMEN", F.col("page")),
-        _flags(signatories.filter(~appointed & signed), "warn", "structure_sanity", _path("signatories[%d].evidence", "sig"), "SPECIMEN_WITHOUT_APPOINTMENT", F.col("specimen_page")),
-        _flags(near, "info", "structure_sanity", F.lit("signatories"), "POSSIBLE_ROSTER_MATCH"),
-    ))
-
-
-def incidents(pages: DataFrame, rules: DataFrame, results: DataFrame) -> DataFrame:
-    """What went wrong: readings (doc, chunk, status, valid), rules (doc, rule, partial, source, page), unknown pages."""
-    chunk = _path("raw_chunks[%d]", "chunk")
-    unknown = pages.filter(F.array_contains("labels", "other_unknown")).withColumn("place", F.col("page") - 1)
-    return reduce(DataFrame.union, (
-        _flags(results.filter("not valid"), "serious", "chunk_failed", chunk, "RAW_CHUNK_INVALID"),
-        _flags(results.filter("valid and status = 'failed'"), "serious", "chunk_failed", chunk, "CHUNK_FAILED"),
-        _flags(rules.filter("partial"), "warn", "partial_clause", _path("rules[%d]", "rule"), "PARTIAL_CLAUSE", F.col("page")),
-        _flags(rules.filter("source = 'annex'"), "warn", "annex_only_rule", _path("rules[%d]", "rule"), "ANNEX_ONLY_RULE", F.col("page")),
-        _flags(unknown, "serious", "other_unknown", _path("page_map.pages[%d]", "place"), "OTHER_UNKNOWN_PAGE", F.col("page")),
-    ))
+    return rows.withColumn("alike", alike).select("doc", F.explode(every).alias("flag")).select("doc", "flag.*")
 
 
 def ordered(flags: DataFrame, *more: DataFrame) -> DataFrame:

@@ -154,7 +154,8 @@ def test_flags_of_nothing_and_order(spark):
     none = spark.createDataFrame([], "doc int, page int, labels array<string>")
     rules = spark.createDataFrame([], "doc int, rule int, source string, partial boolean, page int")
     readings = spark.createDataFrame([(1, 10, "rules_p1", "rules", "primary", "failed", 0, True), (1, 2, "rules_p1", "rules", "primary", "failed", 0, True)], "doc int, chunk int, chunk_id string, agent string, role string, status string, n_rules int, valid boolean")
-    found = validation.ordered(validation.incidents(none, rules, readings), validation.incidents(none, rules, readings))
+    told = validation.flags(pages=none, rules=rules, results=readings)
+    found = validation.ordered(told, told)
     assert [(r.field_path, r.place) for r in found.orderBy("place").collect()] == [("raw_chunks[10]", 1), ("raw_chunks[2]", 2)]
     assert validation.outcome(found.limit(0)).count() == 0
 
@@ -173,3 +174,26 @@ def test_stream_of_requests(spark, tmp_path):
     want = {i: "ALLOWED" if i <= 3 else "DENIED" for i in range(6)}
     assert {r.txn_id: r.verdict for r in found.collect()} == want
     assert {r.txn_id: r.verdict for r in authority.evaluate(spark.read.parquet(place), *given).collect()} == want
+
+
+def test_flags_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1,), (2,), (None,)], "doc int")
+    people = spark.createDataFrame(
+        [(1, 0, "Ayşe Kaya Demirtaş", None, None, None, None, None, 2, None), (1, 1, "ayse kaya demirtas", "A Grubu", "Sınırlı Yetkili", ["b", None, ""], None, "süresiz", None, 3),
+         (1, 2, "Ayşe Kaya Demirtaşı", None, None, [], None, "süresiz", None, None), (3, 0, None, "", None, ["a grubu"], None, "süresiz", 1, 1)],
+        "doc int, sig int, name string, group_name string, form string, joint_names array<string>, valid_until date, quote string, page int, specimen_page int",
+    )
+    parties = spark.createDataFrame([(1, 0, 0, "person", "sig-1"), (1, 0, 1, "group", "A grup"), (1, 0, 2, "person", None), (1, 0, 3, None, "sig-1"), (1, 9, 0, "person", "sig-9")], "doc int, rule int, item int, type string, ref string")
+    rules = spark.createDataFrame([(1, 0, "annex", None, 4), (2, 0, None, True, None)], "doc int, rule int, source string, partial boolean, page int")
+    mapped = spark.createDataFrame([(1, 3, ["rules", None]), (1, 2, ["rules"]), (2, None, None), (4, 1, ["notary_block"])], "doc int, page int, labels array<string>")
+    readings = spark.createDataFrame([(1, 0, "rules_p2-3", "rules", "primary", "success", 0, True), (1, 1, None, "rules", "primary", "success", 0, None), (1, 2, "rules_p7", "rules", "primary", "success", 0, True)], "doc int, chunk int, chunk_id string, agent string, role string, status string, n_rules int, valid boolean")
+    given = {"documents": docs, "signatories": people, "parties": parties, "rules": rules, "pages": mapped, "results": readings}
+    got = {(r.doc, r.field_path, r.anomaly_code, r.evidence_page) for r in validation.flags(**given).collect()}
+    lacks = {(d, p, c, None) for d in (1, 2, None) for p, c in (("page_map.pages", "APPOINTMENTS_SECTION_MISSING"), ("page_map.pages", "NOTARY_BLOCK_MISSING"))}
+    assert got == lacks | {
+        (2, "signatories", "SIGNATORY_ROSTER_EMPTY", None), (None, "signatories", "SIGNATORY_ROSTER_EMPTY", None), (1, "signatories[0].valid_until", "VALIDITY_MISSING", 2),
+        (1, "signatories[0].specimen_bboxes", "APPOINTMENT_WITHOUT_SPECIMEN", 2), (1, "signatories[1].evidence", "SPECIMEN_WITHOUT_APPOINTMENT", 3), (1, "signatories", "POSSIBLE_ROSTER_MATCH", None),
+        *((1, f"signatories[1].joint_with_names[{i}]", "UNRESOLVED_REFERENCE", None) for i in range(3)), (1, "rules[0].joint_with[1]", "UNRESOLVED_REFERENCE", 4), (1, "rules[0].joint_with[2]", "UNRESOLVED_REFERENCE", 4),
+        (1, "rules[0]", "ANNEX_ONLY_RULE", 4), (2, "rules[0]", "PARTIAL_CLAUSE", None), (1, "rules", "RULES_SECTION_EMPTY", 2), (1, "rules", "AUTHORITY_RULES_INCOMPLETE", None), (1, "raw_chunks[0].output.rules", "RULE_CHUNK_EMPTY", 2),
+    }
+    assert validation.flags(**{name: rows.limit(0) for name, rows in given.items()}).count() == 0
