@@ -193,7 +193,7 @@ def test_flags_of_odd_rows(spark):
     assert got == lacks | {
         (2, "signatories", "SIGNATORY_ROSTER_EMPTY", None), (None, "signatories", "SIGNATORY_ROSTER_EMPTY", None), (1, "signatories[0].valid_until", "VALIDITY_MISSING", 2),
         (1, "signatories[0].specimen_bboxes", "APPOINTMENT_WITHOUT_SPECIMEN", 2), (1, "signatories[1].evidence", "SPECIMEN_WITHOUT_APPOINTMENT", 3), (1, "signatories", "POSSIBLE_ROSTER_MATCH", None),
-        *((1, f"signatories[1].joint_with_names[{i}]", "UNRESOLVED_REFERENCE", None) for i in range(3)), (1, "rules[0].joint_with[1]", "UNRESOLVED_REFERENCE", 4), (1, "rules[0].joint_with[2]", "UNRESOLVED_REFERENCE", 4),
+        (3, "signatories[0].joint_with_names[0]", "UNRESOLVED_REFERENCE", 1), *((1, f"signatories[1].joint_with_names[{i}]", "UNRESOLVED_REFERENCE", None) for i in range(3)), (1, "rules[0].joint_with[1]", "UNRESOLVED_REFERENCE", 4), (1, "rules[0].joint_with[2]", "UNRESOLVED_REFERENCE", 4),
         (1, "rules[0]", "ANNEX_ONLY_RULE", 4), (2, "rules[0]", "PARTIAL_CLAUSE", None), (1, "rules", "RULES_SECTION_EMPTY", 2), (1, "rules", "AUTHORITY_RULES_INCOMPLETE", None), (1, "raw_chunks[0].output.rules", "RULE_CHUNK_EMPTY", 2),
     }
     assert validation.flags(**{name: rows.limit(0) for name, rows in given.items()}).count() == 0
