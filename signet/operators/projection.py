@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import cut
 
 # Tags of a rule that aren't a scope, and the scope of a rule without one.
 NOT_SCOPES, ANY_SCOPE = ["unlimited"], "general"
@@ -17,27 +16,30 @@ def numbered(signatories: DataFrame) -> DataFrame:
     return signatories.withColumn("rep", F.format_string("rep-%d", F.col("sig") + 1))
 
 
-def party_people(parties: DataFrame, signatories: DataFrame) -> DataFrame:
-    """(doc, rule, item, sig): each person that a party stands for; a group stands for all of its code.
+def resolved(rules: DataFrame, parties: DataFrame, signatories: DataFrame) -> DataFrame:
+    """``rules`` (doc, rule, ...) with ``first``, whoever a rule's item 0 stands for, and ``sigs``, everyone who signs it in printed order, each as (sig, name).
 
     ``parties`` has (doc, rule, item, type, ref): who is item 0, the others follow.  A
-    person's ref is the signatory's id (sig-n), a group's its name.
+    person's ref is the signatory's id (sig-n), a group's its name; it stands for all of
+    its code.  ``sigs`` is null where a party stands for nobody or a rule has no parties;
+    a null type or ref stands for nobody, and repeated parties count once.  Rules and
+    parties meet in one grouping, on the partitioning by document that the people are
+    joined on: what is gathered is one rule's parties and one document's people.
     """
-    people = parties.filter("type = 'person'").join(signatories.select("doc", "sig", F.format_string("sig-%d", F.col("sig") + 1).alias("ref")), ["doc", "ref"])
-    coded = signatories.select("doc", "sig", T.group_code(F.col("group_name")).alias("code")).filter("code != ''")
-    groups = parties.filter("type = 'group'").withColumn("code", T.group_code(F.col("ref"))).join(coded, ["doc", "code"])
-    return people.select("doc", "rule", "item", "sig").union(groups.select("doc", "rule", "item", "sig"))
-
-
-def joint_people(parties: DataFrame, signatories: DataFrame) -> DataFrame:
-    """(doc, rule, sigs): everyone who signs a rule, in printed order; null where a party stands for nobody."""
-    found = cut(party_people(parties, signatories))
-    met = found.select("doc", "rule", "item").distinct().groupBy("doc", "rule").agg(F.count("*").alias("met"))
-    asked = parties.groupBy("doc", "rule").agg(F.count("*").alias("asked"))
-    one = found.groupBy("doc", "rule", "sig").agg(F.min("item").alias("item"))
-    lists = one.groupBy("doc", "rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("item", "sig"))), lambda x: x.sig).alias("sigs"))
-    rows = asked.join(met, ["doc", "rule"], "left").join(lists, ["doc", "rule"], "left")
-    return rows.select("doc", "rule", F.when(F.col("met") == F.col("asked"), F.col("sigs")).alias("sigs"))
+    fact = F.struct(*(c for c in rules.columns if c not in ("doc", "rule")))
+    both = rules.select("doc", "rule", fact.alias("fact")).unionByName(parties.select("doc", "rule", F.struct("item", "type", "ref").alias("party")), allowMissingColumns=True)
+    asked = both.repartition("doc").groupBy("doc", "rule").agg(F.collect_list("fact").alias("facts"), F.array_sort(F.collect_set("party")).alias("parties"))
+    person = F.struct("sig", "name", F.format_string("sig-%d", F.col("sig") + 1).alias("ref"), T.group_code(F.col("group_name")).alias("code"))
+    folk = signatories.filter("sig is not null").groupBy("doc").agg(F.array_sort(F.collect_set(person)).alias("folk"))
+    coded = F.transform("parties", lambda p: F.struct(p["item"].alias("item"), p["type"].alias("type"), p["ref"].alias("ref"), F.when(p["type"] == "group", T.group_code(p["ref"])).alias("code")))
+    meant = lambda p, f: ((p["type"] == "person") & (f["ref"] == p["ref"])) | ((p["code"] != "") & (f["code"] == p["code"]))
+    shown = lambda f: F.struct(f["sig"].alias("sig"), f["name"].alias("name"))
+    stood = F.transform(coded, lambda p: F.struct(p["item"].alias("item"), F.transform(F.filter("folk", lambda f: meant(p, f)), shown).alias("by")))
+    rows = asked.filter(F.size("facts") > 0).join(folk, "doc", "left").withColumn("stood", stood)
+    everyone = F.array_distinct(F.flatten(F.transform("stood", lambda s: s["by"])))
+    known = (F.size("stood") > 0) & F.col("folk").isNotNull() & F.forall("stood", lambda s: F.size(s["by"]) > 0)
+    first = F.flatten(F.transform(F.filter("stood", lambda s: s["item"] == 0), lambda s: s["by"]))
+    return rows.select("doc", "rule", F.explode("facts").alias("fact"), first.alias("first"), F.when(known, everyone).alias("sigs")).select("doc", "rule", "fact.*", "first", "sigs")
 
 
 def scopes(tags: Column) -> Column:
@@ -52,11 +54,11 @@ def flat_rules(rules: DataFrame, parties: DataFrame, signatories: DataFrame) ->
     ``rules`` has (doc, rule, form, amount_max, scope_tags, scope_text, quote, source).
     A rule that excludes what it names, or whose joint signers aren't all known, is blocked.
     """
-    rows = rules.filter("source != 'annex'").join(joint_people(parties, signatories), ["doc", "rule"], "left")
+    rows = resolved(rules.filter("source != 'annex'").select("doc", "rule", "form", "amount_max", "scope_tags", "scope_text", "quote"), parties, signatories)
     excluded = T.says_blocked(F.col("scope_text"), F.col("quote"))
     open_ = (F.col("form") == "joint") & F.col("sigs").isNull() & ~excluded
     rows = rows.withColumns({"unresolved": open_, "blocked": excluded | open_})
-    signers = F.when(~F.col("blocked") & (F.col("form") == "joint"), F.transform("sigs", lambda s: F.format_string("rep-%d", s + 1))).otherwise(F.array().cast("array<string>"))
+    signers = F.when(~F.col("blocked") & (F.col("form") == "joint"), F.transform("sigs", lambda s: F.format_string("rep-%d", s["sig"] + 1))).otherwise(F.array().cast("array<string>"))
     mode = F.when(~F.col("blocked"), F.upper("form"))
     return rows.select("doc", "rule", F.explode(scopes(F.col("scope_tags"))).alias("scope"), F.col("amount_max").alias("threshold"), mode.alias("mode"), signers.alias("signers"), "blocked", "unresolved")
 
@@ -66,27 +68,27 @@ def people(signatories: DataFrame, rules: DataFrame, parties: DataFrame) -> Data
 
     Whoever a sole rule names may sign alone, up to the largest of its general rules (of
     all, if there is none; open if one is open).  Else joint rules that name the person
-    decide, with the others' names after the printed ones; else the printed form.
+    decide, with the others' names after the printed ones; else the printed form.  What is
+    gathered is one document's rules.
     """
-    usable = rules.filter(~T.says_blocked(F.col("scope_text"), F.col("quote")))
-    sole = usable.filter("form = 'sole'").join(party_people(parties.filter("item = 0"), signatories), ["doc", "rule"])
-    general = F.array_contains("scope_tags", ANY_SCOPE)
-    limit = lambda keep: F.when(F.bool_or(keep & F.col("amount_max").isNull()), None).otherwise(F.max(F.when(keep, F.col("amount_max"))))
-    alone = sole.groupBy("doc", "sig").agg(F.bool_or(general).alias("has_general"), limit(general).alias("of_general"), limit(F.lit(True)).alias("of_all"))
-    joint = cut(usable.filter("form = 'joint'").join(joint_people(parties, signatories), ["doc", "rule"]).filter("sigs is not null").select("doc", "rule", "sigs"))
-    listed = joint.select("doc", "rule", F.posexplode("sigs").alias("place", "other"), "sigs").select("doc", "rule", "place", "other", F.explode("sigs").alias("sig"))
-    named = listed.filter("sig != other").join(signatories.select("doc", F.col("sig").alias("other"), "name"), ["doc", "other"])
-    together = listed.select("doc", "sig").distinct().withColumn("joint", F.lit(True))
-    others = named.groupBy("doc", "sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule", "place", "name"))), lambda x: x["name"]).alias("others"))
-    rows = signatories.join(alone, ["doc", "sig"], "left").join(together, ["doc", "sig"], "left").join(others, ["doc", "sig"], "left")
+    general = F.coalesce(F.array_contains("scope_tags", ANY_SCOPE), F.lit(False))
+    usable = rules.filter(~T.says_blocked(F.col("scope_text"), F.col("quote")) & F.col("form").isin("sole", "joint")).select("doc", "rule", "form", "amount_max", general.alias("general"))
+    of_doc = resolved(usable, parties, signatories).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("rule", "form", "amount_max", "general", "first", "sigs"))).alias("rules"))
+    names_one = lambda who: F.exists(who, lambda x: x["sig"] == F.col("sig"))
+    alone = F.filter("rules", lambda r: (r["form"] == "sole") & names_one(r["first"]))
+    shared = F.filter("rules", lambda r: (r["form"] == "joint") & names_one(r["sigs"]))
+    rows = signatories.join(of_doc, "doc", "left").withColumns({"alone": alone, "shared": shared})
+    of_general = F.filter("alone", lambda r: r["general"])
+    counted = F.when(F.size(of_general) > 0, of_general).otherwise(F.col("alone"))
+    amount = F.when(~F.exists(counted, lambda r: r["amount_max"].isNull()), F.array_max(F.transform(counted, lambda r: r["amount_max"])))
+    others = F.flatten(F.transform("shared", lambda r: F.transform(F.filter(r["sigs"], lambda x: x["sig"] != F.col("sig")), lambda x: x["name"])))
     plain = F.coalesce(T.tr_normalize(F.col("form")), F.lit(""))
-    is_sole, is_joint = F.col("has_general").isNotNull(), F.coalesce("joint", F.lit(False))
+    is_sole, is_joint = (F.coalesce(F.size(c), F.lit(0)) > 0 for c in ("alone", "shared"))
     none = F.array().cast("array<string>")
     printed = F.coalesce("joint_names", none)
     mode = F.when(is_sole, "SOLE").when(is_joint, "JOINT").when(plain.contains("munferit"), "SOLE").otherwise("JOINT")
-    co = F.when(is_sole, none).when(is_joint, F.array_distinct(F.filter(F.concat(printed, F.coalesce("others", none)), lambda n: n != ""))).when(plain.contains("munferit"), none).otherwise(printed)
+    co = F.when(is_sole, none).when(is_joint, F.array_distinct(F.filter(F.concat(printed, F.coalesce(others, none)), lambda n: n != ""))).when(plain.contains("munferit"), none).otherwise(printed)
     uncertain = ~is_sole & ~is_joint & ~plain.contains("munferit") & ~plain.contains("musterek")
-    amount = F.when(F.col("has_general"), F.col("of_general")).otherwise(F.col("of_all"))
     return rows.select("doc", "sig", F.format_string("rep-%d", F.col("sig") + 1).alias("rep"), mode.alias("mode"), amount.alias("max_amount"), co.alias("co_signers"), uncertain.alias("uncertain"))
 
 

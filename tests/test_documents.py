@@ -8,7 +8,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from signet.operators import authority, history, matching, merging, pages, validation
+from signet.operators import authority, history, matching, merging, pages, projection, validation
 from signet.sources import documents, registry, results
 from signet.streaming import requests
 
@@ -197,3 +197,27 @@ def test_flags_of_odd_rows(spark):
         (1, "rules[0]", "ANNEX_ONLY_RULE", 4), (2, "rules[0]", "PARTIAL_CLAUSE", None), (1, "rules", "RULES_SECTION_EMPTY", 2), (1, "rules", "AUTHORITY_RULES_INCOMPLETE", None), (1, "raw_chunks[0].output.rules", "RULE_CHUNK_EMPTY", 2),
     }
     assert validation.flags(**{name: rows.limit(0) for name, rows in given.items()}).count() == 0
+
+
+def test_people_behind_parties_of_odd_rows(spark):
+    rules = spark.createDataFrame(
+        [(1, 0, "joint", 5, ["general"], None, "q"), (1, 1, "sole", None, None, None, None), (1, 1, "sole", None, None, None, None), (2, 0, "joint", 1, [], None, None), (None, 0, "sole", 1, [], None, None), (1, 2, "joint", 1, ["credit"], None, None), (1, 3, "sole", 9, ["credit"], None, None)],
+        "doc int, rule int, form string, amount_max long, scope_tags array<string>, scope_text string, quote string",
+    )
+    parties = spark.createDataFrame(
+        [(1, 0, 0, "group", "A grubu"), (1, 0, 1, "person", "sig-1"), (1, 0, 1, "person", "sig-1"), (1, 1, 0, "person", "sig-1"), (2, 0, 0, "person", "sig-1"), (1, 2, 0, None, "sig-1"), (1, 2, 1, "group", None), (None, 0, 0, "person", "sig-1"), (1, 3, 0, "person", "sig-3")],
+        "doc int, rule int, item int, type string, ref string",
+    )
+    signatories = spark.createDataFrame(
+        [(1, 0, "Ali", None, None, None), (1, 1, "Can", "a grup", None, ["Ece", ""]), (1, 2, None, "A", "münferit", None), (3, 0, "Eda", "A", "müşterek", None)],
+        "doc int, sig int, name string, group_name string, form string, joint_names array<string>",
+    )
+    found = {(r.doc, r.rule): (r.first and [x.sig for x in r.first], r.sigs and [x.sig for x in r.sigs]) for r in projection.resolved(rules, parties, signatories).collect()}
+    assert found == {(1, 0): ([1, 2], [1, 2, 0]), (1, 1): ([0], [0]), (2, 0): (None, None), (None, 0): (None, None), (1, 2): ([], None), (1, 3): ([2], [2])}
+    people = {(r.doc, r.sig): (r["mode"], r.max_amount, r.co_signers, r.uncertain) for r in projection.people(signatories, rules, parties).collect()}
+    # a repeated sole rule without a limit leaves Ali without one; Can signs with all that rule 0 names, nameless people left out
+    assert people == {(1, 0): ("SOLE", None, [], False), (1, 1): ("JOINT", None, ["Ece", "Ali"], False), (1, 2): ("SOLE", 9, [], False), (3, 0): ("JOINT", None, [], False)}
+    flat = {(r.doc, r.rule): (r.signers, r.blocked, r.unresolved) for r in projection.flat_rules(rules.withColumn("source", F.lit("circular")), parties, signatories).collect()}
+    assert flat[1, 0] == (["rep-2", "rep-3", "rep-1"], False, False) and flat[1, 2] == flat[2, 0] == ([], True, True)
+    none = [d.limit(0) for d in (rules, parties, signatories)]
+    assert not projection.resolved(*none).count() and not projection.people(none[2], rules, parties).count()
