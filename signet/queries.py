@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_queries, extraction_queries, inputs, store_queries
+from . import decision_queries, display_queries, extraction_queries, inputs, store_queries
 from . import record_queries as R
 from .functions import text as T
 from .operators import authority, comparison, pages
@@ -143,7 +143,7 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (authorize_batch, authorize_gaps, compare_checks, normalize_text, redact_text, identifier_checks, parse_dates, format_amounts, page_windows, page_runs, latest_version, next_version, audit_newest, dashboard_counts, denied_by_step, orphans, *R.ALL, *extraction_queries.ALL, *decision_queries.ALL, *store_queries.ALL)}
+    return {f.__name__: f for f in (authorize_batch, authorize_gaps, compare_checks, normalize_text, redact_text, identifier_checks, parse_dates, format_amounts, page_windows, page_runs, latest_version, next_version, audit_newest, dashboard_counts, denied_by_step, orphans, *R.ALL, *extraction_queries.ALL, *decision_queries.ALL, *store_queries.ALL, *display_queries.ALL)}
 
 
 def _with(*names: str) -> str:
@@ -239,7 +239,7 @@ def _identifiers() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return R.oracle_sql(_normal) | extraction_queries.oracle_sql() | decision_queries.oracle_sql() | store_queries.oracle_sql(_STEPS) | {
+    return R.oracle_sql(_normal) | extraction_queries.oracle_sql() | decision_queries.oracle_sql() | store_queries.oracle_sql(_STEPS) | display_queries.oracle_sql() | {
         "authorize_batch": f"{_STEPS} SELECT * FROM decided",
         "authorize_gaps": _gap_steps(),
         "compare_checks": _compare(),

@@ -5,6 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from signet.functions import labels as L
 from signet.functions import text as T
 
 
@@ -115,3 +116,12 @@ def test_amounts_and_labels(spark):
     assert many(spark, T.without_fence, [("```json\n{}\n```",), (" {} ",), ("```\nx",)]) == ["{}", "{}", "```\nx"]
     codes = many(spark, T.authorization_code, [(str(i),) for i in range(500)])
     assert len(set(codes)) == 500 and all(c.startswith("YTK-") and len(c) == 12 and set(c[4:]) <= set(T.CODE_LETTERS) for c in codes)
+
+
+def test_labels_of_known_unknown_and_missing_codes(spark):
+    assert many(spark, L.action, [("AUTHORITY_CREATED",), ("authority_created",), ("",), (None,)]) == ["Yetki kaydı oluşturuldu", "Kayıt güncellendi", "Kayıt güncellendi", "Kayıt güncellendi"]
+    assert many(spark, L.actor, [("branch_user:7",), ("branch_user",), ("systematic",), ("mobile_user:",), (" system",), (None,)]) == ["Şube görevlisi", "Yetkili kullanıcı", "Sistem", "Mobil kullanıcı", "Yetkili kullanıcı", "Yetkili kullanıcı"]
+    assert many(spark, lambda c: L.shown(c, L.SCOPES), [("real_estate",), ("Taşıt",), ("",), (None,)]) == ["Gayrimenkul işlemleri", "Taşıt", "", None]
+    assert many(spark, lambda c: L.shown(c, L.SUBJECTS), [("CREDIT",), ("credit",)]) == ["Kredi kullanımı", "credit"]
+    assert [tuple(x) for x in many(spark, L.verdict_badge, [("READY",), ("REGISTRY_CONFLICT",), ("?",), (None,)])] == [("Onaya hazır", "✓", "Uygun"), ("Sicil kaydıyla çelişiyor", "×", "Engel"), ("?", None, None), (None, None, None)]
+    assert set(L.ONBOARDING_COLOURS.values()) == set(L.STATUSES) == set(L.STATUS_SYMBOLS) and set(L.ONBOARDING_COLOURS) == set(L.ONBOARDING_VERDICTS)
