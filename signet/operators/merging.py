@@ -2,19 +2,22 @@
 
 Rules of one identity (document, page, amounts, currency, form, parties, date) are few,
 so a group is one task's work; the merge within it is sequential by nature, for each
-survivor can take the quote of the rule it swallowed.  Everything else is joins.
+survivor can take the quote of the rule it swallowed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from itertools import groupby, islice
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
 from ..storage import cut
@@ -49,68 +52,102 @@ def candidates(raw: DataFrame, pages: DataFrame) -> DataFrame:
     return marked.withColumn("kind", kind).drop("annex")
 
 
+#: What the fold of a group looks at; the rest of a row only comes along.
+FOLDED = ["ordinal", "place", "plain", "quote", "partial", "scope_tags", "tag_keys", "scope_text", "scope_size"]
+_score = lru_cache(1 << 16)(matching.indel_ratio)
+
+
+def _join(found: list[dict], row: dict, threshold: float) -> None:
+    """Puts ``row`` into the survivor of ``found`` whose quote is nearest, or behind them all."""
+    tags = list(zip(row["tag_keys"] or [], row["scope_tags"] or [], strict=True))
+    own = row | {"first": row["ordinal"], "score": (not row["partial"], len(row["quote"] or "")), "tags": tags, "scope": (row["scope_size"] or 0, row["scope_text"])}
+    plain = row["plain"] or ""
+    scored = [(100.0 if plain == (other["plain"] or "") else _score(plain, other["plain"] or ""), -k) for k, other in enumerate(found)]
+    best = max((s for s in scored if s[0] >= threshold), default=None)
+    if best is None:
+        found.append(own)
+        return
+    other = found[-best[1]]
+    win, lose = (own, other) if own["score"] > other["score"] else (other, own)
+    known = {key for key, _ in win["tags"]}
+    tags = win["tags"] + list({key: (key, tag) for key, tag in reversed(lose["tags"]) if key not in known}.values())[::-1]
+    found[-best[1]] = win | {"first": other["first"], "tags": tags, "scope": own["scope"] if own["scope"][0] > other["scope"][0] else other["scope"]}
+
+
+def folded(rules: DataFrame, threshold: float = 90.0) -> DataFrame:
+    """``merged`` of ``rules``, and witnesses as they are, with ``plain``, the normalised quote.
+
+    Rows come sorted by identity on a partitioning by document, in one pass: a rule that is
+    alone in its identity passes as Arrow data, and of a group only the survivors are held.
+    """
+    keyed = rules.repartition("doc").withColumns({"money": T.tr_normalize(F.coalesce("currency", F.lit(""))), "parties": signing_key("form", "who", "joint"), "until": F.col("valid_until")})
+    keyed = keyed.withColumns({"plain": T.tr_normalize(F.col("quote")), "tag_keys": F.transform("scope_tags", T.tr_normalize), "scope_size": F.length(T.tr_normalize(F.col("scope_text")))})
+    by = W.partitionBy(*IDENTITY)
+    n = F.when(F.col("kind") == "witness", 1).otherwise(F.count("*").over(by))
+    rows = keyed.withColumns({"n": n, "place": F.row_number().over(by.orderBy("ordinal"))}).sortWithinPartitions(*IDENTITY, "ordinal")
+    kept = [f for f in rows.schema if f.name not in ("n", "place")]
+    schema = StructType([*kept, StructField("first", rows.schema["ordinal"].dataType), StructField("tags", rows.schema["scope_tags"].dataType), StructField("scope", rows.schema["scope_text"].dataType)])
+    names, kinds = [f.name for f in kept], [to_arrow_type(f.dataType) for f in schema.fields[-3:]]
+
+    def whole(rows: pa.RecordBatch, *made: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *made], names=[*names, "first", "tags", "scope"])
+
+    def closed(found: list[dict]) -> Iterator[pa.RecordBatch]:
+        for _, some in groupby(found, lambda f: id(f["at"][0])):
+            some = list(some)
+            made = [f["first"] for f in some], [[tag for _, tag in f["tags"]] for f in some], [f["scope"][1] for f in some]
+            yield whole(some[0]["at"][0].take(pa.array([f["at"][1] for f in some])), *(pa.array(x, t) for x, t in zip(made, kinds, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        for batch in batches:
+            several, done = pc.greater(batch.column("n"), 1), []
+            alone, rest = batch.filter(pc.invert(several)), batch.filter(several)
+            if alone.num_rows:
+                yield whole(alone, *(alone.column(c) for c in ("ordinal", "scope_tags", "scope_text")))
+            for i, row in enumerate(rest.select(FOLDED).to_pylist()):
+                if row["place"] == 1:
+                    done, group = done + group if group else done, []
+                _join(group, row | {"at": (rest, i)}, threshold)
+            yield from closed(done)
+            group = [f | {"at": (f["at"][0].take(pa.array([f["at"][1]])), 0)} for f in group]  # lets go of the batch
+        yield from closed(group)
+
+    return rows.mapInArrow(run, schema)
+
+
 def merged(rules: DataFrame, threshold: float = 90.0) -> DataFrame:
     """Survivors of ``rules`` (doc, ordinal, kind, page, amount_min, amount_max, currency, form, who, joint, valid_until, quote, partial, scope_tags, scope_text).
 
     In order, each rule joins the survivor of its identity whose quote is nearest, at
     ``threshold`` or more (the first of equals).  The whole rule, then the longer quote,
     wins and brings its tags first; the longest scope text stays.  ``first`` is the place
-    of the survivor's first rule, ``tags`` its tags.  Witnesses aren't merged.
+    of the survivor's first rule, ``tags`` its tags.  Witnesses aren't merged and don't
+    stay.  A null quote is an empty one, null tags are none.
     """
-    keyed = rules.withColumns({"money": T.tr_normalize(F.coalesce("currency", F.lit(""))), "parties": signing_key("form", "who", "joint"), "until": F.col("valid_until")})
-    keyed = keyed.withColumns({"plain": T.tr_normalize(F.col("quote")), "tag_keys": F.transform("scope_tags", T.tr_normalize), "scope_size": F.length(T.tr_normalize(F.col("scope_text")))})
-    slim = keyed.filter("kind != 'witness'").select(*IDENTITY, "ordinal", "plain", "quote", "partial", "scope_tags", "tag_keys", "scope_text", "scope_size")
-
-    def fold(group: Iterable[dict]) -> list[dict]:
-        found: list[dict] = []
-        for row in group:
-            own = row | {"first": row["ordinal"], "score": (not row["partial"], len(row["quote"])), "tags": list(zip(row["tag_keys"], row["scope_tags"], strict=True)), "scope": (row["scope_size"], row["scope_text"])}
-            scored = [(matching.indel_ratio(own["plain"], other["plain"]), -k) for k, other in enumerate(found)]
-            best = max((s for s in scored if s[0] >= threshold), default=None)
-            if best is None:
-                found.append(own)
-                continue
-            other = found[-best[1]]
-            win, lose = (own, other) if own["score"] > other["score"] else (other, own)
-            known = {key for key, _ in win["tags"]}
-            tags = win["tags"] + list({key: (key, tag) for key, tag in reversed(lose["tags"]) if key not in known}.values())[::-1]
-            found[-best[1]] = win | {"first": other["first"], "tags": tags, "scope": own["scope"] if own["scope"][0] > other["scope"][0] else other["scope"]}
-        return found
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in batch.to_pylist())
-        folded = (f for _, group in groupby(rows, lambda r: [r[c] for c in IDENTITY]) for f in fold(group))
-        while some := list(islice(folded, 5000)):
-            made = [[f[c] for f in some] for c in ("doc", "kind", "ordinal", "first")] + [[[t for _, t in f["tags"]] for f in some], [f["scope"][1] for f in some]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, kinds, strict=True)], names=names)
-
-    counted = slim.withColumn("n", F.count("*").over(W.partitionBy(*IDENTITY)))
-    alone = counted.filter("n = 1").select("doc", "kind", "ordinal", F.col("ordinal").alias("first"), F.col("scope_tags").alias("tags"), F.col("scope_text").alias("scope"))
-    names, kinds = alone.columns, [to_arrow_type(f.dataType) for f in alone.schema]
-    # groups stand one after the other in a sorted partition, so Python is entered once a batch and not once a group
-    several = counted.filter("n > 1").drop("n").repartition(*IDENTITY).sortWithinPartitions(*IDENTITY, "ordinal").mapInArrow(run, alone.schema)
-    kept = alone.union(several)
-    return keyed.join(kept, ["doc", "kind", "ordinal"])
+    return folded(rules, threshold).filter("kind != 'witness'")
 
 
 def rules(raw: DataFrame, pages: DataFrame, threshold: float = 90.0) -> DataFrame:
     """(doc, ordinal, first, kind, source, confidence, tags, scope, ...): the rules of each document.
 
     A primary rule whose quote a witness or a supporting rule has is of high confidence,
-    a partial one of low.  Supporting rules stay only if no primary quote is theirs.
+    a partial one of low.  Supporting rules stay only if no primary quote is theirs.  Each
+    quote meets the distinct quotes of the other side of its document; equal ones and those
+    that lengths or letters rule out are settled without Python.  A null quote meets none;
+    rules without a document are nobody's and don't stay.
     """
-    given = candidates(raw, pages)
-    survivors = cut(merged(given, threshold))
-    plain = T.tr_normalize(F.col("quote"))
-    side = lambda df, name: df.select("doc", F.struct("kind", "ordinal").alias(f"{name}_id"), plain.alias(f"{name}_text"))
-    primary, supporting = survivors.filter("kind = 'primary'"), survivors.filter("kind = 'supporting'")
-    others = side(given.filter("kind = 'witness'"), "right").union(side(supporting, "right"))
-    seen = matching.within(side(primary, "left"), others, ["doc"], threshold).select("doc", F.col("left_id.ordinal").alias("ordinal")).distinct().withColumn("seen", F.lit(True))
-    known = matching.within(side(supporting, "left"), side(primary, "right"), ["doc"], threshold).select("doc", F.col("left_id.ordinal").alias("ordinal")).distinct()
-    confidence = F.when(F.col("partial"), "low").when(F.col("seen"), "high").otherwise("medium")
-    bound = primary.join(seen, ["doc", "ordinal"], "left").withColumns({"source": F.lit("circular"), "confidence": confidence}).drop("seen")
-    extra = supporting.join(known, ["doc", "ordinal"], "left_anti").withColumns({"source": F.lit("annex"), "confidence": F.lit("low")})
-    return bound.unionByName(extra)
+    rows = cut(folded(candidates(raw, pages), threshold))
+    own = F.col("kind") == "primary"
+    quotes = rows.groupBy("doc").agg(F.collect_set(F.when(own, F.col("plain"))).alias("primary_quotes"), F.collect_set(F.when(~own, F.col("plain"))).alias("other_quotes"))
+    met = rows.filter("kind != 'witness'").join(quotes, "doc").withColumn("facing", F.when(own, F.col("other_quotes")).otherwise(F.col("primary_quotes")))
+    met = met.withColumn("same", F.coalesce(F.array_contains("facing", F.col("plain")), F.lit(False)))
+    none = F.array().cast("array<string>")
+    near = F.when(F.col("same") | F.col("plain").isNull(), none).otherwise(F.filter("facing", lambda x: matching.possible(F.col("plain"), x, threshold)))
+    met = met.withColumn("near", near).withColumn("seen", F.col("same") | matching.any_ratio(threshold)(F.transform("near", lambda x: F.col("plain")), F.col("near")))
+    confidence = F.when(own & F.col("partial"), "low").when(own & F.col("seen"), "high").when(own, "medium").otherwise("low")
+    kept = met.filter(own | ~F.col("seen")).withColumns({"source": F.when(own, "circular").otherwise("annex"), "confidence": confidence})
+    return kept.drop("primary_quotes", "other_quotes", "facing", "same", "near", "seen")
 
 
 def first_of(rows: DataFrame, key: list[str], order: str, *columns: str) -> DataFrame:

@@ -42,7 +42,9 @@ def greedy(rows, threshold=90.0):
     return {(f["ordinal"], f["first"], ";".join(f["tags"]), f["scope"]) for f in found}
 
 
-def test_long_merges_equal_a_plain_loop(spark):
+@pytest.mark.parametrize("batch", [10_000, 1, 3])
+def test_long_merges_equal_a_plain_loop(spark, batch):
+    """Groups may stand across Arrow batches of any size."""
     rng, rows = random.Random(4), []
     for doc in range(30):
         for ordinal in range(rng.randrange(1, 14)):
@@ -53,7 +55,11 @@ def test_long_merges_equal_a_plain_loop(spark):
             rows.append((doc, ordinal, "rules", "primary", False, rng.choice([1, 1, 1, 2]), None, rng.choice([None, None, 5]), None, rng.choice(["sole", "joint"]), party(a), [party(b)], None, "".join(quote), rng.random() < 0.2, rng.sample(["p", "q", "r"], rng.randrange(0, 3)), "s" * rng.randrange(1, 5)))
     raw = spark.createDataFrame(rows, RAW)
     got = {}
-    for r in merging.merged(raw.withColumn("kind", F.lit("primary"))).collect():
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    found = merging.merged(raw.withColumn("kind", F.lit("primary"))).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    for r in found:
         got.setdefault(r.doc, set()).add((r.ordinal, r.first, ";".join(r.tags), r.scope))
     names = [c.split()[0] for c in RAW.replace("struct<type:string,ref:string,name:string>", "s").split(", ")]
     by_doc = {}
@@ -74,6 +80,18 @@ def test_confidence_and_sources(spark):
     assert got == {0: ("circular", "high"), 2: ("circular", "medium"), 3: ("circular", "low"), 5: ("annex", "low"), 7: ("annex", "low")}
 
 
+def test_merged_rules_of_odd_rows(spark):
+    rows = [(1, k, "rules", role, None, 1, None, None, None, "sole", party(None), None, None, quote, partial, tags, None) for k, role, quote, partial, tags in [(0, "primary", None, None, None), (1, "primary", None, True, ["a"]), (2, "witness", None, False, None), (3, None, "tek kural", False, [])]]
+    rows.append((None, 0, None, "primary", True, None, None, None, None, None, None, None, None, "q", None, ["a", None], "x"))
+    raw, mapped = spark.createDataFrame(rows, RAW), spark.createDataFrame([(1, None, None), (None, 1, True)], "doc int, page int, annex boolean")
+    got = {(r.doc, r.ordinal): (r.first, r.tags) for r in merging.merged(merging.candidates(raw, mapped)).collect()}
+    # rules without a quote have equal, empty ones, and what isn't known to be partial isn't; a rule without a role is a primary one
+    assert got == {(1, 0): (0, ["a"]), (1, 3): (3, []), (None, 0): (0, ["a", None])}
+    found = {(r.doc, r.ordinal): (r.kind, r.confidence) for r in merging.rules(raw, mapped).collect()}
+    assert found[1, 0] == ("primary", "medium") and found[1, 3] == ("primary", "medium")
+    assert not merging.rules(raw.limit(0), mapped).count() and merging.rules(raw, mapped.limit(0)).count() == len(found)
+
+
 def test_sections_equal_the_rule(spark):
     rng, rows = random.Random(6), []
     kinds = ["rules", "specimens", "dayanak", "gazette_annex", "other_unknown"]
