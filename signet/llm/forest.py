@@ -44,6 +44,8 @@ from .common import stored, table
 
 SHOWN, EVERY = 20, 20
 TREES, LEAF, SAMPLE, PART_ROWS, QUERY_ROWS = 12, 64, 65_536, 65_536, 65_536
+#: Vectors that are put into their leaves at once.
+SLICE = 4096
 #: The share of the nearest that a walk finds on the sample, by so many of its vectors; and the least candidates of a walk.
 RECALL, ASKED, CANDIDATES = 0.94, 256, 400
 
@@ -93,16 +95,15 @@ class Forest:
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree, vectors x trees."""
-        points = lengthened(vectors / self.scale, self.longest)
-        out = np.zeros((len(points), len(self.directions)), np.int64)
-        rows = np.arange(len(points))
-        for t in range(len(self.directions)):
-            at = np.zeros(len(points), np.int64)
-            for d in range(self.depth):
-                first = (1 << d) - 1
-                along = points @ self.directions[t, first : 2 * first + 1].T.astype(float)
-                at = 2 * at + 1 + (along[rows, at - first] > self.bounds[t, at])
-            out[:, t] = at - ((1 << self.depth) - 1)
+        out = np.zeros((len(vectors), len(self.directions)), np.int64)
+        for low in range(0, len(vectors), SLICE):  # each vector meets the one node it is at, so memory is that of a slice
+            points = lengthened(vectors[low : low + SLICE] / self.scale, self.longest)
+            for t in range(len(self.directions)):
+                at = np.zeros(len(points), np.int64)
+                for _ in range(self.depth):
+                    along = np.einsum("ij,ij->i", points, self.directions[t, at])
+                    at = 2 * at + 1 + (along > self.bounds[t, at])
+                out[low : low + SLICE, t] = at - ((1 << self.depth) - 1)
         return out
 
     def asking(self, queries: np.ndarray) -> np.ndarray:

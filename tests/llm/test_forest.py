@@ -26,6 +26,18 @@ def ask(spark, rows, **how):
     return A.search(df.select("vec_id", "embedding"), df.filter(F.col("vec_id") % 5 == 0), 20, **how).collect()
 
 
+def test_leaves_of_a_full_sample_fit_the_driver():
+    import tracemalloc
+
+    sample = np.random.default_rng(3).standard_normal((1 << 15, 8))
+    forest = A.Forest.of(sample, 6.0, 2.0, 1 << 20, trees=1)  # 12 levels, 4096 leaves
+    tracemalloc.start()
+    leaves = forest.leaves(sample)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20 and len(np.unique(leaves)) > 4000
+
+
 @pytest.mark.parametrize(("part_rows", "query_rows"), [(5, 1000), (60, 20), (10_000, 1000)])
 def test_all_leaves_give_the_exact_result(spark, part_rows, query_rows):
     rows = rows_of(np.random.default_rng(1), 300, 8)
