@@ -48,12 +48,17 @@ def any_ratio(threshold: float) -> Callable[[Column, Column], Column]:
     return found
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """At least as many letters as the longest common subsequence has: those that both texts hold, in any order."""
+    letters = [F.least(*(F.length(side) - F.length(F.translate(side, c, "")) for side in (a, b))) for c in LETTERS]
+    rest = F.least(*(F.length(F.translate(side, LETTERS, "")) for side in (a, b)))
+    return sum(letters, start=rest)
+
+
 def possible(a: Column, b: Column, threshold: float) -> Column:
     """Whether lengths and counts of letters leave room for a ratio of ``threshold``."""
     m, n = F.length(a), F.length(b)
-    letters = [F.least(*(F.length(side) - F.length(F.translate(side, c, "")) for side in (a, b))) for c in LETTERS]
-    rest = F.least(*(F.length(F.translate(side, LETTERS, "")) for side in (a, b)))
-    return (200 * F.least(m, n) >= threshold * (m + n)) & (200 * (sum(letters, start=rest)) >= threshold * (m + n))
+    return (200 * F.least(m, n) >= threshold * (m + n)) & (200 * _shared(a, b) >= threshold * (m + n))
 
 
 def within(left: DataFrame, right: DataFrame, block: list[str], threshold: float = 90.0, distinct: bool = False) -> DataFrame:
@@ -72,8 +77,33 @@ def within(left: DataFrame, right: DataFrame, block: list[str], threshold: float
     return pairs.withColumn("score", ratio(F.col("left_text"), F.col("right_text"))).filter(F.col("score") >= threshold).select(*block, "left_id", "right_id", "score")
 
 
-def best(left: DataFrame, right: DataFrame, block: list[str], threshold: float = 90.0) -> DataFrame:
-    """The best of ``within`` for each left_id; ties go to the smaller right_id."""
-    pairs = within(left, right, block, threshold)
+def numbered(left: DataFrame, right: DataFrame, block: list[str], threshold: float = 90.0) -> DataFrame:
+    """``within`` for large blocks of texts that are words and a number: the same pairs, most of them never built.
+
+    A common subsequence of two texts is no longer than that of their digits and that of
+    all else together.  The latter is found once for each two shapes (a text without its
+    digits, and how many it has) of a block; where it leaves room for the threshold only
+    if all digits agree, the two meet by their digits.  All other pairs of these shapes
+    are compared one by one, and shapes that leave no room never meet.
+    """
+    bare = lambda c: F.translate(c, "0123456789", "")
+    digits = lambda c: F.regexp_replace(c, "[^0-9]+", "")
+    sides = [rows.withColumns({f"{side}_shape": bare(f"{side}_text"), "number": digits(f"{side}_text")}).withColumn(f"{side}_width", F.length("number")) for side, rows in (("left", left), ("right", right))]
+    shapes = [[f"{side}_shape", f"{side}_width"] for side in ("left", "right")]
+    kinds = sides[0].select(*block, *shapes[0]).distinct().join(sides[1].select(*block, *shapes[1]).distinct(), block)
+    a, b, least, most = F.col("left_shape"), F.col("right_shape"), F.least("left_width", "right_width"), F.greatest("left_width", "right_width")
+    letters = F.length(a) + F.length(b)
+    needed = F.ceil(threshold * (letters + F.col("left_width") + F.col("right_width")) / 200 - 1e-9)
+    kinds = kinds.filter(F.least(F.length(a), F.length(b)) + least >= needed).filter(_shared(a, b) + least >= needed)
+    kinds = kinds.withColumn("digits", needed - F.round(ratio(a, b) * letters / 200)).filter(F.col("digits") <= least).withColumn("all", F.col("digits") >= most).drop("digits")
+    met = sides[0].join(kinds, [*block, *shapes[0]])
+    pairs = [met.filter(keep).drop(*drop).join(sides[1].drop(*drop), [*block, *shapes[1], *on]) for keep, on, drop in (("all", ["number"], []), ("not all", [], ["number"]))]
+    pairs = pairs[0].unionByName(pairs[1].filter(possible(F.col("left_text"), F.col("right_text"), threshold)), allowMissingColumns=True)
+    return pairs.withColumn("score", ratio(F.col("left_text"), F.col("right_text"))).filter(F.col("score") >= threshold).select(*block, "left_id", "right_id", "score")
+
+
+def best(left: DataFrame, right: DataFrame, block: list[str], threshold: float = 90.0, pairs: Callable[..., DataFrame] = within) -> DataFrame:
+    """The best of ``pairs``, ``within`` or ``numbered``, for each left_id; ties go to the smaller right_id."""
+    pairs = pairs(left, right, block, threshold)
     top = W.partitionBy(*block, "left_id").orderBy(F.desc("score"), "right_id")
     return pairs.withColumn("__place", F.row_number().over(top)).filter("__place = 1").drop("__place")

@@ -90,7 +90,7 @@ def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplier of the same nation whose name is nearest to each customer's, at a ratio of 70 or more."""
     left = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("left_id"), T.tr_normalize(F.col("c_name")).alias("left_text"))
     right = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("right_id"), T.tr_normalize(F.col("s_name")).alias("right_text"))
-    return matching.best(left, right, ["nation"], 70.0)
+    return matching.best(left, right, ["nation"], 70.0, matching.numbered)
 
 
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

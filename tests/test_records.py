@@ -33,6 +33,21 @@ def test_ratio_and_best_match(spark):
     assert got == want and want
 
 
+def test_numbered_texts_have_the_pairs_of_all_and_build_few(spark):
+    rng = random.Random(2)
+    words = ["Ali", "veli", "alo", "", "Çiçek", "12", "a1b"]
+    texts = [None, "", "7", *(rng.choice(words) + " " + "".join(rng.choice("0123") for _ in range(rng.randrange(6))) + rng.choice(["", "x"]) for _ in range(150))]
+    left = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts)], "k int, left_id int, left_text string")
+    right = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts[::-1])], "k int, right_id int, right_text string")
+    for threshold in (40.0, 70.0, 90.0, 100.0):
+        want = sorted(map(tuple, matching.within(left, right, ["k"], threshold).collect()))
+        assert sorted(map(tuple, matching.numbered(left, right, ["k"], threshold).collect())) == want and want
+    many = spark.range(30_000).select(F.lit(1).alias("k"), F.col("id").alias("left_id"), F.format_string("customer %09d", "id").alias("left_text"))
+    other = spark.range(30_000).select(F.lit(1).alias("k"), (F.col("id") * 2).alias("right_id"), F.format_string("supplier %09d", F.col("id") * 2).alias("right_text"))
+    got = matching.best(many, other, ["k"], 70.0, matching.numbered)  # 900 million pairs in the block
+    assert got.filter("left_id = right_id").count() == got.count() == 15_000
+
+
 def test_inputs_without_a_result(spark):
     keys = spark.createDataFrame([("k",), ("k",), ("m",)], "key string")
     assert [r.key for r in results.missing(keys, keys.filter("key = 'k'")).collect()] == ["m"]
