@@ -63,12 +63,15 @@ def joint_signers(resolved: DataFrame) -> DataFrame:
 def unique_active(people: DataFrame, registry: DataFrame) -> DataFrame:
     """``people`` (company, person, tckn, name) with ``rep``: the one registry row whose masked id or name is theirs, if ACTIVE.
 
-    Two equi-joins and a distinct union stand for the OR, so no pair is compared that
-    shares neither.
+    No pair is built: of the registry rows of a mask or name only the smallest and the
+    largest rep are kept, and who meets one rep alone has the same for both.
     """
     keyed = lambda df, id: df.select("company", id, T.masked_id(F.col("tckn")).alias("mask"), T.tr_normalize(F.col("name")).alias("plain"))
-    own, reps = keyed(people, "person"), keyed(registry, "rep")
-    by = lambda k: own.filter(F.col(k) != "").join(reps.select("company", k, "rep"), ["company", k]).select("company", "person", "rep")
-    hits = by("mask").union(by("plain")).distinct().join(registry.select("company", "rep", "status"), ["company", "rep"])
-    one = hits.groupBy("company", "person").agg(F.count("*").alias("n"), F.first("rep").alias("rep"), F.first("status").alias("status")).filter("n = 1 and status = 'ACTIVE'")
+    own, reps = keyed(people, "person"), keyed(registry, "rep").filter("rep is not null")
+    ends = lambda k: reps.filter(F.col(k) != "").groupBy("company", k).agg(F.min("rep").alias(f"{k}_least"), F.max("rep").alias(f"{k}_most"))
+    met = own.join(ends("mask"), ["company", "mask"], "left").join(ends("plain"), ["company", "plain"], "left")
+    least, most = (f(f"mask_{end}", f"plain_{end}") for f, end in ((F.least, "least"), (F.greatest, "most")))
+    met = met.groupBy("company", "person").agg(F.min(least).alias("rep"), F.max(most).alias("most")).filter("rep = most")
+    single = registry.groupBy("company", "rep").agg(F.count("*").alias("n"), F.first("status").alias("status")).filter("n = 1 and status = 'ACTIVE'")
+    one = met.join(single.select("company", "rep"), ["company", "rep"], "left_semi")
     return people.join(one.select("company", "person", "rep"), ["company", "person"], "left")

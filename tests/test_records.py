@@ -53,6 +53,22 @@ def test_inputs_without_a_result(spark):
     assert [r.key for r in results.missing(keys, keys.filter("key = 'k'")).collect()] == ["m"]
 
 
+def test_one_registry_row_by_mask_or_name(spark):
+    people = [(1, 1, "123***45", "Öz"), (1, 2, "123*45", "x"), (1, 3, None, "OZ "), (1, 4, "999***99", "çift"), (1, 5, "", ""), (1, 6, "77", None), (1, 7, "555***55", "y"), (2, 1, "123***45", "Öz"), (1, 1, "123***45", "öz"), (1, 8, "555***55", "Öz"), (None, 9, "123***45", "Öz")]
+    reps = [(1, 10, "123*****45", "oz", "ACTIVE"), (1, 11, None, "Çift", "ACTIVE"), (1, 12, None, "cift", "ACTIVE"), (1, 13, "555**55", "", "REMOVED"), (1, 14, "666**66", "", "ACTIVE"), (1, None, None, "x", "ACTIVE"), (None, 15, "123**45", "oz", "ACTIVE")]
+    people = spark.createDataFrame(people, "company int, person int, tckn string, name string")
+    reps = spark.createDataFrame(reps, "company int, rep int, tckn string, name string, status string")
+    found = roster.unique_active(people, reps)
+    assert found.count() == people.count()
+    assert {(r.company, r.person, r.rep) for r in found.filter("rep is not null").collect()} == {(1, 1, 10), (1, 2, 10), (1, 3, 10)}
+
+
+def test_registry_of_equal_names_builds_no_pairs(spark):
+    people = spark.range(20_000).select(F.lit(1).alias("company"), F.col("id").alias("person"), F.lit("123***45").alias("tckn"), F.lit("Ad").alias("name"))
+    reps = people.select("company", F.col("person").alias("rep"), "tckn", "name", F.lit("ACTIVE").alias("status"))  # 400 million pairs
+    assert roster.unique_active(people, reps).filter("rep is null").count() == 20_000
+
+
 def test_no_rows_and_terminal_states(spark):
     rows = spark.createDataFrame([("t", 1, "REQUESTED"), ("t", 2, "ALLOWED"), ("t", 3, "DENIED"), ("u", 1, None)], "id string, seq int, state string")
     got = {(r.id, r.seq): r.legal for r in history.steps(rows, "id", ["seq"], "state", history.TRANSACTION).collect()}
