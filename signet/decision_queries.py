@@ -158,7 +158,7 @@ def form_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def authorization_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes that more than one transaction has: none are allowed."""
     (rows,) = _input(spark, sf_dir, "pending")
-    codes = rows.select("txn_id", T.authorization_code(F.col("txn_id").cast("string"), F.lit("cosign")).alias("code"))
+    codes = authority.with_codes(rows.select("txn_id"), "txn_id", parts=("cosign",))
     return codes.groupBy("code").agg(F.count("*").alias("n")).select(F.length("code").alias("width"), "n").groupBy("width", "n").agg(F.count("*").alias("codes"))
 
 

@@ -106,19 +106,20 @@ def approve(applications: DataFrame, persons: DataFrame, review: DataFrame, vers
     return rows.withColumn("refused", refused).select("application", "refused", version.alias("version"))
 
 
-def with_codes(rows: DataFrame, key: str, tries: int = 20) -> DataFrame:
-    """``rows`` with ``code``: each row's authorisation code by its unique ``key``, drawn again where an earlier key has the same.
+def with_codes(rows: DataFrame, key: str, tries: int = 20, parts: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``code``: each row's authorisation code by its unique ``key`` (and ``parts``, the same for all), drawn again where an earlier key has the same.
 
-    Codes rest on keys alone, so reruns agree.  Each try ranks the rows of a code, by a
+    Codes rest on keys and parts alone, so reruns agree.  Each try ranks the rows of a code, by a
     shuffle on it; usually the first finds nothing to draw again.
     """
-    rows = rows.withColumn("code", T.authorization_code(F.col(key).cast("string")))
+    named = (F.col(key).cast("string"), *map(F.lit, parts))
+    rows = rows.withColumn("code", T.authorization_code(*named))
     for salt in range(1, tries + 1):
         own = W.partitionBy("code").orderBy(key)
         rows = cut(rows.withColumn("__again", F.row_number().over(own) > 1))
         if rows.filter("__again").isEmpty():
             return rows.drop("__again")
-        drawn = T.authorization_code(F.col(key).cast("string"), F.lit(str(salt)))
+        drawn = T.authorization_code(*named, F.lit(str(salt)))
         rows = rows.withColumn("code", F.when(F.col("__again"), drawn).otherwise(F.col("code"))).drop("__again")
     raise RuntimeError("codes still collide")
 

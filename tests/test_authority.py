@@ -6,6 +6,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from signet import decision_queries
 from signet.functions import text as T
 from signet.operators import authority as A
 
@@ -89,3 +90,9 @@ def test_codes_are_drawn_again_where_they_collide(spark, monkeypatch):
     assert got == {r.id: r.code for r in A.with_codes(spark.range(120), "id").collect()}
     with pytest.raises(RuntimeError):
         A.with_codes(spark.range(300), "id", tries=3)
+
+
+def test_codes_of_the_query_are_drawn_again(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(T, "CODE_LETTERS", "ABCD" * 8)  # 65 536 codes for 1091 rows
+    spark.range(1200).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in decision_queries.authorization_codes(spark, str(tmp_path)).select("width", "n", "codes").collect()] == [(12, 1, 1090)]
