@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+from signet import decision_queries
 from signet.operators import history, matching, roster
 from signet.sources import results
 
@@ -48,6 +50,16 @@ def test_numbered_texts_have_the_pairs_of_all_and_build_few(spark):
     assert got.filter("left_id = right_id").count() == got.count() == 15_000
 
 
+def test_sizes_of_prices_round_as_in_sql(spark, tmp_path):
+    prices = [66427.29, 131543.86, 134165.3, 263035.29, 1.0245, 1023.4995]  # times 1000 just below a whole number, at a border of what is shown
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS o_orderkey, CAST(i AS BIGINT) AS o_custkey, CAST({prices}[i] AS DOUBLE) AS o_totalprice FROM range(1, {len(prices) + 1}) t(i)) TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    df = decision_queries.form_texts(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({decision_queries.oracle_sql()['form_texts']}) ORDER BY id").fetchall()
+    assert [tuple(r) for r in df.orderBy("id").collect()] == want
+
+
 def test_inputs_without_a_result(spark):
     keys = spark.createDataFrame([("k",), ("k",), ("m",)], "key string")
     assert [r.key for r in results.missing(keys, keys.filter("key = 'k'")).collect()] == ["m"]
