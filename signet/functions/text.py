@@ -62,8 +62,8 @@ def spelled_out(text: Column) -> Column:
     return F.when(text.rlike(f"[{''.join(WIDE)}]"), out).otherwise(text)
 
 
-#: Lower-case letters that Turkish texts have beside ASCII, and those without marks.
-USUAL, USUAL_PLAIN = "çğıöşüâîû", "cgiosuaiu"
+#: Lower-case letters that Turkish texts have beside ASCII, those without marks, and those in upper case that aren't ASCII.
+USUAL, USUAL_PLAIN, USUAL_UPPER = "çğıöşüâîû", "cgiosuaiu", "ÇĞİÖŞÜÂÎÛ"
 
 
 def _replaced(text: Column, letters: str, others: str) -> Column:
@@ -76,12 +76,13 @@ def _replaced(text: Column, letters: str, others: str) -> Column:
 def tr_normalize(text: Column) -> Column:
     """Lower case by Turkish rules, without marks, runs of anything but ASCII letters and digits as one space.
 
-    Texts of ASCII and the usual letters, nearly all, never meet the map of all folds.
+    Texts of ASCII and the usual letters, nearly all, never meet the map of all folds;
+    which they are is asked of the text itself, so nothing is replaced twice.
     """
     lower = F.lower(_replaced(F.replace(text, F.lit("I\u0307"), F.lit("i")), "Iİ", "ıi"))
-    usual = _replaced(lower, USUAL, USUAL_PLAIN)
     folded = F.translate(F.regexp_replace(spelled_out(lower), r"\p{M}+", ""), FROM, TO)
-    plain = F.when(usual.rlike(r"[^\x00-\x7F]"), folded).otherwise(usual)
+    usual = _replaced(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), USUAL, USUAL_PLAIN)
+    plain = F.when(F.length(text) == F.octet_length(text), F.lower(text)).when(text.rlike(rf"[^\x00-\x7F{USUAL}{USUAL_UPPER}]"), folded).otherwise(usual)
     return F.trim(F.regexp_replace(plain, "[^0-9a-z]+", " "))
 
 
@@ -175,7 +176,12 @@ GROUP_RANKS = {"birinci": "1", "ikinci": "2", "ucuncu": "3", "dorduncu": "4", "b
 
 def group_code(text: Column) -> Column:
     """A group's name without noise words; a rank that stands alone becomes its number; empty if nothing is left."""
-    kept = F.array_join(F.filter(F.split(F.coalesce(tr_normalize(text), F.lit("")), " "), lambda w: (w != "") & ~w.isin(GROUP_NOISE)), " ")
+    return plain_code(tr_normalize(text))
+
+
+def plain_code(plain: Column) -> Column:
+    """``group_code`` of a text that is normalised already; no lambda, so all of it is compiled."""
+    kept = F.ltrim(F.regexp_replace(F.coalesce(plain, F.lit("")), f"(^| )({'|'.join(GROUP_NOISE)})(?= |$)", ""))
     rank = F.create_map(*(F.lit(x) for pair in GROUP_RANKS.items() for x in pair))
     return F.coalesce(F.try_element_at(rank, kept), kept)
 

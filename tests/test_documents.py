@@ -8,6 +8,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from signet.functions import text as T
 from signet.operators import authority, history, matching, merging, pages, projection, validation
 from signet.sources import documents, registry, results
 from signet.streaming import requests
@@ -178,6 +179,16 @@ def test_flags_of_nothing_and_order(spark):
     assert validation.outcome(found.limit(0)).count() == 0
 
 
+def test_codes_of_groups_without_lambdas(spark):
+    texts = [None, "", "grup", "Grubu grup", "A grubu", "a grup grubu b", "İkinci Derece", "II. imza yetkilisi", "grupa", "a grup", "x-grup-2", "V", "yetkili imza vi derece", "Ⅱ grup", "K\u212a \u0130\u0307 grup", "ﬁ grubu"]
+    words = {"grup", "grubu", "derece", "derecesi", "imza", "yetkili", "yetkilisi", "yetkilileri"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.tr_normalize(F.col("t")).alias("plain"), T.group_code(F.col("t")).alias("code"))
+    for r in rows.collect():
+        kept = " ".join(w for w in (r.plain or "").split() if w not in words)
+        assert r.code == T.GROUP_RANKS.get(kept, kept)
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()  # what a lambda's array is made of is never compiled
+
+
 def test_stream_of_requests(spark, tmp_path):
     rows = [(i, 1, "general", 100 * i, "p0", None) for i in range(6)]
     kinds = "txn_id long, company long, subject string, amount long, initiator string, day date"
