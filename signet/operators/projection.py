@@ -27,14 +27,14 @@ def resolved(rules: DataFrame, parties: DataFrame, signatories: DataFrame) -> Da
     joined on: what is gathered is one rule's parties and one document's people.
     """
     fact = F.struct(*(c for c in rules.columns if c not in ("doc", "rule")))
-    both = rules.select("doc", "rule", fact.alias("fact")).unionByName(parties.select("doc", "rule", F.struct("item", "type", "ref").alias("party")), allowMissingColumns=True)
+    party = F.struct("item", "type", "ref", F.when(F.col("type") == "group", T.group_code(F.col("ref"))).alias("code"))
+    both = rules.select("doc", "rule", fact.alias("fact")).unionByName(parties.select("doc", "rule", party.alias("party")), allowMissingColumns=True)
     asked = both.repartition("doc").groupBy("doc", "rule").agg(F.collect_list("fact").alias("facts"), F.array_sort(F.collect_set("party")).alias("parties"))
     person = F.struct("sig", "name", F.format_string("sig-%d", F.col("sig") + 1).alias("ref"), T.group_code(F.col("group_name")).alias("code"))
     folk = signatories.filter("sig is not null").groupBy("doc").agg(F.array_sort(F.collect_set(person)).alias("folk"))
-    coded = F.transform("parties", lambda p: F.struct(p["item"].alias("item"), p["type"].alias("type"), p["ref"].alias("ref"), F.when(p["type"] == "group", T.group_code(p["ref"])).alias("code")))
     meant = lambda p, f: ((p["type"] == "person") & (f["ref"] == p["ref"])) | ((p["code"] != "") & (f["code"] == p["code"]))
     shown = lambda f: F.struct(f["sig"].alias("sig"), f["name"].alias("name"))
-    stood = F.transform(coded, lambda p: F.struct(p["item"].alias("item"), F.transform(F.filter("folk", lambda f: meant(p, f)), shown).alias("by")))
+    stood = F.transform("parties", lambda p: F.struct(p["item"].alias("item"), F.transform(F.filter("folk", lambda f: meant(p, f)), shown).alias("by")))
     rows = asked.filter(F.size("facts") > 0).join(folk, "doc", "left").withColumn("stood", stood)
     everyone = F.array_distinct(F.flatten(F.transform("stood", lambda s: s["by"])))
     known = (F.size("stood") > 0) & F.col("folk").isNotNull() & F.forall("stood", lambda s: F.size(s["by"]) > 0)
