@@ -51,17 +51,17 @@ def page_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc", *(F.array_join(F.transform(c, lambda p: p.cast("string")), ",").alias(c) for c in ("missing", "extra")))
 
 
-def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {"documents": "docs"} | {n: n for n in validation.INPUTS if n != "documents"}
-    return validation.ordered(validation.flags(**{n: inputs.rows(spark, sf_dir, INPUTS[name]) for n, name in named.items()}))
+    return validation.report(**{n: inputs.rows(spark, sf_dir, INPUTS[name]) for n, name in named.items()})
 
 
 def provenance_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(spark, sf_dir)
+    return validation.placed(_report(spark, sf_dir))
 
 
 def review_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = validation.outcome(_flags(spark, sf_dir))
+    found = validation.summed_up(_report(spark, sf_dir))
     return found.select("doc", F.array_join("review", ";").alias("review"), F.array_join("codes", ";").alias("codes"), *validation.SEVERITIES)
 
 

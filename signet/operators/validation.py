@@ -52,8 +52,9 @@ def _path(form: str, *columns: str | Column) -> Column:
 
 
 def _where(*found: tuple[Column, Column]) -> Column:
-    """The flags whose condition is true."""
-    return F.array_compact(F.array(*(F.when(keep, flag) for keep, flag in found)))
+    """The flags whose condition is true; by concat, for what a lambda's array is made of is never compiled."""
+    none = F.array().cast(f"array<{_FLAG}>")
+    return F.concat(*(F.when(keep, F.array(flag)).otherwise(none) for keep, flag in found))
 
 
 def _told(rows: DataFrame, **facts: Column) -> DataFrame:
@@ -99,11 +100,11 @@ def of_signatories(signatories: DataFrame) -> DataFrame:
         (appointed & ~signed, _flag("info", "structure_sanity", _path("signatories[%d].specimen_bboxes", "sig"), "APPOINTMENT_WITHOUT_SPECIMEN", page)),
         (~appointed & signed, _flag("warn", "structure_sanity", _path("signatories[%d].evidence", "sig"), "SPECIMEN_WITHOUT_APPOINTMENT", F.col("specimen_page"))),
     )
-    asked = lambda name, i: F.struct(_path("signatories[%d].joint_with_names[%d]", F.col("sig"), i), T.tr_normalize(name), T.group_code(name), page)
+    asked = lambda plain, i: F.struct(_path("signatories[%d].joint_with_names[%d]", F.col("sig"), i), plain, T.plain_code(plain), page)
     limited = F.when(T.tr_normalize(F.col("form")).rlike("|".join(LIMITED)), F.struct("sig", "page"))
     return _told(
         rows, own=own, signs=F.lit(True), ref=_path("sig-%d", F.col("sig") + 1), code=T.group_code(F.col("group_name")), plain=T.tr_normalize(F.col("name")),
-        appointed=appointed, asked=F.transform("joint_names", asked), limited=limited,
+        appointed=appointed, asked=F.transform(F.transform("joint_names", T.tr_normalize), asked), limited=limited,
     )
 
 
@@ -188,8 +189,8 @@ def _gathered(told: DataFrame) -> DataFrame:
     )
 
 
-def flags(threshold: float = 90.0, **given: DataFrame) -> DataFrame:
-    """All flags of the ``given`` inputs, by name as in ``INPUTS``; an input that isn't given has no rows.
+def gathered_flags(threshold: float = 90.0, **given: DataFrame) -> DataFrame:
+    """(doc, flags): all flags of the ``given`` inputs, by name as in ``INPUTS``; an input that isn't given has no rows.
 
     What a document should have (sections, a roster) is asked of ``documents`` only; all
     else of whatever has rows.  Rows without a doc stand together as one document.  What
@@ -218,7 +219,34 @@ def flags(threshold: float = 90.0, **given: DataFrame) -> DataFrame:
         "own", F.flatten(F.transform(lost, of_party)), F.transform(nobody, lambda a: _flag("warn", "unresolved_reference", a["path"], "UNRESOLVED_REFERENCE", a["page"])),
         F.transform(seen, lambda e: _flag("serious", "rule_completeness", _path("raw_chunks[%d].output.rules", e["chunk"]), "RULE_CHUNK_EMPTY", F.array_min(e["met"]))), together,
     )
-    return rows.withColumn("alike", alike).select("doc", F.explode(every).alias("flag")).select("doc", "flag.*")
+    return rows.withColumn("alike", alike).select("doc", F.explode(F.array(every)).alias("flags"))  # found once, whatever is asked of it above
+
+
+def flags(threshold: float = 90.0, **given: DataFrame) -> DataFrame:
+    """All flags of the ``given`` inputs, one row each."""
+    return gathered_flags(threshold, **given).select("doc", F.explode("flags").alias("flag")).select("doc", "flag.*")
+
+
+def report(threshold: float = 90.0, **given: DataFrame) -> DataFrame:
+    """(doc, flags): what ``ordered`` gives of ``flags``, as one list a document, put in order within its row; documents without flags have none."""
+    rank = lambda names, x: F.coalesce(*(F.when(x == name, i) for i, name in enumerate(names)), F.lit(99))
+    keyed = F.transform("flags", lambda f: F.struct(rank(SEVERITIES, f["severity"]).alias("a"), rank(CHECKS, f["check_name"]).alias("b"), f["field_path"].alias("c"), F.coalesce(f["anomaly_code"], F.lit("")).alias("d"), f["evidence_page"].alias("e"), f.alias("flag")))
+    placed = F.transform(F.array_sort(F.array_distinct(keyed)), lambda x: x["flag"])
+    return gathered_flags(threshold, **given).filter(F.size("flags") > 0).select("doc", F.explode(F.array(placed)).alias("flags"))
+
+
+def placed(reports: DataFrame) -> DataFrame:
+    """Flags of ``report`` one row each, with ``place``, from 1."""
+    rows = reports.select("doc", F.posexplode("flags").alias("place", "flag"))
+    return rows.select("doc", *(f"flag.{c}" for c in COLUMNS[1:]), (F.col("place") + 1).alias("place"))
+
+
+def summed_up(reports: DataFrame) -> DataFrame:
+    """``outcome`` of ``report``, found within each row."""
+    paths = lambda keep, c: F.array_distinct(F.transform(F.filter("flags", keep), lambda f: f[c]))
+    of = lambda severity: lambda f: f["severity"] == severity
+    counts = (F.size(F.filter("flags", of(s))).cast("bigint").alias(s) for s in SEVERITIES)
+    return reports.select("doc", paths(lambda f: f["severity"] != "info", "field_path").alias("review"), paths(lambda f: f["anomaly_code"].isNotNull(), "anomaly_code").alias("codes"), *counts)
 
 
 def ordered(flags: DataFrame, *more: DataFrame) -> DataFrame:

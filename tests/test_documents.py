@@ -179,6 +179,20 @@ def test_flags_of_nothing_and_order(spark):
     assert validation.outcome(found.limit(0)).count() == 0
 
 
+def test_reports_are_the_ordered_flags(spark):
+    readings = [(d, c, "rules_p1", "rules", role, status, 0, valid) for d in (1, 2, None) for c, role, status, valid in ((10, "primary", "failed", True), (2, "primary", "success", True), (3, "witness", "success", False), (3, "witness", "success", False))]
+    readings = spark.createDataFrame([*readings, (7, 1, "x", "rules", "witness", "success", 1, True)], "doc int, chunk int, chunk_id string, agent string, role string, status string, n_rules int, valid boolean")
+    pages = spark.createDataFrame([(1, 1, ["rules", "other_unknown"]), (2, 9, None), (3, None, ["other_unknown"])], "doc int, page int, labels array<string>")
+    companies = spark.createDataFrame([(1, "12", None), (4, "", 1), (5, "1234567890", 2)], "doc int, vkn string, page int")
+    given = {"pages": pages, "results": readings, "companies": companies, "documents": pages.select("doc").distinct()}
+    want, made = validation.ordered(validation.flags(**given)), validation.report(**given)
+    assert sorted(map(repr, validation.placed(made).select(want.columns).collect())) == sorted(map(repr, want.collect())) and want.count() > 10
+    sums = validation.outcome(want)
+    assert sorted(map(repr, validation.summed_up(made).select(sums.columns).collect())) == sorted(map(repr, sums.collect()))
+    plan = validation.placed(made)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # flags are found and put in order in the row of their document
+
+
 def test_codes_of_groups_without_lambdas(spark):
     texts = [None, "", "grup", "Grubu grup", "A grubu", "a grup grubu b", "İkinci Derece", "II. imza yetkilisi", "grupa", "a grup", "x-grup-2", "V", "yetkili imza vi derece", "Ⅱ grup", "K\u212a \u0130\u0307 grup", "ﬁ grubu"]
     words = {"grup", "grubu", "derece", "derecesi", "imza", "yetkili", "yetkilisi", "yetkilileri"}
