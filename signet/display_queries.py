@@ -31,8 +31,7 @@ def application_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executable rules as a screen shows them: scope, mode and limit."""
-    names = ("rules", "parties", "signatories")
-    found = projection.flat_rules(*(inputs.rows(spark, sf_dir, extraction_queries.INPUTS[n]) for n in names)).filter("not blocked")
+    found = projection.flat_rules(*extraction_queries.by_document(spark, sf_dir, "rules", "parties", "signatories")).filter("not blocked")
     limit = T.amount_range(F.lit(None).cast("bigint"), F.col("threshold"))
     return found.select("doc", "rule", L.shown(F.col("scope"), L.SCOPES).alias("scope"), L.shown(F.coalesce("mode", F.lit("UNKNOWN")), L.MODES).alias("mode"), limit.alias("limit_text"))
 

@@ -41,6 +41,11 @@ def _input(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [inputs.rows(spark, sf_dir, INPUTS[n]) for n in names]
 
 
+def by_document(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Inputs that group lines, all on one partitioning by document."""
+    return [inputs.rows(spark, sf_dir, INPUTS[n], by="l_orderkey") for n in names]
+
+
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, docs = _input(spark, sf_dir, "pages", "docs")
     return pages.headers(pages.chunks(found), docs).select("doc", "chunk_id", T.page_list(F.col("focus")).alias("focus"), "supporting", "header")
@@ -80,12 +85,12 @@ def rule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scope_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = projection.flat_rules(*_input(spark, sf_dir, "rules", "parties", "signatories"))
+    found = projection.flat_rules(*by_document(spark, sf_dir, "rules", "parties", "signatories"))
     return found.select("doc", "rule", "scope", "threshold", "mode", F.array_join("signers", ";").alias("signers"), "blocked", "unresolved")
 
 
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signatories, rules, parties = _input(spark, sf_dir, "signatories", "rules", "parties")
+    signatories, rules, parties = by_document(spark, sf_dir, "signatories", "rules", "parties")
     return projection.people(signatories, rules, parties).select("doc", "rep", "mode", "max_amount", F.array_join("co_signers", ";").alias("co_signers"), "uncertain")
 
 

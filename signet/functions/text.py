@@ -77,12 +77,13 @@ def tr_normalize(text: Column) -> Column:
     """Lower case by Turkish rules, without marks, runs of anything but ASCII letters and digits as one space.
 
     Texts of ASCII and the usual letters, nearly all, never meet the map of all folds;
-    which they are is asked of the text itself, so nothing is replaced twice.
+    which they are is asked of the text itself, so nothing is replaced twice, and ASCII
+    is ruled out by one comparison before any letter is looked for.
     """
     lower = F.lower(_replaced(F.replace(text, F.lit("I\u0307"), F.lit("i")), "Iİ", "ıi"))
     folded = F.translate(F.regexp_replace(spelled_out(lower), r"\p{M}+", ""), FROM, TO)
     usual = _replaced(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), USUAL, USUAL_PLAIN)
-    plain = F.when(F.length(text) == F.octet_length(text), F.lower(text)).when(text.rlike(rf"[^\x00-\x7F{USUAL}{USUAL_UPPER}]"), folded).otherwise(usual)
+    plain = F.when(F.length(text) == F.octet_length(text), F.lower(text)).when(text.rlike(rf"[\x{{80}}-\x{{10FFFF}}&&[^{USUAL}{USUAL_UPPER}]]"), folded).otherwise(usual)
     return F.trim(F.regexp_replace(plain, "[^0-9a-z]+", " "))
 
 

@@ -10,9 +10,14 @@ TABLES = ["customer", "supplier", "orders", "lineitem", "events", "documents", "
 _NAMED = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
 
 
-def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """What ``sql`` gives over the tables it names; no view of theirs stays in the session."""
-    return over(spark, sql, {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for _, name in _NAMED.findall(sql)})
+def rows(spark: SparkSession, sf_dir: str, sql: str, by: str | None = None) -> DataFrame:
+    """What ``sql`` gives over the tables it names; no view of theirs stays in the session.
+
+    With ``by`` the tables come partitioned by this column: groups that include it, and
+    what later meets or is grouped by it alone, need no shuffle of their own.
+    """
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for _, name in _NAMED.findall(sql)}
+    return over(spark, sql, {name: table.repartition(by) for name, table in tables.items()} if by else tables)
 
 
 def over(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,34 +18,35 @@ def numbered(signatories: DataFrame) -> DataFrame:
 
 
 def resolved(rules: DataFrame, parties: DataFrame, signatories: DataFrame) -> DataFrame:
-    """``rules`` (doc, rule, ...) with ``first``, whoever a rule's item 0 stands for, and ``sigs``, everyone who signs it in printed order, each as (sig, name).
+    """``rules`` (doc, rule, ...) with ``known``, whether each of its parties stands for somebody, ``first``, whoever its item 0 stands for, and ``sigs``, everyone who signs it in printed order, each as (sig, name).
 
     ``parties`` has (doc, rule, item, type, ref): who is item 0, the others follow.  A
     person's ref is the signatory's id (sig-n), a group's its name; it stands for all of
     its code.  ``sigs`` is null where a party stands for nobody or a rule has no parties;
-    a null type or ref stands for nobody, and repeated parties count once.  Rules and
-    parties meet in one grouping, on the partitioning by document that the people are
-    joined on: what is gathered is one rule's parties and one document's people.
+    a null type or ref stands for nobody, and repeated parties count once.  Parties meet
+    the people of their document, then the rules, all on one partitioning by document.
+    ``known`` needs no lambda, and where only it is read nothing else is gathered.
     """
-    fact = F.struct(*(c for c in rules.columns if c not in ("doc", "rule")))
-    party = F.struct("item", "type", "ref", F.when(F.col("type") == "group", T.group_code(F.col("ref"))).alias("code"))
-    both = rules.select("doc", "rule", fact.alias("fact")).unionByName(parties.select("doc", "rule", party.alias("party")), allowMissingColumns=True)
-    asked = both.repartition("doc").groupBy("doc", "rule").agg(F.collect_list("fact").alias("facts"), F.array_sort(F.collect_set("party")).alias("parties"))
-    person = F.struct("sig", "name", F.format_string("sig-%d", F.col("sig") + 1).alias("ref"), T.group_code(F.col("group_name")).alias("code"))
-    folk = signatories.filter("sig is not null").groupBy("doc").agg(F.array_sort(F.collect_set(person)).alias("folk"))
-    meant = lambda p, f: ((p["type"] == "person") & (f["ref"] == p["ref"])) | ((p["code"] != "") & (f["code"] == p["code"]))
-    shown = lambda f: F.struct(f["sig"].alias("sig"), f["name"].alias("name"))
-    stood = F.transform("parties", lambda p: F.struct(p["item"].alias("item"), F.transform(F.filter("folk", lambda f: meant(p, f)), shown).alias("by")))
-    rows = asked.filter(F.size("facts") > 0).join(folk, "doc", "left").withColumn("stood", stood)
+    of_group = F.col("type") == "group"
+    person = F.struct("sig", "name", F.concat(F.lit("sig-"), (F.col("sig") + 1).cast("string")).alias("ref"), T.group_code(F.col("group_name")).alias("code"))
+    some = signatories.filter("sig is not null").withColumn("person", person)
+    folk = some.groupBy("doc").agg(F.array_sort(F.collect_set("person")).alias("folk"), F.collect_set("person.ref").alias("refs"), F.collect_set("person.code").alias("codes"))
+    asked = parties.select("doc", "rule", "item", "type", "ref", T.group_code(F.when(of_group, F.col("ref"))).alias("code")).join(folk, "doc", "left")
+    hit = ((F.col("type") == "person") & F.array_contains("refs", F.col("ref"))) | ((F.col("code") != "") & F.array_contains("codes", F.col("code")))
+    meant = lambda f: ((F.col("type") == "person") & (f["ref"] == F.col("ref"))) | ((F.col("code") != "") & (f["code"] == F.col("code")))
+    by = F.transform(F.filter("folk", meant), lambda f: F.struct(f["sig"].alias("sig"), f["name"].alias("name")))
+    stood = asked.groupBy("doc", "rule").agg(F.min(F.coalesce(hit, F.lit(False))).alias("known"), F.array_sort(F.collect_set(F.struct("item", "type", "ref", by.alias("by")))).alias("stood"))
+    both = rules.withColumn("told", F.lit(True)).unionByName(stood, allowMissingColumns=True)
+    of_rule = W.partitionBy("doc", "rule")  # a null rule's parties are those of null rules
+    rows = both.withColumns({"known": F.coalesce(F.max("known").over(of_rule), F.lit(False)), "stood": F.coalesce(F.first("stood", ignorenulls=True).over(of_rule), F.array().cast(stood.schema["stood"].dataType))})
     everyone = F.array_distinct(F.flatten(F.transform("stood", lambda s: s["by"])))
-    known = (F.size("stood") > 0) & F.col("folk").isNotNull() & F.forall("stood", lambda s: F.size(s["by"]) > 0)
     first = F.flatten(F.transform(F.filter("stood", lambda s: s["item"] == 0), lambda s: s["by"]))
-    return rows.select("doc", "rule", F.explode("facts").alias("fact"), first.alias("first"), F.when(known, everyone).alias("sigs")).select("doc", "rule", "fact.*", "first", "sigs")
+    return rows.filter("told").select(*rules.columns, "known", first.alias("first"), F.when(F.col("known"), everyone).alias("sigs"))
 
 
 def scopes(tags: Column) -> Column:
     """Distinct scopes of a rule in order; a rule without one has the general scope."""
-    kept = F.array_distinct(F.filter(tags, lambda t: ~t.isin(NOT_SCOPES)))
+    kept = F.array_except(tags, F.array(*map(F.lit, NOT_SCOPES), F.lit(None)))
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(ANY_SCOPE)))
 
 
@@ -54,10 +56,11 @@ def flat_rules(rules: DataFrame, parties: DataFrame, signatories: DataFrame) ->
     ``rules`` has (doc, rule, form, amount_max, scope_tags, scope_text, quote, source).
     A rule that excludes what it names, or whose joint signers aren't all known, is blocked.
     """
-    rows = resolved(rules.filter("source != 'annex'").select("doc", "rule", "form", "amount_max", "scope_tags", "scope_text", "quote"), parties, signatories)
     excluded = T.says_blocked(F.col("scope_text"), F.col("quote"))
-    open_ = (F.col("form") == "joint") & F.col("sigs").isNull() & ~excluded
-    rows = rows.withColumns({"unresolved": open_, "blocked": excluded | open_})
+    usable = rules.filter("source != 'annex'").select("doc", "rule", "form", "amount_max", "scope_tags", excluded.alias("excluded"))
+    rows = resolved(usable, parties, signatories)
+    open_ = (F.col("form") == "joint") & ~F.col("known") & ~F.col("excluded")
+    rows = rows.withColumns({"unresolved": open_, "blocked": F.col("excluded") | open_})
     signers = F.when(~F.col("blocked") & (F.col("form") == "joint"), F.transform("sigs", lambda s: F.format_string("rep-%d", s["sig"] + 1))).otherwise(F.array().cast("array<string>"))
     mode = F.when(~F.col("blocked"), F.upper("form"))
     return rows.select("doc", "rule", F.explode(scopes(F.col("scope_tags"))).alias("scope"), F.col("amount_max").alias("threshold"), mode.alias("mode"), signers.alias("signers"), "blocked", "unresolved")

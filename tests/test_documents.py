@@ -264,3 +264,23 @@ def test_people_behind_parties_of_odd_rows(spark):
     assert flat[1, 0] == (["rep-2", "rep-3", "rep-1"], False, False) and flat[1, 2] == flat[2, 0] == ([], True, True)
     none = [d.limit(0) for d in (rules, parties, signatories)]
     assert not projection.resolved(*none).count() and not projection.people(none[2], rules, parties).count()
+
+
+def test_flat_rules_know_their_parties_without_gathering_them(spark):
+    rules = spark.createDataFrame(
+        [(1, 0, "joint", 5, ["credit", None, "unlimited", "credit"], None, "q", "circular"), (1, None, "joint", 6, None, "x", None, "circular"), (1, 1, "joint", 7, [None], "KAPSAM dışı", None, "circular"), (1, 2, None, 8, [], None, None, "circular"), (2, 0, "sole", None, ["general"], None, None, "circular"), (1, 3, "joint", 1, [], None, None, "annex")],
+        "doc int, rule int, form string, amount_max long, scope_tags array<string>, scope_text string, quote string, source string",
+    )
+    parties = spark.createDataFrame([(1, 0, 0, "group", "A grubu"), (1, 0, 1, "person", "sig-1"), (1, None, 0, "person", "sig-2"), (1, 1, 0, "person", "sig-1"), (1, 2, 0, "group", "A"), (9, 0, 0, "person", "sig-1")], "doc int, rule int, item int, type string, ref string")
+    signatories = spark.createDataFrame([(1, 0, "Ali", "a grup"), (1, 1, "Can", None), (1, None, "Ece", "A")], "doc int, sig int, name string, group_name string")
+    found = projection.flat_rules(rules, parties, signatories)
+    assert {(r.doc, r.rule, r.scope, r["mode"], tuple(r.signers), r.blocked, r.unresolved) for r in found.collect()} == {
+        (1, 0, "credit", "JOINT", ("rep-1",), False, False), (1, None, "general", "JOINT", ("rep-2",), False, False), (1, 1, "general", None, (), True, False), (1, 2, "general", None, (), False, False), (2, 0, "general", "SOLE", (), False, False),
+    }
+
+
+def test_labels_of_rules_shuffle_lines_once_for_each_input_and_run_no_lambda(spark):
+    from signet import display_queries
+
+    plan = display_queries.rule_labels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "lambdafunction" not in plan and "collect_list" not in plan
